@@ -29,7 +29,7 @@ def answers(t: Tables):
     """Routing answers as a model would write them, from events."""
     body = F.concat(
         F.lit('Sure, here it is: {"category": "'), F.col("event_type"), F.lit('", "priority": "'),
-        F.when(F.col("value") > 50, "HIGH").otherwise("SOON"), F.lit('", "confidence": '), F.round(F.col("value") / 100, 2).cast("string"),
+        F.when(F.col("value") > 50, "HIGH").otherwise("SOON"), F.lit('", "confidence": '), F.format_string("%.4f", F.col("value") / 100),
         F.lit(', "summary": "seen"}'), F.when(F.col("value") < 5, "}").otherwise(" Done."),
     )
     return t.events.select("event_id", body.alias("raw"))
@@ -143,11 +143,11 @@ ENTRIES = [
     ),
     Entry(
         "parse_triage",
-        "event_id:b category:s department:s priority:s summary:s confidence:d2 valid:B",
+        "event_id:b category:s department:s priority:s summary:s confidence:d4 valid:B",
         lambda t: text.parse_triage(answers(t), "raw", taxonomy(t)),
         """SELECT event_id, CASE WHEN ok THEN event_type ELSE 'Needs manual review' END AS category, CASE WHEN ok THEN concat('dept of ', event_type) END
         AS department, CASE WHEN NOT ok THEN 'MEDIUM' WHEN value > 50 THEN 'HIGH' ELSE 'LOW' END AS priority,
-        CASE WHEN value < 5 THEN '' ELSE 'seen' END AS summary, CASE WHEN ok THEN least(1, round(value / 100, 2)) ELSE 0 END AS confidence, ok AS valid
+        CASE WHEN value < 5 THEN '' ELSE 'seen' END AS summary, CASE WHEN ok THEN least(1, value / 100) ELSE 0 END AS confidence, ok AS valid
         FROM (SELECT *, value >= 5 AND event_type <> 'signup' AS ok FROM {events})""",
     ),
     Entry(

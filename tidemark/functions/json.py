@@ -21,8 +21,14 @@ def unfenced(text: Column) -> Column:
 
 
 def parsed(text: Column) -> Column:
-    """The document as a variant; NULL when it is not valid JSON."""
-    return F.try_parse_json(text)
+    """The document as a variant; NULL when it is not valid JSON.
+
+    Parsing stops after the first value and would let trailing characters pass. Inside an array they
+    are an error, or a second element.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    alone = F.try_variant_get(listed, "$[1]", "variant").isNull()
+    return F.when(alone, F.try_variant_get(listed, "$[0]", "variant"))
 
 
 def field(document: Column, name: str, kind: str = "string") -> Column:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .hotkeys import HOT_ROWS, Hot, attach, hot_keys
+
 
 def since(date: str | Column, as_of: Column, days: int) -> Column:
     """Date within the trailing `days` of `as_of`: `days + 1` calendar dates when as_of is included."""
@@ -46,16 +48,13 @@ def median(value: Column, accuracy: int = 10_000) -> Column:
     return F.percentile_approx(value, 0.5, accuracy)
 
 
-def robust_baseline(df: DataFrame, keys: list[str], value: str, where: Column) -> DataFrame:
+def robust_baseline(df: DataFrame, keys: list[str], value: str, where: Column, hot: Hot = HOT_ROWS) -> DataFrame:
     """Median and median absolute deviation per key over the baseline rows: `baseline`, `mad`."""
     base = df.where(where).select(*keys, value)
     centre = base.groupBy(*keys).agg(median(F.col(value)).alias("baseline"))
-    spread = (
-        base.join(centre, keys)
-        .groupBy(*keys)
-        .agg(F.first("baseline").alias("baseline"), median(F.abs(F.col(value) - F.col("baseline"))).alias("mad"))
-    )
-    return spread
+    centred = attach(base, centre, keys, hot=hot_keys(base, keys, hot))
+    distance = F.abs(F.col(value) - F.col("baseline"))
+    return centred.groupBy(*keys).agg(F.first("baseline").alias("baseline"), median(distance).alias("mad"))
 
 
 def mix_adjusted(df: DataFrame, unit: str, category: str, outcome: str) -> DataFrame:

@@ -5,23 +5,30 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .hotkeys import HOT_ROWS, hot_keys, is_hot
+from .hotkeys import HOT_ROWS, Hot, hot_keys, is_hot
+from .joins import spine_join
 from .scan import running, total
 
 
-def top_lines(df: DataFrame, keys: list[str], order: list[str], line: Column, n: int, alias: str, newest: bool = False) -> DataFrame:
+# Up to this many rows per key Spark itself cuts each task's rows before the shuffle.
+GROUP_LIMIT = 1000
+
+
+def top_lines(
+    df: DataFrame, keys: list[str], order: list[str], line: Column, n: int, alias: str, newest: bool = False, hot: Hot = HOT_ROWS
+) -> DataFrame:
     """Array of the first n lines per key by `order` (`newest`: the last n, newest first).
 
-    Only n rows per key ever travel: hot keys are cut down within hashed parts before the last step.
+    For small n each task passes on its own first n rows per key. For a larger n, hot keys are first
+    cut within hashed parts.
     """
-    at = F.struct(*order)
-    lines = df.select(*keys, at.alias("__at"), line.alias("__line"))
-    hot = hot_keys(lines, keys, HOT_ROWS)
-    if hot:
-        part = F.when(is_hot(hot, keys), F.pmod(F.xxhash64("__at"), F.lit(1024)))
+    lines = df.select(*keys, F.struct(*order).alias("__at"), line.alias("__line"))
+    split = hot_keys(lines, keys, hot) if n > GROUP_LIMIT else []
+    if split:
+        part = F.when(is_hot(split, keys), F.pmod(F.xxhash64("__at"), F.lit(1024)))
         lines = _first_n(lines.withColumn("__part", part), [*keys, "__part"], n, newest).drop("__part")
     kept = _first_n(lines, keys, n, newest)
     listed = F.sort_array(F.collect_list(F.struct("__at", "__line")), asc=not newest)
@@ -29,8 +36,6 @@ def top_lines(df: DataFrame, keys: list[str], order: list[str], line: Column, n:
 
 
 def _first_n(df: DataFrame, parts: list[str], n: int, newest: bool) -> DataFrame:
-    from pyspark.sql import Window
-
     direction = F.col("__at").desc() if newest else F.col("__at").asc()
     ranked = df.withColumn("__rn", F.row_number().over(Window.partitionBy(*parts).orderBy(direction)))
     return ranked.where(F.col("__rn") <= n).drop("__rn")
@@ -44,10 +49,31 @@ def section(title: str, lines: Column, empty: str) -> Column:
 
 def assemble(parents: DataFrame, parts: list[DataFrame], on: list[str], sections: list[Column], alias: str = "context") -> DataFrame:
     """Left join the parts to the parents and join the sections by newlines; NULL sections are left out."""
-    joined = parents
-    for part in parts:
-        joined = joined.join(part, on, "left")
-    return joined.select(*on, F.concat_ws("\n", *sections).alias(alias))
+    return spine_join(parents, parts, on).select(*on, F.concat_ws("\n", *sections).alias(alias))
+
+
+def assemble_pages(
+    parents: DataFrame, heads: list[Column], parts: list[tuple[str, str, DataFrame]], keys: list[str], alias: str = "context"
+) -> DataFrame:
+    """Whole texts of any length: keys, page, text.
+
+    `parts` are (heading, text when empty, `threads` result with column "text"). Page 0 opens with
+    the heads and has every heading; further pages hold what continues of each section. A parent
+    whose sections have one page each has page 0 only.
+    """
+    at = [*keys, "page"]
+    pages = parents.select(*keys, F.lit(0).cast("long").alias("page"))
+    for _, _, part in parts:
+        pages = pages.unionByName(part.join(parents.select(*keys), keys, "left_semi").select(*at))
+    spine = pages.distinct().join(parents, keys)
+    renamed = [part.select(*at, F.col("text").alias(f"__text_{i}")) for i, (_, _, part) in enumerate(parts)]
+    first = F.col("page") == 0
+    sections = [F.when(first, head) for head in heads]
+    for i, (heading, empty, _) in enumerate(parts):
+        text = F.col(f"__text_{i}")
+        whole = F.concat(F.lit(f"{heading}\n"), F.coalesce(text, F.when(first, F.lit(empty))))
+        sections.append(whole)
+    return assemble(spine, renamed, at, sections, alias)
 
 
 def fit_budget(
@@ -60,7 +86,7 @@ def fit_budget(
     max_chars: int = 12_000,
     overhead: int = 50,
     floor: int = 200,
-    hot_rows: int | None = HOT_ROWS,
+    hot: Hot = HOT_ROWS,
 ) -> DataFrame:
     """Notes, oldest first, cut to what is left of a character budget per key.
 
@@ -70,7 +96,7 @@ def fit_budget(
     before it: one running sum. At most max_chars / overhead notes per key pass. Column: `excerpt`.
     """
     sized = notes.withColumn("__cost", F.length(text) + overhead)
-    spent = running(sized, keys, order, {"__spent": total(F.col("__cost"), strict=True)}, hot_rows=hot_rows)
+    spent = running(sized, keys, order, {"__spent": total(F.col("__cost"), strict=True)}, hot=hot)
     left = F.lit(max_chars) - F.col(used) - 100 - F.col("__spent")
     return (
         spent.where(F.col("__spent") < max_chars)

@@ -4,6 +4,9 @@ A key counts as hot when it has at least `min_rows` rows AND more than 1/MAX_HOT
 By the second test fewer than MAX_HOT_KEYS keys can qualify whatever the data, so the list fits the
 driver and a literal at any scale. Every other key holds at most 1/MAX_HOT_KEYS of the rows.
 Finding the list is one pass over the key columns with map-side counts.
+
+Operators take `hot`: a row threshold (they look for hot keys themselves), a list already found (to
+share one pass between operators on the same key), or None (groups are bounded by construction).
 """
 
 from __future__ import annotations
@@ -15,18 +18,19 @@ MAX_HOT_KEYS = 1000
 HOT_ROWS = 1_000_000
 CHUNK = "__chunk"
 
+Hot = list[Row] | int | None
 
-def hot_keys(df: DataFrame, keys: list[str], min_rows: int | None = HOT_ROWS) -> list[Row]:
-    """The hot keys of `df`, fewer than MAX_HOT_KEYS. Null keys are never reported.
 
-    `min_rows=None` skips the pass, for callers whose groups are bounded by construction.
-    """
-    if min_rows is None:
+def hot_keys(df: DataFrame, keys: list[str], hot: Hot = HOT_ROWS) -> list[Row]:
+    """The hot keys of `df`, fewer than MAX_HOT_KEYS. Null keys are never reported."""
+    if hot is None:
         return []
+    if isinstance(hot, list):
+        return hot
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
     total = counts.agg(F.sum("__rows").alias("__total")).scalar()
-    hot = counts.where((F.col("__rows") >= min_rows) & (F.col("__rows") * MAX_HOT_KEYS > total))
-    return hot.dropna(subset=keys).select(*keys).collect()
+    found = counts.where((F.col("__rows") >= hot) & (F.col("__rows") * MAX_HOT_KEYS > total))
+    return found.dropna(subset=keys).select(*keys).collect()
 
 
 def is_hot(hot: list[Row], keys: list[str]) -> Column:
@@ -37,3 +41,16 @@ def is_hot(hot: list[Row], keys: list[str]) -> Column:
         return F.coalesce(F.col(keys[0]).isin([r[0] for r in hot]), F.lit(False))
     listed = [F.struct(*[F.lit(v).alias(k) for k, v in zip(keys, r)]) for r in hot]
     return F.coalesce(F.struct(*[F.col(k) for k in keys]).isin(listed), F.lit(False))
+
+
+def attach(df: DataFrame, per_key: DataFrame, keys: list[str], how: str = "inner", hot: list[Row] | None = None) -> DataFrame:
+    """Join one row per key onto `df` without moving the rows of hot keys.
+
+    The hot keys' part of `per_key` has fewer than MAX_HOT_KEYS rows and is broadcast; other rows
+    meet theirs in an ordinary join.
+    """
+    if not hot:
+        return df.join(per_key, keys, how)
+    inside = is_hot(hot, keys)
+    usual = df.where(~inside).join(per_key, keys, how)
+    return usual.unionByName(df.where(inside).join(F.broadcast(per_key.where(inside)), keys, how))

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .hotkeys import HOT_ROWS
+from .hotkeys import HOT_ROWS, Hot
 from .scan import last, running, total
 
 
@@ -50,7 +50,7 @@ def orphans(child: DataFrame, parent: DataFrame, on: list[str]) -> DataFrame:
 def reference_report(checks: dict[str, tuple[DataFrame, DataFrame, list[str]]]) -> DataFrame:
     """One row per named check with its number of orphans."""
     rows = [
-        orphans(c, p, on).agg(F.count(F.lit(1)).alias("orphans")).select(F.lit(n).alias("check"), "orphans")
+        orphans(c, p, on).agg(F.count(F.lit(1)).alias("orphans")).select(F.lit(n).alias("reference"), "orphans")
         for n, (c, p, on) in checks.items()
     ]
     return reduce(DataFrame.unionByName, rows)
@@ -65,7 +65,7 @@ def nearest_mark(
     forward: bool,
     strict: bool = False,
     payload: list[str] | None = None,
-    hot_rows: int | None = HOT_ROWS,
+    hot: Hot = HOT_ROWS,
 ) -> DataFrame:
     """Per row, the time of the closest mark of the same key at or before it (`forward`: at or after).
 
@@ -88,7 +88,7 @@ def nearest_mark(
         [ts, "__rank"],
         {alias: last(F.col("__mark"))},
         descending=forward,
-        hot_rows=hot_rows,
+        hot=hot,
     )
     return seen.where(F.col("__row.__is_row")).select(*keys, ts, *[F.col(f"__row.{c}") for c in packed], alias)
 
@@ -103,7 +103,7 @@ def interval_totals(
     hi: Column,
     measures: dict[str, Column],
     include_lo: bool = False,
-    hot_rows: int | None = HOT_ROWS,
+    hot: Hot = HOT_ROWS,
 ) -> DataFrame:
     """Per probe, sums of the fact measures with `lo < ts <= hi` (`lo <= ts` with include_lo).
 
@@ -124,7 +124,7 @@ def interval_totals(
     )
     both = fact_rows.unionByName(probe_rows, allowMissingColumns=True)
     swept = running(
-        both, keys, [ts, "__rank"], {f"__t_{n}": total(F.col(n)) for n in names}, hot_rows=hot_rows
+        both, keys, [ts, "__rank"], {f"__t_{n}": total(F.col(n)) for n in names}, hot=hot
     )
     return (
         swept.where(F.col("__sign") != 0)

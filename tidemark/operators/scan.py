@@ -12,7 +12,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .hotkeys import CHUNK, HOT_ROWS, hot_keys, is_hot
+from .hotkeys import CHUNK, HOT_ROWS, Hot, hot_keys, is_hot
 
 
 class Scan(NamedTuple):
@@ -39,7 +39,7 @@ def running(
     unit: str = "day",
     step: int = 100_000,
     descending: bool = False,
-    hot_rows: int | None = HOT_ROWS,
+    hot: Hot = HOT_ROWS,
 ) -> DataFrame:
     """Add running columns. A later stage may refer to columns made by an earlier one.
 
@@ -47,15 +47,15 @@ def running(
     a number. `order` as a whole should be unique per key, otherwise the order among equal rows is
     unspecified.
     """
-    hot = hot_keys(df, keys, hot_rows)
+    split = hot_keys(df, keys, hot)
     out = df
-    if hot:
+    if split:
         lead = F.col(order[0])
         timed = dict(df.dtypes)[order[0]].startswith(("timestamp", "date"))
         chunk = F.date_trunc(unit, lead.cast("timestamp")) if timed else F.floor(lead / step)
-        out = df.withColumn(CHUNK, F.when(is_hot(hot, keys), chunk))
+        out = df.withColumn(CHUNK, F.when(is_hot(split, keys), chunk))
     for stage in stages:
-        out = _stage(out, keys, order, stage, descending, split=bool(hot))
+        out = _stage(out, keys, order, stage, descending, split=bool(split))
     return out.drop(CHUNK)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .hotkeys import HOT_ROWS
+from .hotkeys import HOT_ROWS, Hot
 from .scan import last, running, total
 
 
@@ -26,10 +26,10 @@ def top1_per_group(df: DataFrame, keys: list[str], value: str, measure: str, ali
 
 
 def previous(
-    df: DataFrame, keys: list[str], order: list[str], column: str, alias: str, hot_rows: int | None = HOT_ROWS
+    df: DataFrame, keys: list[str], order: list[str], column: str, alias: str, hot: Hot = HOT_ROWS
 ) -> DataFrame:
     """`lag(column)`: the value on the row before, NULL on the first row of a key."""
-    boxed = running(df, keys, order, {"__prev": last(F.struct(F.col(column)), strict=True)}, hot_rows=hot_rows)
+    boxed = running(df, keys, order, {"__prev": last(F.struct(F.col(column)), strict=True)}, hot=hot)
     return boxed.withColumn(alias, F.col(f"__prev.{column}")).drop("__prev")
 
 
@@ -40,7 +40,7 @@ def with_islands(
     flag: Column,
     alias: str = "island",
     max_gap: str | None = None,
-    hot_rows: int | None = HOT_ROWS,
+    hot: Hot = HOT_ROWS,
 ) -> DataFrame:
     """Number the runs of consecutive flagged rows: `alias` is the count of breaks up to the row.
 
@@ -54,7 +54,7 @@ def with_islands(
         late = F.col(order[0]) > F.col("__before") + F.expr(f"INTERVAL {max_gap}")
         breaks = breaks + F.when(F.col("__flag") & late, 1).otherwise(0)
         stages = [{"__before": last(F.col(order[0]), strict=True)}, {alias: total(breaks)}]
-    return running(marked, keys, order, *stages, hot_rows=hot_rows).drop("__flag", "__before")
+    return running(marked, keys, order, *stages, hot=hot).drop("__flag", "__before")
 
 
 def islands(
@@ -65,16 +65,16 @@ def islands(
     aggs: list[Column],
     min_rows: int = 1,
     max_gap: str | None = None,
-    hot_rows: int | None = HOT_ROWS,
+    hot: Hot = HOT_ROWS,
 ) -> DataFrame:
     """One row per run of at least `min_rows` consecutive flagged rows, with `aggs` over the run."""
-    numbered = with_islands(df, keys, order, flag, "__island", max_gap, hot_rows)
+    numbered = with_islands(df, keys, order, flag, "__island", max_gap, hot)
     runs = numbered.where(flag).groupBy(*keys, "__island").agg(*aggs, F.count(F.lit(1)).alias("__n"))
     return runs.where(F.col("__n") >= min_rows).drop("__island", "__n")
 
 
 def run_lengths(
-    df: DataFrame, keys: list[str], order: list[str], flags: dict[str, Column], hot_rows: int | None = HOT_ROWS
+    df: DataFrame, keys: list[str], order: list[str], flags: dict[str, Column], hot: Hot = HOT_ROWS
 ) -> DataFrame:
     """Per name, how many rows in a row up to this one have the flag (0 on an unflagged row).
 
@@ -83,7 +83,7 @@ def run_lengths(
     on = {n: F.coalesce(f, F.lit(False)) for n, f in flags.items()}
     counted = {f"__sum_{n}": total(F.when(f, 1).otherwise(0)) for n, f in on.items()}
     based = {f"__base_{n}": last(F.when(~f, F.col(f"__sum_{n}"))) for n, f in on.items()}
-    out = running(df, keys, order, counted, based, hot_rows=hot_rows)
+    out = running(df, keys, order, counted, based, hot=hot)
     lengths = {n: F.col(f"__sum_{n}") - F.coalesce(F.col(f"__base_{n}"), F.lit(0)) for n in flags}
     return out.withColumns(lengths).drop(*counted, *based)
 
@@ -100,7 +100,7 @@ def trailing_span(
     ts: str,
     span: str,
     measures: dict[str, Column],
-    hot_rows: int | None = HOT_ROWS,
+    hot: Hot = HOT_ROWS,
 ) -> DataFrame:
     """Sums over the trailing time span, both ends included, one row per key and distinct instant.
 
@@ -122,7 +122,7 @@ def trailing_span(
         *keys, F.col("e.t").alias(ts), F.col("e.leaving").alias("__leaving"), *[F.col(f"e.{n}") for n in names]
     )
     sums = {f"__t_{n}": total(F.col(n)) for n in names}
-    swept = running(events, keys, [ts, "__leaving"], sums, hot_rows=hot_rows)
+    swept = running(events, keys, [ts, "__leaving"], sums, hot=hot)
     return swept.where(F.col("__leaving") == 0).select(*keys, ts, *[F.col(f"__t_{n}").alias(n) for n in names])
 
 
@@ -155,6 +155,7 @@ def threads(
     alias: str = "thread",
     separator: str = "\n",
     page_rows: int = 10_000,
+    hot: Hot = HOT_ROWS,
 ) -> DataFrame:
     """Rows of a key joined into one text in `order`, split into pages of `page_rows` rows.
 
@@ -162,7 +163,7 @@ def threads(
     key with up to `page_rows` rows has exactly one page.
     """
     numbered = df.withColumns({"__line": line, "__at": F.struct(*order)})
-    ranked = running(numbered, keys, order, {"__pos": total(F.lit(1))}, step=page_rows)
+    ranked = running(numbered, keys, order, {"__pos": total(F.lit(1))}, step=page_rows, hot=hot)
     pages = ranked.withColumn("page", F.floor((F.col("__pos") - 1) / page_rows).cast("long"))
     lines = F.sort_array(F.collect_list(F.struct(F.col("__pos").alias("p"), F.col("__line").alias("t"))))
     joined = F.array_join(F.transform(lines, lambda x: x["t"]), separator)

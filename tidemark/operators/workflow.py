@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .hotkeys import HOT_ROWS
+from .hotkeys import HOT_ROWS, Hot
 from .scan import last, running
 from .text import first_problem
 
@@ -40,20 +40,20 @@ def next_status(status: Column, action: Column, transitions: dict = TRANSITIONS)
     return out
 
 
-def with_history(log: DataFrame, key: str, order: list[str], hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def with_history(log: DataFrame, key: str, order: list[str], hot: Hot = HOT_ROWS) -> DataFrame:
     """Add the status before each decision and who last escalated before it."""
     escalator = F.when(F.col("action") == "ESCALATE", F.col("actor"))
     scans = {
         "status_before": last(F.col("new_status"), strict=True),
         "escalated_by": last(escalator, strict=True),
     }
-    out = running(log, [key], order, scans, hot_rows=hot_rows)
+    out = running(log, [key], order, scans, hot=hot)
     return out.withColumn("status_before", F.coalesce("status_before", F.lit("OPEN")))
 
 
-def replay_workflow(log: DataFrame, key: str, order: list[str], transitions: dict = TRANSITIONS, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def replay_workflow(log: DataFrame, key: str, order: list[str], transitions: dict = TRANSITIONS, hot: Hot = HOT_ROWS) -> DataFrame:
     """Each decision with the status it met, the status it should give, and its first problem if any."""
-    seen = with_history(log, key, order, hot_rows)
+    seen = with_history(log, key, order, hot)
     expected = next_status(F.col("status_before"), F.col("action"), transitions)
     reviewing = F.col("action").isin(REVIEW_ACTIONS)
     own = F.coalesce(F.col("escalated_by") == F.col("actor"), F.lit(False))

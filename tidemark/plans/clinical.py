@@ -109,7 +109,8 @@ def summary_context(
 ) -> DataFrame:
     """Text per admission: facts, top diagnoses, ICU stays, abnormal labs, medications, note excerpts.
 
-    Notes fill what is left of `max_chars`, oldest first; the whole text is cut there.
+    Notes fill what is left of `max_chars`, oldest first; the whole text is cut there. Lines beyond
+    the first `max_chars` of a section could never show, so no more are gathered.
     """
     none = "(none recorded)"
     head = F.concat(
@@ -129,7 +130,7 @@ def summary_context(
     drugs = medications(prescriptions).withColumn("rank", -F.col("n"))
     parts = [
         top_lines(diagnoses, STAY, ["seq_num", "icd_code"], dx, top, "dx_lines"),
-        top_lines(icustays, STAY, ["intime", "stay_id"], stay, 1000, "icu_lines"),
+        top_lines(icustays, STAY, ["intime", "stay_id"], stay, max_chars, "icu_lines"),
         top_lines(abnormal, STAY, ["rank", "label"], lab, top, "lab_lines"),
         top_lines(drugs, STAY, ["rank", "drug"], drug, top, "drug_lines"),
     ]

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.policy import work_priority
 from ..operators.aggregates import ratio_of_sums, robust_baseline
-from ..operators.context import assemble, section, top_lines
+from ..operators.context import assemble_pages
 from ..operators.filters import dimension
-from ..operators.hotkeys import HOT_ROWS
+from ..operators.hotkeys import HOT_ROWS, Hot, attach, hot_keys
 from ..operators.joins import nearest_mark
-from ..operators.windows import islands, run_lengths
+from ..operators.windows import islands, run_lengths, threads
 
 ORDER = ["ts"]
 MACHINE = ["machine_id"]
@@ -74,7 +74,7 @@ def loss_shares(losses: DataFrame, planned_min: Column) -> DataFrame:
 
 def vibration_scored(
     readings: DataFrame, baseline_days: int = 14, alert_z: float = 4.0, alert_rows: int = 12, watch_z: float = 2.5,
-    watch_rows: int = 6, hot_rows: int | None = HOT_ROWS,
+    watch_rows: int = 6, hot: Hot = HOT_ROWS,
 ) -> DataFrame:
     """Readings with their machine's baseline, robust z-score, and alert and watch flags.
 
@@ -84,26 +84,27 @@ def vibration_scored(
     """
     start = readings.agg(F.min("ts").alias("t0")).scalar()
     early = F.col("ts") < start + F.expr(f"INTERVAL {int(baseline_days)} DAYS")
-    base = robust_baseline(readings, MACHINE, "vibration_rms", early)
+    known = hot_keys(readings, MACHINE, hot)
+    base = robust_baseline(readings, MACHINE, "vibration_rms", early, known)
     z = F.try_divide(F.col("vibration_rms") - F.col("baseline"), F.lit(MAD_TO_SIGMA) * F.col("mad"))
-    scored = readings.join(base, MACHINE).withColumn("z", z).drop("mad")
+    scored = attach(readings, base, MACHINE, hot=known).withColumn("z", z).drop("mad")
     flags = {"__hot": F.col("z") > alert_z, "__warm": F.col("z") > watch_z}
-    counted = run_lengths(scored, MACHINE, ORDER, flags, hot_rows)
+    counted = run_lengths(scored, MACHINE, ORDER, flags, known)
     return counted.withColumns(
         {"alert_hour": F.col("__hot") >= alert_rows, "watch_hour": F.col("__warm") >= watch_rows}
     ).drop("__hot", "__warm")
 
 
-def alert_episodes(scored: DataFrame, max_gap: str | None = None, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def alert_episodes(scored: DataFrame, max_gap: str | None = None, hot: Hot = HOT_ROWS) -> DataFrame:
     """Runs of consecutive alert rows: started_at, last_seen_at, hours."""
     aggs = [F.min("ts").alias("started_at"), F.max("ts").alias("last_seen_at"), F.count(F.lit(1)).alias("hours")]
-    return islands(scored, MACHINE, ORDER, F.col("alert_hour"), aggs, max_gap=max_gap, hot_rows=hot_rows)
+    return islands(scored, MACHINE, ORDER, F.col("alert_hour"), aggs, max_gap=max_gap, hot=hot)
 
 
-def machine_status(scored: DataFrame, machines: DataFrame, hours: int = 24) -> DataFrame:
+def machine_status(scored: DataFrame, machines: DataFrame, hours: int = 24, hot: Hot = HOT_ROWS) -> DataFrame:
     """ALERT, WATCH or OK over each machine's own latest hours, with recent averages."""
     newest = scored.groupBy("machine_id").agg(F.max("ts").alias("last_ts"))
-    recent = scored.join(newest, "machine_id").where(F.col("ts") > F.col("last_ts") - F.expr(f"INTERVAL {int(hours)} HOURS"))
+    recent = attach(scored, newest, MACHINE, hot=hot_keys(scored, MACHINE, hot)).where(F.col("ts") > F.col("last_ts") - F.expr(f"INTERVAL {int(hours)} HOURS"))
     summary = recent.groupBy("machine_id").agg(
         F.when(F.bool_or("alert_hour"), "ALERT").when(F.bool_or("watch_hour"), "WATCH").otherwise("OK").alias("status"),
         F.round(F.try_divide(F.avg("vibration_rms"), F.max("baseline")), 2).alias("vibration_x_baseline"),
@@ -114,11 +115,11 @@ def machine_status(scored: DataFrame, machines: DataFrame, hours: int = 24) -> D
     return names.join(summary, "machine_id")
 
 
-def lead_times(episodes: DataFrame, maintenance: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def lead_times(episodes: DataFrame, maintenance: DataFrame, hot: Hot = HOT_ROWS) -> DataFrame:
     """Per episode the first corrective repair after its start, and the warning time in days."""
     fixes = maintenance.where(F.col("type") == "CORRECTIVE").select("machine_id", "ts")
     starts = episodes.withColumnRenamed("started_at", "ts")
-    matched = nearest_mark(starts, fixes, MACHINE, "ts", "repaired_at", forward=True, strict=True, hot_rows=hot_rows)
+    matched = nearest_mark(starts, fixes, MACHINE, "ts", "repaired_at", forward=True, strict=True, hot=hot)
     micros = F.unix_micros(F.col("repaired_at").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))
     return (
         matched.where(F.col("repaired_at").isNotNull())
@@ -128,29 +129,28 @@ def lead_times(episodes: DataFrame, maintenance: DataFrame, hot_rows: int | None
 
 
 def work_order_context(
-    status: DataFrame, episodes: DataFrame, maintenance: DataFrame, manuals: DataFrame, lines: int = 1000
+    status: DataFrame, episodes: DataFrame, maintenance: DataFrame, manuals: DataFrame, page_rows: int = 10_000, hot: Hot = HOT_ROWS
 ) -> DataFrame:
-    """Text for a work-order draft per machine: status, alert history, maintenance, manual sections."""
+    """Text for a work-order draft per machine: status, alert history, maintenance, manual sections.
+
+    A history beyond `page_rows` lines continues on further pages.
+    """
     alerts = F.format_string("Sustained high vibration from %s for %d h", F.col("started_at").cast("string"), "hours")
     fixed = F.format_string("%s %s: %s", F.col("ts").cast("string"), "type", "note")
     manual = F.format_string("[%s] %s: %s", "section_id", "title", "content")
-    parts = [
-        top_lines(episodes, MACHINE, ["started_at"], alerts, lines, "alert_lines"),
-        top_lines(maintenance, MACHINE, ["ts", "type", "note"], fixed, lines, "repair_lines"),
-    ]
-    sections = top_lines(manuals, ["machine_type"], ["section_id"], manual, lines, "manual_lines")
     head = F.format_string("## Machine %s (%s, line %s)", F.col("machine_id").cast("string"), "machine_type", "line")
-    now = F.format_string(
+    state = F.format_string(
         "Current status %s: vibration %sx its baseline over the last 24 h, temperature %s C.",
         "status", F.col("vibration_x_baseline").cast("string"), F.col("temperature_c").cast("string"),
     )
-    parents = status.join(sections, "machine_type", "left")
-    text = [
-        head,
-        now,
-        section("## Alert history", F.col("alert_lines"), "none"),
-        section("## Maintenance history", F.col("repair_lines"), "none"),
-        section("## Manual sections", F.col("manual_lines"), ""),
+    # Manuals belong to machine types: the text is made once per type, then given to its machines.
+    # Section ids are text, so the position comes from their rank by a constant first column.
+    per_type = threads(manuals.withColumn("one", F.lit(1)), ["machine_type"], ["one", "section_id"], manual, "text", page_rows=page_rows)
+    for_machine = status.select("machine_id", "machine_type").join(per_type, "machine_type").drop("machine_type")
+    parts = [
+        ("## Alert history", "none", threads(episodes, MACHINE, ["started_at"], alerts, "text", page_rows=page_rows, hot=hot)),
+        ("## Maintenance history", "none", threads(maintenance, MACHINE, ["ts", "type", "note"], fixed, "text", page_rows=page_rows, hot=hot)),
+        ("## Manual sections", "", for_machine),
     ]
-    out = assemble(parents, parts, MACHINE, text)
+    out = assemble_pages(status, [head, state], parts, MACHINE)
     return out.join(status.select("machine_id", work_priority(F.col("status")).alias("priority")), "machine_id")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..operators.aggregates import share_pct, union_all
 from ..operators.filters import right_closed_bands
-from ..operators.hotkeys import HOT_ROWS
+from ..operators.hotkeys import HOT_ROWS, Hot, hot_keys
 from ..operators.joins import interval_totals, nearest_mark
 from ..operators.windows import paged_lists, previous, trailing_span
 from ..operators.workflow import TERMINAL
@@ -65,56 +65,58 @@ def _summarise(evidence: DataFrame) -> DataFrame:
     )
 
 
-def burst(rows: DataFrame, min_count: int, span: str, hot_rows: int | None = HOT_ROWS) -> RuleHits:
+def burst(rows: DataFrame, min_count: int, span: str, hot: Hot = HOT_ROWS) -> RuleHits:
     """At least `min_count` rows within `span`; evidence is every row inside some such window.
 
     A row is inside one exactly when the next triggering instant is at most `span` away.
     """
-    counts = trailing_span(rows, CUSTOMER, "ts", span, {"n": F.lit(1)}, hot_rows)
+    known = hot_keys(rows, CUSTOMER, hot)
+    counts = trailing_span(rows, CUSTOMER, "ts", span, {"n": F.lit(1)}, known)
     triggers = counts.where(F.col("n") >= min_count).select("customer_id", "ts")
-    near = nearest_mark(rows.select(*EVIDENCE), triggers, CUSTOMER, "ts", "trigger_ts", forward=True, hot_rows=hot_rows)
+    near = nearest_mark(rows.select(*EVIDENCE), triggers, CUSTOMER, "ts", "trigger_ts", forward=True, hot=known)
     evidence = near.where(F.col("trigger_ts") <= F.col("ts") + F.expr(f"INTERVAL {span}")).select(*EVIDENCE)
     return RuleHits(_summarise(evidence), evidence)
 
 
 def structuring(
     txns: DataFrame, low: int = 800_000, high: int = 999_999, min_count: int = 3, span: str = "7 days",
-    hot_rows: int | None = HOT_ROWS,
+    hot: Hot = HOT_ROWS,
 ) -> RuleHits:
     """Repeated cash deposits just below the reporting threshold."""
     deposits = txns.where((F.col("type") == "CASH_DEPOSIT") & F.col("amount_cents").between(low, high))
-    return burst(deposits, min_count, span, hot_rows)
+    return burst(deposits, min_count, span, hot)
 
 
 def round_amounts(
     txns: DataFrame, minimum: int = 500_000, unit: int = 100_000, min_count: int = 5, span: str = "30 days",
-    hot_rows: int | None = HOT_ROWS,
+    hot: Hot = HOT_ROWS,
 ) -> RuleHits:
     """Repeated outgoing transfers of exact round amounts."""
     cents = F.col("amount_cents")
     rounded = txns.where(F.col("type").isin(OUTGOING) & (cents >= minimum) & (cents % unit == 0))
-    return burst(rounded, min_count, span, hot_rows)
+    return burst(rounded, min_count, span, hot)
 
 
 def rapid_movement(
     txns: DataFrame, minimum: int = 2_000_000, share_pct: int = 80, span: str = "48 hours",
-    hot_rows: int | None = HOT_ROWS,
+    hot: Hot = HOT_ROWS,
 ) -> RuleHits:
     """Large incoming wires mostly sent out again soon after (later than the wire itself)."""
     window = F.expr(f"INTERVAL {span}")
     wires = txns.where((F.col("type") == "WIRE_IN") & (F.col("amount_cents") >= minimum))
     wires = wires.select("customer_id", "txn_id", "ts", "amount_cents")
     out = txns.where(F.col("type").isin(OUTGOING)).select(*EVIDENCE)
+    known = hot_keys(txns.where(F.col("type").isin("WIRE_IN", *OUTGOING)), CUSTOMER, hot)
     sent = interval_totals(
         wires, out, CUSTOMER, "ts", ["txn_id", "amount_cents"], F.col("ts"), F.col("ts") + window,
-        {"sent_cents": F.col("amount_cents")}, hot_rows=hot_rows,
+        {"sent_cents": F.col("amount_cents")}, hot=known,
     )
     moved = sent.where(
         (F.col("sent_cents") > 0) & (F.col("sent_cents") * 100 >= F.col("amount_cents") * share_pct)
     ).select("customer_id", "txn_id")
     hits = wires.join(moved, ["customer_id", "txn_id"], "left_semi")
     after = nearest_mark(
-        out, hits.select("customer_id", "ts"), CUSTOMER, "ts", "wire_ts", forward=False, strict=True, hot_rows=hot_rows
+        out, hits.select("customer_id", "ts"), CUSTOMER, "ts", "wire_ts", forward=False, strict=True, hot=known
     )
     followed = after.where(F.col("ts") <= F.col("wire_ts") + window).select(*EVIDENCE)
     evidence = hits.select(*EVIDENCE, F.lit(True).alias("incoming")).unionByName(
@@ -140,36 +142,38 @@ def high_risk_jurisdiction(txns: DataFrame, countries: list[str] = HIGH_RISK_COU
 
 def dormant_reactivation(
     txns: DataFrame, gap: str = "60 days", span: str = "7 days", minimum: int = 2_500_000,
-    hot_rows: int | None = HOT_ROWS,
+    hot: Hot = HOT_ROWS,
 ) -> RuleHits:
     """A long silence, then a large sum within the following span (both ends included).
 
     The gap must be longer than the span: bursts of one customer then never overlap.
     """
     rows = txns.select(*EVIDENCE)
+    known = hot_keys(rows, CUSTOMER, hot)
     window = F.expr(f"INTERVAL {span}")
     instants = rows.groupBy("customer_id", "ts").agg(F.sum("amount_cents").alias("amount_cents"))
-    woken = previous(instants, CUSTOMER, ["ts"], "ts", "prev_ts", hot_rows).where(
+    woken = previous(instants, CUSTOMER, ["ts"], "ts", "prev_ts", known).where(
         F.col("ts") >= F.col("prev_ts") + F.expr(f"INTERVAL {gap}")
     ).select("customer_id", "ts")
     moved = interval_totals(
         woken.withColumn("wake_ts", F.col("ts")), rows, CUSTOMER, "ts", ["wake_ts"], F.col("ts"), F.col("ts") + window,
-        {"total_cents": F.col("amount_cents")}, include_lo=True, hot_rows=hot_rows,
+        {"total_cents": F.col("amount_cents")}, include_lo=True, hot=known,
     )
     bursts = moved.where(F.col("total_cents") >= minimum).select("customer_id", F.col("wake_ts").alias("ts"))
-    near = nearest_mark(rows, bursts, CUSTOMER, "ts", "wake_ts", forward=False, hot_rows=hot_rows)
+    near = nearest_mark(rows, bursts, CUSTOMER, "ts", "wake_ts", forward=False, hot=known)
     inside = near.where(F.col("ts") <= F.col("wake_ts") + window)
     return RuleHits(_summarise(inside), inside.select(*EVIDENCE))
 
 
-def run_rules(txns: DataFrame, hot_rows: int | None = HOT_ROWS) -> dict[str, RuleHits]:
-    """All rules with their default thresholds."""
+def run_rules(txns: DataFrame, hot: Hot = HOT_ROWS) -> dict[str, RuleHits]:
+    """All rules with their default thresholds; hot customers are looked up once for all."""
+    hot = hot_keys(txns, CUSTOMER, hot)
     return {
-        "STRUCTURING": structuring(txns, hot_rows=hot_rows),
-        "RAPID_MOVEMENT": rapid_movement(txns, hot_rows=hot_rows),
+        "STRUCTURING": structuring(txns, hot=hot),
+        "RAPID_MOVEMENT": rapid_movement(txns, hot=hot),
         "HIGH_RISK_JURISDICTION": high_risk_jurisdiction(txns),
-        "DORMANT_REACTIVATION": dormant_reactivation(txns, hot_rows=hot_rows),
-        "ROUND_AMOUNTS": round_amounts(txns, hot_rows=hot_rows),
+        "DORMANT_REACTIVATION": dormant_reactivation(txns, hot=hot),
+        "ROUND_AMOUNTS": round_amounts(txns, hot=hot),
     }
 
 

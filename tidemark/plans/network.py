@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.policy import churn_risk, service_credit
-from ..operators.hotkeys import HOT_ROWS
+from ..operators.hotkeys import HOT_ROWS, Hot
 from ..operators.joins import interval_join
 from ..operators.text import fallback_message, render
 from ..operators.windows import islands
@@ -17,7 +17,7 @@ INTERVAL_MINUTES = 15
 def incidents(
     kpis: DataFrame, sites: DataFrame, min_rows: int = 2, interval_minutes: int = INTERVAL_MINUTES,
     low_availability: float = 95, high_drops: float = 2, outage_below: float = 50,
-    max_gap: str | None = None, hot_rows: int | None = HOT_ROWS,
+    max_gap: str | None = None, hot: Hot = HOT_ROWS,
 ) -> DataFrame:
     """Runs of at least `min_rows` bad intervals per site, as outages or degradations.
 
@@ -31,7 +31,7 @@ def incidents(
         F.min("availability_pct").alias("lowest"),
         F.max("drop_call_rate_pct").alias("worst_drops"),
     ]
-    runs = islands(kpis, ["site_id"], ["ts"], bad, aggs, min_rows, max_gap, hot_rows)
+    runs = islands(kpis, ["site_id"], ["ts"], bad, aggs, min_rows, max_gap, hot)
     newest = kpis.agg(F.max("ts").alias("ts")).scalar()
     site = F.col("site_id").cast("string")
     return runs.join(sites.select("site_id", "area"), "site_id").select(

@@ -1032,6 +1032,30 @@ CLINICAL = [
         "admission_context",
         "hadm_id:b context:s",
         lambda t: clinical.summary_context(t.h_admissions, t.h_patients, t.h_diagnoses, t.h_labs, t.h_rx, t.h_icu, t.h_notes),
+        """WITH dx AS (SELECT hadm_id, string_agg(concat(seq_num, '. ', coalesce(long_title, 'ICD code'), ' (', icd_code, ', ICD-', icd_version, ')'), chr(10)
+            ORDER BY seq_num, icd_code, rn) AS t FROM (SELECT *, row_number() OVER (PARTITION BY hadm_id ORDER BY seq_num, icd_code, long_title NULLS FIRST) AS rn
+            FROM {h_diagnoses}) WHERE rn <= 25 GROUP BY 1),
+        icu AS (SELECT hadm_id, string_agg(concat(first_careunit, ': ', printf('%.1f', los), ' days'), chr(10) ORDER BY intime, stay_id) AS t
+            FROM {h_icu} GROUP BY 1),
+        lab AS (SELECT hadm_id, string_agg(concat(label, ': ', n, 'x, ', lo, '-', hi, ' ', unit, ', last ', newest), chr(10) ORDER BY n DESC, label) AS t
+            FROM (SELECT hadm_id, label, count(*) AS n, min(valuenum) AS lo, max(valuenum) AS hi, max(valueuom) AS unit,
+                  arg_max(valuenum, (charttime, valuenum)) AS newest FROM {h_labs} WHERE flag = 'abnormal' GROUP BY ALL) GROUP BY 1),
+        rx AS (SELECT hadm_id, string_agg(concat(drug, ' (', n, ' orders; ', route, ')'), chr(10) ORDER BY n DESC, drug) AS t
+            FROM (SELECT hadm_id, drug, count(*) AS n, max(route) AS route FROM {h_rx} GROUP BY ALL) GROUP BY 1),
+        head AS (SELECT a.hadm_id, concat_ws(chr(10), '## Admission', concat('Age ', a.age, CASE WHEN a.age >= 90 THEN '+' ELSE '' END, ', ', p.gender, '; ',
+            a.admission_type, ' admission via ', coalesce(a.admission_location, 'unknown'), '; length of stay ', a.los_days, ' days; discharged to ',
+            a.discharge_location, '; in-hospital death: ', CASE WHEN a.hospital_expire_flag = 1 THEN 'yes' ELSE 'no' END, '.'),
+          '## Diagnoses (by priority)', coalesce(dx.t, '(none recorded)'), '## ICU stays', coalesce(icu.t, '(none recorded)'),
+          '## Labs flagged abnormal (count, min-max, last value)', coalesce(lab.t, '(none recorded)'),
+          '## Medications (most frequent)', coalesce(rx.t, '(none recorded)')) AS t
+          FROM {h_admissions} a JOIN {h_patients} p ON p.subject_id = a.subject_id LEFT JOIN dx ON dx.hadm_id = a.hadm_id
+          LEFT JOIN icu ON icu.hadm_id = a.hadm_id LEFT JOIN lab ON lab.hadm_id = a.hadm_id LEFT JOIN rx ON rx.hadm_id = a.hadm_id),
+        n AS (SELECT n.*, 12000 - length(head.t) - 100 - coalesce(sum(length(n.text) + 50) OVER (PARTITION BY n.hadm_id ORDER BY n.charttime, n.note_id
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS budget FROM {h_notes} n JOIN head ON head.hadm_id = n.hadm_id),
+        e AS (SELECT hadm_id, string_agg(concat('### ', note_type, ' (', charttime, ')', chr(10), substr(text, 1, CAST(budget AS BIGINT) - 50)), chr(10)
+            ORDER BY charttime, note_id) FILTER (budget > 200) AS t FROM n GROUP BY 1)
+        SELECT head.hadm_id, substr(CASE WHEN e.hadm_id IS NULL THEN head.t ELSE concat_ws(chr(10), head.t, '## Clinical notes (excerpts)', e.t) END,
+          1, 12000) AS context FROM head LEFT JOIN e ON e.hadm_id = head.hadm_id""",
     ),
     Entry(
         "reference_counts",

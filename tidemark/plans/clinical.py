@@ -129,7 +129,7 @@ def summary_context(
     abnormal = abnormal_labs(labs).withColumn("rank", -F.col("n_abnormal"))
     drugs = medications(prescriptions).withColumn("rank", -F.col("n"))
     parts = [
-        top_lines(diagnoses, STAY, ["seq_num", "icd_code"], dx, top, "dx_lines"),
+        top_lines(diagnoses, STAY, ["seq_num", "icd_code", "long_title"], dx, top, "dx_lines"),
         top_lines(icustays, STAY, ["intime", "stay_id"], stay, max_chars, "icu_lines"),
         top_lines(abnormal, STAY, ["rank", "label"], lab, top, "lab_lines"),
         top_lines(drugs, STAY, ["rank", "drug"], drug, top, "drug_lines"),

@@ -7,8 +7,9 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from ..operators import cdc, forecast, workflow
-from ..operators.hotkeys import hot_keys
+from ..operators.hotkeys import HOT_ROWS, Hot, hot_keys
 from ..plans import clinical, factory, inventory, moderation, monitoring, network, rentals, retail, service, spend, support
+from ..session import staged
 from .registry import Entry, Tables
 
 SQL_TODAY = "DATE '2001-06-30'"
@@ -86,6 +87,17 @@ def waiting(t: Tables):
     return cdc.unanswered(t.s_messages, t.s_cases, t.s_responses)
 
 
+def prompts(t: Tables):
+    """The queue is used by every part of the text, so it is written once.
+
+    Facts are made for the asked cases only; the texts take the 90-day counts from the profile.
+    """
+    queue = staged(waiting(t), "queue")
+    asked = t.s_cases.join(queue.select(F.col("case_id").alias("id")), "id", "left_semi")
+    facts = support.support_case_context(asked, t.s_users, t.s_messages, t.s_refunds, t.s_credits, t.s_orders, today())
+    return support.case_prompts(queue, facts, profile(t), t.s_orders, t.s_messages)
+
+
 SQL_WAITING = """SELECT message_id, case_id, user_id, subject, status FROM (
     SELECT m.id AS message_id, c.id AS case_id, c.user_id, c.subject, c.status,
            row_number() OVER (PARTITION BY c.id ORDER BY m.created_at DESC, m.id DESC) AS rn
@@ -200,7 +212,7 @@ SUPPORT = [
     Entry(
         "case_prompts",
         "case_id:b page:b prompt:s",
-        lambda t: support.case_prompts(waiting(t), case_context(t), profile(t), t.s_orders, t.s_messages),
+        prompts,
         f"""WITH x AS ({SQL_CONTEXT}), y AS ({SQL_PROFILE}),
         o AS (SELECT user_id, string_agg(concat('  [', strftime(created_at, '%Y-%m-%d %H:%M'), '] ', printf('$%.2f', total_in_cents / 100), ' — ', status),
             chr(10) ORDER BY created_at DESC, id DESC) AS lines, arg_max(total_in_cents, (created_at, id)) AS newest
@@ -419,12 +431,12 @@ def _daily_mean(daily, rows: int) -> float:
 CUSTOMER_HITS = "customer_id:b total_cents:b first_ts:t last_ts:t n_evidence:b"
 
 
-def structuring(t: Tables):
-    return monitoring.structuring(t.m_txns, low=100_000, high=1_500_000)
+def structuring(t: Tables, hot: Hot = HOT_ROWS):
+    return monitoring.structuring(t.m_txns, low=100_000, high=1_500_000, hot=hot)
 
 
-def rapid(t: Tables):
-    return monitoring.rapid_movement(t.m_txns, minimum=200_000)
+def rapid(t: Tables, hot: Hot = HOT_ROWS):
+    return monitoring.rapid_movement(t.m_txns, minimum=200_000, hot=hot)
 
 
 def jurisdiction(t: Tables):
@@ -435,8 +447,8 @@ def dormant(t: Tables):
     return monitoring.dormant_reactivation(t.m_order_txns, gap="180 days", span="30 days", minimum=30_000_000)
 
 
-def rounded(t: Tables):
-    return monitoring.round_amounts(t.m_txns, minimum=100_000, unit=1_000, min_count=2, span="10 days")
+def rounded(t: Tables, hot: Hot = HOT_ROWS):
+    return monitoring.round_amounts(t.m_txns, minimum=100_000, unit=1_000, min_count=2, span="10 days", hot=hot)
 
 
 def _burst_sql(where: str, n: int, span: str) -> str:
@@ -478,12 +490,13 @@ SQL_ALL_HITS = f"""SELECT 'STRUCTURING' AS rule_id, 70 AS severity, * FROM ({_hi
 
 
 def hits(t: Tables):
+    hot = hot_keys(t.m_txns, ["customer_id"])
     return {
-        "STRUCTURING": structuring(t),
-        "RAPID_MOVEMENT": rapid(t),
+        "STRUCTURING": structuring(t, hot),
+        "RAPID_MOVEMENT": rapid(t, hot),
         "HIGH_RISK_JURISDICTION": jurisdiction(t),
         "DORMANT_REACTIVATION": dormant(t),
-        "ROUND_AMOUNTS": rounded(t),
+        "ROUND_AMOUNTS": rounded(t, hot),
     }
 
 

@@ -8,12 +8,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import json as js
-from ..functions.text import cited, found_types, redacted, strip
+from ..functions.text import PERSONAL_DATA, cited, may_contain, strip
 
 
 def redact(df: DataFrame, column: str, out: str = "redacted", found: str = "pii_types") -> DataFrame:
-    """Add the text with personal data replaced, and the kinds found (one entry per replacement)."""
-    return df.withColumns({out: redacted(F.col(column)), found: found_types(F.col(column))})
+    """Add the text with personal data replaced, and the kinds found (one entry per replacement).
+
+    The kinds apply one after the other, each on the result of the one before. A text is searched
+    only where a cheap test says the kind may occur, and rewritten only where it does.
+    """
+    text, counts = column, []
+    for i, (label, pattern) in enumerate(PERSONAL_DATA):
+        count, done = f"__n{i}", f"__text{i}"
+        hits = F.regexp_count(F.col(text), F.lit(pattern))
+        df = df.withColumn(count, F.when(may_contain(label, F.col(text)), hits).otherwise(0))
+        rewritten = F.regexp_replace(F.col(text), pattern, f"[{label}]")
+        df = df.withColumn(done, F.when(F.col(count) > 0, rewritten).otherwise(F.col(text)))
+        counts.append(F.array_repeat(F.lit(label), F.coalesce(F.col(count), F.lit(0))))
+        text = done
+    scratch = [f"__{kind}{i}" for kind in ("n", "text") for i in range(len(PERSONAL_DATA))]
+    return df.withColumns({out: F.col(text), found: F.concat(*counts)}).drop(*scratch)
 
 
 def chunk_text(

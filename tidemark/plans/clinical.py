@@ -33,13 +33,17 @@ def cohort(
 
 
 def cohort_stats(rows: DataFrame) -> DataFrame:
-    """One row: patients, admissions, mortality, median stay."""
-    return rows.agg(
-        F.countDistinct("subject_id").alias("patients"),
+    """One row: patients, admissions, mortality, median stay.
+
+    Patients are counted apart: beside a distinct count, Spark would keep a median sketch per patient.
+    """
+    patients = rows.agg(F.countDistinct("subject_id").alias("patients")).scalar()
+    sums = rows.agg(
         F.count(F.lit(1)).alias("admissions"),
         F.round(F.lit(100) * F.avg("hospital_expire_flag"), 1).alias("mortality_pct"),
         median(F.col("los_days")).alias("median_los"),
     )
+    return sums.select(patients.alias("patients"), "*")
 
 
 def age_histogram(rows: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import maintenance
-from ..session import scratch_path
+from ..session import staged
 from .files import path_exists
 
 
@@ -30,10 +30,7 @@ def replace_table(df: DataFrame, target: str, partition: str | None = None) -> N
     The rows go to the shared folder first, since a table cannot be overwritten while it is read.
     With `partition`, only the partitions present in `df` are replaced.
     """
-    spark = df.sparkSession
-    staged = scratch_path(spark, "staged")
-    df.write.parquet(staged)
-    writer = spark.read.schema(df.schema).parquet(staged).write.mode("overwrite")
+    writer = staged(df, "next-version").write.mode("overwrite")
     if partition:
         writer = writer.partitionBy(partition).option("partitionOverwriteMode", "dynamic")
     writer.parquet(target)
@@ -53,9 +50,7 @@ def upsert_table(
 def insert_new_rows(spark: SparkSession, target: str, source: DataFrame, keys: list[str]) -> None:
     """Append the source rows whose key the table lacks; a rerun adds nothing."""
     current = spark.read.schema(source.schema).parquet(target)
-    staged = scratch_path(spark, "staged")
-    maintenance.insert_new(current, source, keys).write.parquet(staged)
-    spark.read.schema(source.schema).parquet(staged).write.mode("append").parquet(target)
+    staged(maintenance.insert_new(current, source, keys), "new-rows").write.mode("append").parquet(target)
 
 
 def publish_snapshot(df: DataFrame, target: str, jdbc: dict | None = None, batch: int = 500) -> None:

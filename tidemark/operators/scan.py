@@ -56,7 +56,8 @@ def running(
         out = df.withColumn(CHUNK, F.when(is_hot(split, keys), chunk))
     for stage in stages:
         out = _stage(out, keys, order, stage, descending, split=bool(split))
-    return out.drop(CHUNK)
+    added = [name for stage in stages for name in stage]
+    return out.select(*df.columns, *added) if split else out
 
 
 def _stage(

@@ -28,23 +28,23 @@ def steps(spark):
 
 
 def test_hot_keys_are_few_and_large(steps):
-    assert [r.k for r in hotkeys.hot_keys(steps, ["k"], 200)] == [0]
-    assert hotkeys.hot_keys(steps, ["k"], 10_000) == []
-    assert hotkeys.hot_keys(steps, ["k"], None) == []
+    assert [r.k for r in hotkeys.hot_keys(steps, ["k"], 200).keys] == [0]
+    assert not hotkeys.hot_keys(steps, ["k"], 10_000)
+    assert not hotkeys.hot_keys(steps, ["k"], None)
 
 
 def test_hot_keys_cannot_exceed_their_bound(spark):
-    many = spark.range(5000).select(F.col("id").alias("k"))
-    assert hotkeys.hot_keys(many, ["k"], 1) == []
+    many = spark.range(50_000).select(F.col("id").alias("k"))
+    assert not hotkeys.hot_keys(many, ["k"], 1)
 
 
 def test_attach_equals_join(steps):
     per_key = steps.groupBy("k").agg(F.sum("v").alias("total"))
     hot = hotkeys.hot_keys(steps, ["k"], 200)
-    assert rows(hotkeys.attach(steps, per_key, ["k"], hot=hot)) == rows(steps.join(per_key, "k"))
+    assert rows(hotkeys.attach(steps, per_key, ["k"], hot)) == rows(steps.join(per_key, "k"))
 
 
-@pytest.mark.parametrize("hot", [1, 200, None])
+@pytest.mark.parametrize("hot", [1, 60, None])
 @pytest.mark.parametrize("descending", [False, True])
 def test_running(steps, hot, descending):
     order = [F.col(c).desc() if descending else F.col(c) for c in ("ts", "id")]
@@ -72,7 +72,7 @@ def test_running(steps, hot, descending):
 def test_running_by_number_and_two_keys(steps):
     w = Window.partitionBy("k", "flag").orderBy("v", "id").rowsBetween(Window.unboundedPreceding, 0)
     expected = steps.select("id", F.sum("v").over(w).alias("a"))
-    out = scan.running(steps, ["k", "flag"], ["v", "id"], {"a": scan.total(F.col("v"))}, step=7, hot=1)
+    out = scan.running(steps, ["k", "flag"], ["v", "id"], {"a": scan.total(F.col("v"))}, hot=1)
     assert rows(out, "id", "a") == rows(expected)
 
 

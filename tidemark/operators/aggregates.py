@@ -52,7 +52,7 @@ def robust_baseline(df: DataFrame, keys: list[str], value: str, where: Column, h
     """Median and median absolute deviation per key over the baseline rows: `baseline`, `mad`."""
     base = df.where(where).select(*keys, value)
     centre = base.groupBy(*keys).agg(median(F.col(value)).alias("baseline"))
-    centred = attach(base, centre, keys, hot=hot_keys(base, keys, hot))
+    centred = attach(base, centre, keys, hot_keys(base, keys, hot))
     distance = F.abs(F.col(value) - F.col("baseline"))
     return centred.groupBy(*keys).agg(F.first("baseline").alias("baseline"), median(distance).alias("mad"))
 

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .hotkeys import HOT_ROWS, Hot, hot_keys, is_hot
+from .hotkeys import HOT_ROWS, Hot, hot_keys, with_parts
 from .joins import spine_join
 from .scan import running, total
 
@@ -26,10 +26,10 @@ def top_lines(
     cut within hashed parts.
     """
     lines = df.select(*keys, F.struct(*order).alias("__at"), line.alias("__line"))
-    split = hot_keys(lines, keys, hot) if n > GROUP_LIMIT else []
+    split = hot_keys(lines, keys, hot if n > GROUP_LIMIT else None)
     if split:
-        part = F.when(is_hot(split, keys), F.pmod(F.xxhash64("__at"), F.lit(1024)))
-        lines = _first_n(lines.withColumn("__part", part), [*keys, "__part"], n, newest).drop("__part")
+        parted = with_parts(lines, keys, F.pmod(F.xxhash64("__at"), F.lit(1024)), split, "__part")
+        lines = _first_n(parted, [*keys, "__part"], n, newest).drop("__part")
     kept = _first_n(lines, keys, n, newest)
     listed = F.sort_array(F.collect_list(F.struct("__at", "__line")), asc=not newest)
     return kept.groupBy(*keys).agg(F.transform(listed, lambda x: x["__line"]).alias(alias))

@@ -1,56 +1,98 @@
 """Finding the few keys that hold an outsized share of the rows, and splitting them.
 
-A key counts as hot when it has at least `min_rows` rows AND more than 1/MAX_HOT_KEYS of all rows.
+A key counts as hot when it has at least `threshold` rows AND more than 1/MAX_HOT_KEYS of all rows.
 By the second test fewer than MAX_HOT_KEYS keys can qualify whatever the data, so the list fits the
-driver and a literal at any scale. Every other key holds at most 1/MAX_HOT_KEYS of the rows.
+driver and a broadcast at any scale. Every other key holds at most 1/MAX_HOT_KEYS of the rows.
 Finding the list is one pass over the key columns with map-side counts.
 
-Operators take `hot`: a row threshold (they look for hot keys themselves), a list already found (to
-share one pass between operators on the same key), or None (groups are bounded by construction).
+Operators take `hot`: a row threshold (they look for hot keys themselves), a `HotKeys` already found
+(to share one pass between operators on the same key), or None (groups are bounded by construction).
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-MAX_HOT_KEYS = 1000
+MAX_HOT_KEYS = 10_000
 HOT_ROWS = 1_000_000
 CHUNK = "__chunk"
 
-Hot = list[Row] | int | None
+
+@dataclass(frozen=True)
+class HotKeys:
+    """Hot keys and the number of rows a chunk of one should have."""
+
+    keys: list[Row]
+    threshold: int
+
+    def __bool__(self) -> bool:
+        return bool(self.keys)
+
+    def frame(self, df: DataFrame, keys: list[str]) -> DataFrame:
+        """The keys as a DataFrame to broadcast: fewer than MAX_HOT_KEYS rows."""
+        return F.broadcast(df.sparkSession.createDataFrame(self.keys, df.select(*keys).schema))
 
 
-def hot_keys(df: DataFrame, keys: list[str], hot: Hot = HOT_ROWS) -> list[Row]:
-    """The hot keys of `df`, fewer than MAX_HOT_KEYS. Null keys are never reported."""
+Hot = HotKeys | int | None
+
+
+def hot_keys(df: DataFrame, keys: list[str], hot: Hot = HOT_ROWS) -> HotKeys:
+    """The hot keys of `df`. Null keys are never reported."""
     if hot is None:
-        return []
-    if isinstance(hot, list):
+        return HotKeys([], HOT_ROWS)
+    if isinstance(hot, HotKeys):
         return hot
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
     total = counts.agg(F.sum("__rows").alias("__total")).scalar()
     found = counts.where((F.col("__rows") >= hot) & (F.col("__rows") * MAX_HOT_KEYS > total))
-    return found.dropna(subset=keys).select(*keys).collect()
-
-
-def is_hot(hot: list[Row], keys: list[str]) -> Column:
-    """True for rows whose key is in the list."""
-    if not hot:
-        return F.lit(False)
-    if len(keys) == 1:
-        return F.coalesce(F.col(keys[0]).isin([r[0] for r in hot]), F.lit(False))
-    listed = [F.struct(*[F.lit(v).alias(k) for k, v in zip(keys, r)]) for r in hot]
-    return F.coalesce(F.struct(*[F.col(k) for k in keys]).isin(listed), F.lit(False))
+    return HotKeys(found.dropna(subset=keys).select(*keys).collect(), hot)
 
 
-def attach(df: DataFrame, per_key: DataFrame, keys: list[str], how: str = "inner", hot: list[Row] | None = None) -> DataFrame:
+def attach(df: DataFrame, per_key: DataFrame, keys: list[str], hot: HotKeys) -> DataFrame:
     """Join one row per key onto `df` without moving the rows of hot keys.
 
     The hot keys' part of `per_key` has fewer than MAX_HOT_KEYS rows and is broadcast; other rows
     meet theirs in an ordinary join.
     """
     if not hot:
-        return df.join(per_key, keys, how)
-    inside = is_hot(hot, keys)
-    usual = df.where(~inside).join(per_key, keys, how)
-    return usual.unionByName(df.where(inside).join(F.broadcast(per_key.where(inside)), keys, how))
+        return df.join(per_key, keys)
+    few = hot.frame(df, keys)
+    usual = df.join(few, keys, "left_anti").join(per_key, keys)
+    split = df.join(F.broadcast(per_key.join(few, keys, "left_semi")), keys)
+    return usual.unionByName(split)
+
+
+def with_parts(df: DataFrame, keys: list[str], part: Column, hot: HotKeys, name: str = CHUNK) -> DataFrame:
+    """Add `name`: the part number for rows of hot keys, NULL for all others."""
+    few = hot.frame(df, keys).withColumn("__hot", F.lit(True))
+    return df.join(few, keys, "left").withColumn(name, F.when(F.col("__hot"), part)).drop("__hot")
+
+
+def with_chunks(df: DataFrame, keys: list[str], lead: Column, hot: HotKeys) -> DataFrame:
+    """Add CHUNK along the ordering number `lead`: about `threshold` rows each, in order.
+
+    A hot key's range is cut evenly, into as many chunks as its own row count asks for. The ranges
+    come from one pass over the hot keys' rows and are fewer than MAX_HOT_KEYS.
+    """
+    x = lead.cast("double")
+    measured = (
+        df.join(hot.frame(df, keys), keys, "left_semi")
+        .groupBy(*keys)
+        .agg(F.min(x).alias("__lo"), (F.max(x) + 1).alias("__hi"), F.ceil(F.count(F.lit(1)) / hot.threshold).alias("__n"))
+    )
+    spans = F.broadcast(df.sparkSession.createDataFrame(measured.collect(), measured.schema))
+    chunk = F.width_bucket(x, F.col("__lo"), F.col("__hi"), F.col("__n"))
+    return df.join(spans, keys, "left").withColumn(CHUNK, chunk).drop("__lo", "__hi", "__n")
+
+
+def join_dimension(df: DataFrame, dim: DataFrame, on: list[str], how: str = "inner", max_rows: int = 100_000) -> DataFrame:
+    """Join a table that is usually small: broadcast when it has at most `max_rows` rows.
+
+    The size is checked first, by counting no further than `max_rows`. A larger one takes an ordinary
+    join, where adaptive execution splits skewed partitions.
+    """
+    small = dim.limit(max_rows + 1).count() <= max_rows
+    return df.join(F.broadcast(dim) if small else dim, on, how)

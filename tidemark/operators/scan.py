@@ -1,6 +1,6 @@
 """Ordered running values per key that stay parallel inside one hot key.
 
-A plain window puts a whole key into one task. Here a hot key is cut into time chunks; each chunk is
+A plain window puts a whole key into one task. Here a hot key is cut into chunks along the order; each chunk is
 scanned on its own, and the state at the end of the chunks before it (one row per chunk) is joined
 back and added. When no key is hot this is one shuffle and one plain window.
 """
@@ -12,7 +12,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .hotkeys import CHUNK, HOT_ROWS, Hot, hot_keys, is_hot
+from .hotkeys import CHUNK, HOT_ROWS, Hot, hot_keys, with_chunks
 
 
 class Scan(NamedTuple):
@@ -36,30 +36,29 @@ def running(
     keys: list[str],
     order: list[str],
     *stages: dict[str, Scan],
-    unit: str = "day",
-    step: int = 100_000,
     descending: bool = False,
     hot: Hot = HOT_ROWS,
 ) -> DataFrame:
     """Add running columns. A later stage may refer to columns made by an earlier one.
 
-    Hot keys are cut along `order[0]`: at `unit` boundaries for a date or timestamp, every `step` for
-    a number. `order` as a whole should be unique per key, otherwise the order among equal rows is
-    unspecified.
+    Hot keys are cut along `order[0]`, a date, timestamp or number. `order` as a whole should be
+    unique per key, otherwise the order among equal rows is unspecified.
     """
     split = hot_keys(df, keys, hot)
-    out = df
-    if split:
-        lead = F.col(order[0])
-        timed = dict(df.dtypes)[order[0]].startswith(("timestamp", "date"))
-        chunk = F.date_trunc(unit, lead.cast("timestamp")) if timed else F.floor(lead / step)
-        out = df.withColumn(CHUNK, F.when(is_hot(split, keys), chunk))
+    out = with_chunks(df, keys, _as_number(df, order[0]), split) if split else df
     for stage in stages:
         out = _stage(out, keys, order, stage, descending, split=bool(split))
     added = [name for stage in stages for name in stage]
     return out.select(*df.columns, *added) if split else out
 
 
+def _as_number(df: DataFrame, column: str) -> Column:
+    kind = dict(df.dtypes)[column]
+    if kind.startswith("timestamp"):
+        return F.unix_micros(F.col(column).cast("timestamp"))
+    return F.unix_date(column) if kind == "date" else F.col(column)
+
+
 def _stage(
     df: DataFrame, keys: list[str], order: list[str], scans: dict[str, Scan], descending: bool, split: bool
 ) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import json as js
 from ..functions.text import PERSONAL_DATA, cited, may_contain, strip
+from .hotkeys import join_dimension
 
 
 def redact(df: DataFrame, column: str, out: str = "redacted", found: str = "pii_types") -> DataFrame:
@@ -129,15 +130,15 @@ def parse_triage(df: DataFrame, column: str, taxonomy: DataFrame) -> DataFrame:
     """
     doc = js.parsed(js.braces(F.col(column)))
     names = taxonomy.select(
-        F.col("category").alias("__category"), F.col("department").alias("__department"), F.col("priority").alias("__default")
+        F.col("category").alias("__named"), F.lit(True).alias("__listed"), F.col("department").alias("__department"), F.col("priority").alias("__default")
     )
     read = df.withColumn("__doc", doc).withColumn("__named", js.field(F.col("__doc"), "category"))
-    joined = read.join(names, F.col("__named") == F.col("__category"), "left")
-    valid = F.col("__category").isNotNull()
+    joined = join_dimension(read, names, ["__named"], "left")
+    valid = F.coalesce("__listed", F.lit(False))
     doc, asked = F.col("__doc"), js.field(F.col("__doc"), "priority")
     return joined.withColumns(
         {
-            "category": F.coalesce("__category", F.lit(MANUAL_REVIEW)),
+            "category": F.when(valid, F.col("__named")).otherwise(MANUAL_REVIEW),
             "department": F.col("__department"),
             "priority": F.when(~valid, "MEDIUM").otherwise(F.when(asked.isin(PRIORITIES), asked).otherwise(F.col("__default"))),
             "location": F.when(valid, js.clipped(doc, "location", 200)).otherwise(""),
@@ -145,7 +146,7 @@ def parse_triage(df: DataFrame, column: str, taxonomy: DataFrame) -> DataFrame:
             "confidence": F.when(valid, js.number(doc, "confidence", 0, 1)).otherwise(0.0),
             "valid": valid,
         }
-    ).drop("__doc", "__named", "__category", "__department", "__default")
+    ).drop("__doc", "__named", "__listed", "__department", "__default")
 
 
 REPLY_ACTIONS = ["refund", "credit", "no_action", "escalate", "resolve"]

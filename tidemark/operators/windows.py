@@ -163,7 +163,7 @@ def threads(
     key with up to `page_rows` rows has exactly one page.
     """
     numbered = df.withColumns({"__line": line, "__at": F.struct(*order)})
-    ranked = running(numbered, keys, order, {"__pos": total(F.lit(1))}, step=page_rows, hot=hot)
+    ranked = running(numbered, keys, order, {"__pos": total(F.lit(1))}, hot=hot)
     pages = ranked.withColumn("page", F.floor((F.col("__pos") - 1) / page_rows).cast("long"))
     lines = F.sort_array(F.collect_list(F.struct(F.col("__pos").alias("p"), F.col("__line").alias("t"))))
     joined = F.array_join(F.transform(lines, lambda x: x["t"]), separator)

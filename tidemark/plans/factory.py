@@ -87,7 +87,7 @@ def vibration_scored(
     known = hot_keys(readings, MACHINE, hot)
     base = robust_baseline(readings, MACHINE, "vibration_rms", early, known)
     z = F.try_divide(F.col("vibration_rms") - F.col("baseline"), F.lit(MAD_TO_SIGMA) * F.col("mad"))
-    scored = attach(readings, base, MACHINE, hot=known).withColumn("z", z).drop("mad")
+    scored = attach(readings, base, MACHINE, known).withColumn("z", z).drop("mad")
     flags = {"__hot": F.col("z") > alert_z, "__warm": F.col("z") > watch_z}
     counted = run_lengths(scored, MACHINE, ORDER, flags, known)
     return counted.withColumns(
@@ -104,7 +104,7 @@ def alert_episodes(scored: DataFrame, max_gap: str | None = None, hot: Hot = HOT
 def machine_status(scored: DataFrame, machines: DataFrame, hours: int = 24, hot: Hot = HOT_ROWS) -> DataFrame:
     """ALERT, WATCH or OK over each machine's own latest hours, with recent averages."""
     newest = scored.groupBy("machine_id").agg(F.max("ts").alias("last_ts"))
-    recent = attach(scored, newest, MACHINE, hot=hot_keys(scored, MACHINE, hot)).where(F.col("ts") > F.col("last_ts") - F.expr(f"INTERVAL {int(hours)} HOURS"))
+    recent = attach(scored, newest, MACHINE, hot_keys(scored, MACHINE, hot)).where(F.col("ts") > F.col("last_ts") - F.expr(f"INTERVAL {int(hours)} HOURS"))
     summary = recent.groupBy("machine_id").agg(
         F.when(F.bool_or("alert_hour"), "ALERT").when(F.bool_or("watch_hour"), "WATCH").otherwise("OK").alias("status"),
         F.round(F.try_divide(F.avg("vibration_rms"), F.max("baseline")), 2).alias("vibration_x_baseline"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.filters import rank_of, violations
+from ..operators.hotkeys import join_dimension
 from ..operators.joins import complete_dimension, pick_child
 from ..operators.maintenance import update_by_key
 from ..operators.windows import threads
@@ -87,7 +88,7 @@ def guideline_prompt(submissions: DataFrame, guidelines: DataFrame) -> DataFrame
         F.col("body"),
         F.lit('\n---END USER CONTENT---\n\nAnswer with JSON only: {"compliance_score": 0-100, "issues": [], "suggestions": ""}'),
     )
-    return submissions.join(rules, "target").select("id", "page", text.alias("prompt"))
+    return join_dimension(submissions, rules, ["target"]).select("id", "page", text.alias("prompt"))
 
 
 def apply_reviews(submissions: DataFrame, reviews: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.aggregates import mean_or
+from ..operators.hotkeys import join_dimension
 
 DEFAULT_FARE = 99.0
 
@@ -22,9 +23,8 @@ def revenue_by_destination(
     per_booking = reviews.groupBy("booking_id").agg(
         F.count(F.lit(1)).alias("n"), F.sum("rating").alias("stars"), F.count("rating").alias("rated")
     )
-    places = properties.select("property_id", "destination_id").join(
-        destinations.select("destination_id", "destination", "country"), "destination_id"
-    )
+    named = destinations.select("destination_id", "destination", "country")
+    places = join_dimension(properties.select("property_id", "destination_id"), named, ["destination_id"])
     times = F.lit(1) if dedupe else F.coalesce("n", F.lit(1))
     return (
         bookings.select("booking_id", "property_id", "total_amount")
@@ -49,10 +49,10 @@ def booking_detail(bookings: DataFrame, users: DataFrame, properties: DataFrame,
     rows = bookings if booking_id is None else bookings.where(F.col("booking_id") == booking_id)
     guests = users.select("user_id", F.col("name").alias("guest_name"), F.col("email").alias("guest_email"))
     homes = properties.select("property_id", F.col("title").alias("property_title"), "destination_id")
+    homes = join_dimension(homes, destinations.select("destination_id", "destination"), ["destination_id"])
     return (
         rows.join(guests, "user_id")
         .join(homes, "property_id")
-        .join(destinations.select("destination_id", "destination"), "destination_id")
         .select(
             "booking_id", "status", "check_in", "check_out", "guests_count", "total_amount",
             "guest_name", "guest_email", "property_title", "destination",

@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 from ..functions.text import strip
 from ..operators.aggregates import event_series, median, mix_adjusted
 from ..operators.filters import censored_on_time, optional
+from ..operators.hotkeys import join_dimension
 
 
 def with_target(requests: DataFrame, categories: DataFrame, now: Column) -> DataFrame:
     """Requests with their category's target, `on_time` (NULL while undecided) and `overdue`."""
     target = categories.select("category", F.col("department").alias("target_department"), "sla_days")
-    joined = requests.join(target, "category")
+    joined = join_dimension(requests, target, ["category"])
     due = F.timestamp_add("DAY", F.col("sla_days"), F.col("created_at"))
     return joined.withColumns(
         {
@@ -106,7 +107,7 @@ def lookup(requests: DataFrame, categories: DataFrame, request_id: str) -> DataF
 
 def update_facts(requests: DataFrame, categories: DataFrame) -> DataFrame:
     """Facts for a resident update. The free-text description is left out on purpose."""
-    rows = requests.join(categories.select("category", "sla_days"), "category")
+    rows = join_dimension(requests, categories.select("category", "sla_days"), ["category"])
     day = "MMMM dd, yyyy"
     outcome = F.when(
         F.col("status") == "CLOSED", F.concat(F.lit("Resolved on "), F.date_format("closed_at", day), F.lit("."))

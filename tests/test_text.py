@@ -110,7 +110,8 @@ def test_replies_and_analyses(spark):
 
 def test_json_helpers(spark):
     frame = spark.createDataFrame([('x {"a": {"b": 1}, "n": 5} y',), ("{broken",), (None,)], "t string")
-    out = frame.select(js.braces(F.col("t")).alias("b"), js.number(js.parsed(js.braces(F.col("t"))), "n", 0, 3).alias("n")).collect()
+    read = js.with_document(frame, js.braces(F.col("t")), "doc")
+    out = read.select(js.braces(F.col("t")).alias("b"), js.number(F.col("doc"), "n", 0, 3).alias("n")).collect()
     assert [r.b for r in out] == ['{"a": {"b": 1}, "n": 5}', None, None]
     assert [r.n for r in out] == [3.0, 0.0, 0.0]
 

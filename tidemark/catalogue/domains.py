@@ -519,6 +519,15 @@ def status(t: Tables):
     return monitoring.alert_status(structuring_alerts(t), t.m_customers, t.m_log, log_day())
 
 
+def investigation(t: Tables):
+    """Alerts and evidence feed every part of the text, so each is written once."""
+    found = {"STRUCTURING": structuring(t)}
+    scored_alerts = staged(monitoring.score_alerts(found, t.m_customers), "alerts")
+    evidence = staged(monitoring.alert_evidence(found), "evidence")
+    rows = monitoring.alert_status(scored_alerts, t.m_customers, t.m_log, log_day())
+    return monitoring.alert_context(rows, t.m_customers, evidence, t.m_txns)
+
+
 SQL_STATUS = f"""SELECT h.customer_id, concat('AL-STRUCTURING-', h.customer_id) AS alert_id, 'STRUCTURING' AS rule_id, c.name, c.risk_rating,
     CAST(least(100, round(CAST(70 * CASE c.risk_rating WHEN 'HIGH' THEN 1.40 WHEN 'MEDIUM' THEN 1.15 ELSE 1.00 END
       * CASE WHEN c.pep THEN 1.30 ELSE 1.00 END AS DECIMAL(12, 4)), 0)) AS BIGINT) AS score,
@@ -562,6 +571,24 @@ MONITORING = [
         status,
         SQL_STATUS,
     ),
+    Entry(
+        "alert_context",
+        "alert_id:s page:b context:s",
+        investigation,
+        f"""WITH s AS ({SQL_STATUS}), h AS ({_hits_sql(SQL_STRUCTURING)})
+        SELECT s.alert_id, 0 AS page, concat_ws(chr(10), concat('## Alert ', s.alert_id),
+          'Rule STRUCTURING v1: 3+ cash deposits of $8,000-$9,999.99 within 7 days (just under the $10,000 CTR threshold).',
+          concat('Risk score ', s.score, '; flagged amount $', format('{{:,.2f}}', h.total_cents / 100), '; activity ', h.first_ts, ' to ', h.last_ts, '.'),
+          '## Customer', concat(s.name, ' (ID ', s.customer_id, '), ', c.segment, ', occupation trader, KYC risk ', s.risk_rating,
+            CASE WHEN c.pep THEN ', politically exposed person' ELSE '' END, ', customer since 2020-01-01.'),
+          '## Flagged transactions', (SELECT string_agg(concat(e.txn_id, ' ', e.ts, ' ', e.type, ' $', format('{{:,.2f}}', e.amount_cents / 100), ' ',
+            e.counterparty, ' (', e.counterparty_country, ')'), chr(10) ORDER BY e.ts, e.txn_id) FROM ({SQL_STRUCTURING}) e WHERE e.customer_id = s.customer_id),
+          '## Activity by type (count, total)', (SELECT string_agg(concat(p.type, ': ', p.n, ', $', format('{{:,.2f}}', p.c / 100)), chr(10)
+            ORDER BY p.c DESC, p.type) FROM (SELECT customer_id, type, count(*) AS n, sum(amount_cents) AS c FROM {{m_txns}} GROUP BY ALL) p
+            WHERE p.customer_id = s.customer_id),
+          '## Prior alerts for this customer', 'none') AS context
+        FROM s JOIN h ON h.customer_id = s.customer_id JOIN {{m_customers}} c ON c.customer_id = s.customer_id""",
+    ),
     Entry(
         "alert_queue",
         "alert_id:s score:b rule_id:s status:s age_days:b",

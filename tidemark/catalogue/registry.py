@@ -44,7 +44,7 @@ class Tables:
 
 
 def _references(text: str) -> list[str]:
-    return sorted(set(re.findall(r"\{(\w+)\}", text)))
+    return sorted({name for name in re.findall(r"\{(\w+)\}", text) if name in VIEWS or name in BASE})
 
 
 def _needed(text: str, seen: dict[str, str]) -> dict[str, str]:

@@ -153,7 +153,7 @@ ENTRIES = [
     Entry(
         "json_props",
         "event_id:b k:b clamped:d2",
-        lambda t: t.events.withColumn("doc", js.parsed(js.braces(F.concat(F.lit("props: "), F.col("props"), F.lit(" end"))))).select(
+        lambda t: js.with_document(t.events, js.braces(F.concat(F.lit("props: "), F.col("props"), F.lit(" end"))), "doc").select(
             "event_id", js.field(F.col("doc"), "k", "bigint").alias("k"), js.number(F.col("doc"), "k", 10, 60).alias("clamped")
         ),
         "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, greatest(10, least(60, CAST(json_extract(props, '$.k') AS DOUBLE))) AS clamped FROM {events}",

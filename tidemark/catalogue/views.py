@@ -66,11 +66,12 @@ VIEWS = {
     "m_txns": f"""SELECT event_id AS txn_id, user_id AS customer_id, ts, CASE event_type WHEN 'purchase' THEN 'CASH_DEPOSIT'
         WHEN 'click' THEN 'WIRE_IN' WHEN 'view' THEN 'WIRE_OUT' WHEN 'signup' THEN 'ACH_OUT' ELSE 'CARD' END AS type,
         CAST(round(value * 10000) AS BIGINT) AS amount_cents,
-        CASE WHEN {K} < 10 THEN 'IR' WHEN {K} < 20 THEN 'SY' ELSE 'US' END AS counterparty_country FROM {{events}}""",
+        CASE WHEN {K} < 10 THEN 'IR' WHEN {K} < 20 THEN 'SY' ELSE 'US' END AS counterparty_country, {K} AS counterparty FROM {{events}}""",
     "m_order_txns": """SELECT o_orderkey AS txn_id, o_custkey AS customer_id, o_orderdate AS ts, 'CARD' AS type,
         CAST(round(o_totalprice * 100) AS BIGINT) AS amount_cents, 'US' AS counterparty_country FROM {orders}""",
     "m_customers": """SELECT c_custkey AS customer_id, c_name AS name, CASE c_mktsegment WHEN 'BUILDING' THEN 'HIGH'
-        WHEN 'FURNITURE' THEN 'MEDIUM' ELSE 'LOW' END AS risk_rating, c_acctbal < 1000 AS pep FROM {customer}""",
+        WHEN 'FURNITURE' THEN 'MEDIUM' ELSE 'LOW' END AS risk_rating, c_acctbal < 1000 AS pep,
+        c_mktsegment AS segment, 'trader' AS occupation, DATE '2020-01-01' AS onboarded FROM {customer}""",
     "m_log": f"""SELECT event_id, concat('AL-STRUCTURING-', user_id) AS alert_id, CASE event_type WHEN 'error' THEN 'ESCALATE'
         WHEN 'click' THEN 'CLOSE_FALSE_POSITIVE' WHEN 'view' THEN 'APPROVE_SAR' WHEN 'signup' THEN 'RETURN' ELSE 'CLOSE_EXPLAINED' END
         AS action, CASE event_type WHEN 'error' THEN 'ESCALATED' WHEN 'click' THEN 'CLOSED_FALSE_POSITIVE' WHEN 'view' THEN 'SAR_APPROVED'

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def braces(text: Column) -> Column:
     """From the first opening to the last closing brace; NULL when there is none."""
-    found = F.regexp_extract(F.coalesce(text, F.lit("")), r"(?s)\{.*\}", 0)
-    return F.when(found != "", found)
+    return F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))
 
 
 def unfenced(text: Column) -> Column:
@@ -20,15 +19,17 @@ def unfenced(text: Column) -> Column:
     return F.when(clean.startswith("```"), inner).otherwise(clean)
 
 
-def parsed(text: Column) -> Column:
-    """The document as a variant; NULL when it is not valid JSON.
+def with_document(df: DataFrame, text: Column, name: str) -> DataFrame:
+    """Add the JSON text as a variant column, NULL when it is not valid.
 
     Parsing stops after the first value and would let trailing characters pass. Inside an array they
-    are an error, or a second element.
+    are an error, or a second element. The steps are columns of their own, so each runs once.
     """
-    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    alone = F.try_variant_get(listed, "$[1]", "variant").isNull()
-    return F.when(alone, F.try_variant_get(listed, "$[0]", "variant"))
+    raw = df.withColumn("__raw", text)
+    listed = raw.withColumn("__listed", F.try_parse_json(F.concat(F.lit("["), F.col("__raw"), F.lit("]"))))
+    alone = F.try_variant_get("__listed", "$[1]", "variant").isNull()
+    first = F.try_variant_get("__listed", "$[0]", "variant")
+    return listed.withColumn(name, F.when(alone, first)).drop("__raw", "__listed")
 
 
 def field(document: Column, name: str, kind: str = "string") -> Column:

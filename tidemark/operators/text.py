@@ -128,11 +128,10 @@ def parse_triage(df: DataFrame, column: str, taxonomy: DataFrame) -> DataFrame:
     Text around the JSON is ignored. Malformed or off-list answers become manual-review rows with
     valid = false; a bad priority takes the category's own, a bad confidence becomes 0.
     """
-    doc = js.parsed(js.braces(F.col(column)))
     names = taxonomy.select(
         F.col("category").alias("__named"), F.lit(True).alias("__listed"), F.col("department").alias("__department"), F.col("priority").alias("__default")
     )
-    read = df.withColumn("__doc", doc).withColumn("__named", js.field(F.col("__doc"), "category"))
+    read = js.with_document(df, js.braces(F.col(column)), "__doc").withColumn("__named", js.field(F.col("__doc"), "category"))
     joined = join_dimension(read, names, ["__named"], "left")
     valid = F.coalesce("__listed", F.lit(False))
     doc, asked = F.col("__doc"), js.field(F.col("__doc"), "priority")
@@ -154,8 +153,7 @@ REPLY_ACTIONS = ["refund", "credit", "no_action", "escalate", "resolve"]
 
 def parse_reply(df: DataFrame, column: str) -> DataFrame:
     """Read a support suggestion; off-list actions become no_action, `parsed_ok` is false on bad JSON."""
-    doc = js.parsed(js.unfenced(F.col(column)))
-    out = df.withColumn("__doc", doc)
+    out = js.with_document(df, js.unfenced(F.col(column)), "__doc")
     doc, action = F.col("__doc"), js.field(F.col("__doc"), "suggested_action")
     texts = {n: F.coalesce(js.field(doc, n), F.lit("")) for n in ("case_summary", "suggested_response", "reasoning")}
     return out.withColumns(
@@ -170,7 +168,7 @@ def parse_reply(df: DataFrame, column: str) -> DataFrame:
 
 def parse_analysis(df: DataFrame, column: str) -> DataFrame:
     """Read a content review: score kept in 0..100, issues as JSON text, suggestions."""
-    out = df.withColumn("__doc", js.parsed(js.braces(F.col(column))))
+    out = js.with_document(df, js.braces(F.col(column)), "__doc")
     doc = F.col("__doc")
     return out.withColumns(
         {

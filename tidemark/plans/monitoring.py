@@ -17,10 +17,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.aggregates import share_pct, union_all
+from ..operators.context import assemble_pages
 from ..operators.filters import right_closed_bands
-from ..operators.hotkeys import HOT_ROWS, Hot, hot_keys
+from ..operators.hotkeys import HOT_ROWS, Hot, hot_keys, join_dimension
 from ..operators.joins import interval_totals, nearest_mark
-from ..operators.windows import paged_lists, previous, trailing_span
+from ..operators.windows import paged_lists, previous, threads, trailing_span
 from ..operators.workflow import TERMINAL
 
 # The rules, and the countries of the jurisdiction rule.
@@ -293,3 +294,59 @@ def draft_use(dispositions: DataFrame) -> DataFrame:
 def activity_profile(txns: DataFrame, keys: list[str]) -> DataFrame:
     """Count and total per transaction type."""
     return txns.groupBy(*keys, "type").agg(F.count(F.lit(1)).alias("n"), (F.sum("amount_cents") / 100).alias("total"))
+
+
+def _usd(amount: Column) -> Column:
+    return F.concat(F.lit("$"), F.format_number(amount, 2))
+
+
+def alert_context(
+    status: DataFrame, customers: DataFrame, evidence: DataFrame, txns: DataFrame, hot: Hot = HOT_ROWS, page_rows: int = 10_000
+) -> DataFrame:
+    """Investigation text per alert: rule, customer, flagged transactions, activity by type, other alerts.
+
+    `status` comes from `alert_status`; customers have name, segment, occupation, risk_rating, pep and
+    onboarded; transactions have a counterparty. Evidence beyond `page_rows` lines continues on
+    further pages.
+    """
+    key = ["alert_id"]
+    rules = [(r.rule_id, r.description) for r in RULES.values()]
+    described = status.sparkSession.createDataFrame(rules, "rule_id string, description string")
+    people = customers.select("customer_id", "segment", "occupation", "pep", "onboarded")
+    parents = join_dimension(status.drop("segment", "occupation", "pep", "onboarded"), described, ["rule_id"]).join(people, "customer_id")
+    heads = [
+        F.concat(F.lit("## Alert "), F.col("alert_id")),
+        F.format_string("Rule %s v%d: %s", "rule_id", "rule_version", "description"),
+        F.format_string(
+            "Risk score %d; flagged amount %s; activity %s to %s.",
+            F.col("score"), _usd(F.col("total_amount")), F.col("first_ts").cast("string"), F.col("last_ts").cast("string"),
+        ),
+        F.lit("## Customer"),
+        F.format_string(
+            "%s (ID %d), %s, occupation %s, KYC risk %s%s, customer since %s.",
+            F.col("name"), F.col("customer_id"), F.col("segment"), F.col("occupation"), F.col("risk_rating"),
+            F.when(F.col("pep"), ", politically exposed person").otherwise(""), F.col("onboarded").cast("string"),
+        ),
+    ]
+    # Evidence already carries customer, time and amount; only the flagged transactions' details join.
+    details = txns.select("customer_id", "txn_id", "type", "counterparty", "counterparty_country")
+    flagged = evidence.join(status.select(*key), key, "left_semi").join(details, ["customer_id", "txn_id"])
+    transaction = F.format_string(
+        "%s %s %s %s %s (%s)",
+        F.col("txn_id").cast("string"), F.col("ts").cast("string"), F.col("type"), _usd(F.col("amount_cents") / 100),
+        F.coalesce(F.col("counterparty").cast("string"), F.lit("")), F.col("counterparty_country"),
+    )
+    owners = status.select("alert_id", "customer_id")
+    known = txns.join(status.select("customer_id").distinct(), "customer_id", "left_semi")
+    # A customer has one row per transaction type and at most one alert per rule, so these stay small.
+    profile = owners.join(activity_profile(known, CUSTOMER), "customer_id").withColumn("rank", -F.col("total"))
+    activity = F.format_string("%s: %d, %s", F.col("type"), F.col("n"), _usd(F.col("total")))
+    others = status.select("customer_id", F.col("alert_id").alias("other_id"), "rule_id", "status")
+    prior = owners.join(others, "customer_id").where(F.col("alert_id") != F.col("other_id")).withColumn("rank", F.lit(0))
+    earlier = F.format_string("%s (%s): %s", "other_id", "rule_id", "status")
+    parts = [
+        ("## Flagged transactions", "", threads(flagged, key, ["ts", "txn_id"], transaction, "text", page_rows=page_rows, hot=hot)),
+        ("## Activity by type (count, total)", "", threads(profile, key, ["rank", "type"], activity, "text", hot=None)),
+        ("## Prior alerts for this customer", "none", threads(prior, key, ["rank", "other_id"], earlier, "text", hot=None)),
+    ]
+    return assemble_pages(parents, heads, parts, key)

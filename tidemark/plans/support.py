@@ -27,9 +27,7 @@ def daily_revenue(
 ) -> DataFrame:
     """Revenue per day that has orders.
 
-    Refunds count when approved and fall on the day of their order; credits on their own day. Items
-    and refunds are summed per order before they meet the orders table, so an order with very many
-    rows joins as one.
+    Refunds count when approved and fall on the day of their order; credits on their own day.
     """
     dated = orders.select(F.col("id").alias("order_id"), _day("created_at").alias("order_date"), "total_in_cents")
     totals = dated.groupBy("order_date").agg(
@@ -47,12 +45,12 @@ def daily_revenue(
     credited = credits.groupBy(_day("created_at").alias("order_date")).agg(
         F.sum("amount_in_cents").alias("total_credits_cents")
     )
-    # One join of items to orders serves both the item count and the top category.
-    per_item = order_items.groupBy("order_id", "menu_item_id").agg(
-        F.sum("quantity").alias("quantity"), F.sum(F.col("price_in_cents") * F.col("quantity")).alias("revenue")
-    )
+    # One join of items to orders serves both the item count and the top category. An order with very
+    # many items is a skewed partition that adaptive execution splits: the other side has one row.
+    revenue = F.col("price_in_cents") * F.col("quantity")
     by_product = (
-        per_item.join(days, "order_id")
+        order_items.select("order_id", "menu_item_id", "quantity", revenue.alias("revenue"))
+        .join(days, "order_id")
         .groupBy("order_date", "menu_item_id")
         .agg(F.sum("quantity").alias("quantity"), F.sum("revenue").alias("revenue"))
     )

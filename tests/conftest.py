@@ -14,9 +14,9 @@ from tidemark.session import build_session  # noqa: E402
 def spark(tmp_path_factory):
     session = build_session(
         "tests",
-        "local[8]",
+        "local[4]",
         **{
-            "spark.sql.shuffle.partitions": "4",
+            "spark.sql.shuffle.partitions": "2",
             "spark.driver.memory": "8g",
             "spark.log.level": "ERROR",
             "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),

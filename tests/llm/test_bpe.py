@@ -58,6 +58,13 @@ def test_repeated_keys_and_empty_table(spark, library):
     assert bpe.round_trip(docs.limit(0), PATH, PATTERN).count() == 0
 
 
+def test_decode(spark, library):
+    ids = [library.encode_ordinary(t or "") for t in TEXTS]
+    tokens = spark.createDataFrame([*enumerate(ids), (99, None)], "doc_id long, ids array<int>").repartition(3)
+    found = {r.doc_id: bytes(r.decoded) for r in bpe.decode(tokens, PATH).collect()}
+    assert found == {**{i: (t or "").encode() for i, t in enumerate(TEXTS)}, 99: b""}
+
+
 def test_parameters():
     with pytest.raises(ValueError):
         bpe.encode(None, PATH, PATTERN, chunk_chars=10, overlap_chars=20)

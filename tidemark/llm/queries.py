@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, toxicity
+from . import bpe, simhash, toxicity
 from .common import table
 
 
@@ -15,11 +15,16 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, distance=4)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document."""
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op2_byte_bpe": op2_byte_bpe, "op10_toxicity": op10_toxicity}
+QUERIES = {"op2_byte_bpe": op2_byte_bpe, "op8_simhash": op8_simhash, "op10_toxicity": op10_toxicity}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -4,11 +4,19 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, simhash, toxicity
+from . import bpe, linededup, simhash, toxicity
 from .common import table
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that an earlier line repeats, exactly or up to one word."""
+    found = linededup.dedup(table(spark, sf_dir, "documents"))
+    lines = F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long")
+    return found.select("doc_id", "text", lines.alias("n_kept"), "n_exact", "n_near")
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded bytes of every document, as digests."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -25,6 +33,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op2_byte_bpe": op2_byte_bpe, "op8_simhash": op8_simhash, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_byte_bpe": op2_byte_bpe, "op8_simhash": op8_simhash, "op10_toxicity": op10_toxicity}
 
 ORACLE_SQL: dict[str, str] = {}

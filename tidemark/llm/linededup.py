@@ -123,7 +123,7 @@ def _near(rows: DataFrame, firsts: DataFrame) -> DataFrame:
     shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("half")
     candidates = halves.join(shared, "half", "left_semi").select("place").distinct().select("place.*", "place")
     texts = rows.join(candidates.select(*PLACE[1:], "place"), [rows.row_key.eqNullSafe(candidates.row_key), rows.text_hash == candidates.text_hash])
-    texts = texts.select("place", F.split("text", "\n", -1).getItem(F.col("place.line_no")).alias("line")).dropDuplicates(["place"])
+    texts = texts.select("place", F.element_at(F.split("text", "\n", -1), F.col("place.line_no") + 1).alias("line")).dropDuplicates(["place"])
     texts = staged(texts, "line-candidates")
 
     variants = _variants(texts)

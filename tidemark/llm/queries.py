@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, linededup, simhash, toxicity
+from . import bpe, decontaminate, linededup, simhash, toxicity
 from .common import table
 
 
@@ -23,6 +23,12 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages in every document."""
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13, percent=5)
+    return found.drop("text_hash")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, distance=4)
@@ -33,6 +39,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_byte_bpe": op2_byte_bpe, "op8_simhash": op8_simhash, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_byte_bpe": op2_byte_bpe, "op7_decontaminate": op7_decontaminate, "op8_simhash": op8_simhash, "op10_toxicity": op10_toxicity}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -23,12 +23,12 @@ from .common import fold, list_array, sliced, texts, words
 
 EDGE = b".,;:!?\"'()[]{}<>*_-"
 PREFIXES = (4, 5, 6, 7, 8)
-#: Surface patterns beside the mined terms; each is one voter and one feature.
+#: Surface patterns beside the mined terms: characters of which a text needs one, then what has to be found. Each is
+#: one voter and one feature.
 PATTERNS = {
-    "shouted": re.compile(r"(?:\b[A-Z]{3,}\b\W+){3}"),
-    "exclaimed": re.compile(r"!{2,}|[!?]{3,}"),
-    "masked": re.compile(r"\b[A-Za-z]+[*@#$]{1,}[A-Za-z]+\b"),
-    "stretched": re.compile(r"([a-z])\1{3,}"),
+    "shouted": ("", re.compile(r"[A-Z]{3,}\W+[A-Z]{3,}\W+[A-Z]{3,}")),
+    "exclaimed": ("!?", re.compile(r"!{2,}|[!?]{3,}")),
+    "masked": ("*@#$", re.compile(r"[A-Za-z][*@#$]+[A-Za-z]")),
 }
 #: Each leading term has one voter per number of occurrences; the bins exclude each other. With one voter per pattern
 #: they fit into the bits of one long.
@@ -140,7 +140,7 @@ def _hits(rows: DataFrame, terms: tuple[bytes, ...]) -> DataFrame:
                         known[w] = got
                     if got:
                         found += got
-                found += [i for i, p in patterns if p.search(text)]
+                found += [i for i, (need, p) in patterns if (not need or any(c in text for c in need)) and p.search(text)]
                 hits.append(np.array(found, dtype=np.int32))
                 sizes.append(len(some))
             columns = [batch.column(f.name) for f in kept]
@@ -157,46 +157,51 @@ def _label_model(masks: DataFrame, first: np.ndarray, prior: float, voters: int,
     """Class prior, rates (2 x voters) and damping by expectation-maximisation over all vote patterns.
 
     `masks` has one row per distinct vote pattern (mask, known label or NULL) and its number of documents. Each round is
-    one aggregation whose result has a fixed size. A voter that does not fire abstains and says nothing; that no term
-    and no pattern was found is a voter of its own. Voters that fire together within a class beyond chance share
+    one aggregation of partial sums whose size is fixed. A voter that does not fire abstains and says nothing; that no
+    term and no pattern was found is a voter of its own. Voters that fire together within a class beyond chance share
     their say: a voter's evidence is divided by one plus the sum of its correlations above FREE, rescaled to 0 to 1.
     """
     rates, damping = first, np.ones(voters)
-    fired = [F.col("mask").bitwiseAND(F.lit(1 << j)) != 0 for j in range(voters)]
     for step in range(rounds):
         gain = damping * (np.log(rates[1]) - np.log(rates[0]))
-        logit = F.lit(float(np.log(prior / (1 - prior))))
-        for j in range(voters):
-            logit = logit + F.when(fired[j], F.lit(float(gain[j]))).otherwise(F.lit(0.0))
-        p = F.coalesce(F.col("label").cast("double"), F.lit(1.0) / (F.lit(1.0) + F.exp(-logit)))
-        weighed = masks.select("mask", (p * F.col("n")).alias("hot"), ((1 - p) * F.col("n")).alias("cold"))
-        last = step == rounds - 1
-        pairs = [(j, k) for j in range(voters) for k in range(j, voters)] if step == 0 else [(j, j) for j in range(voters)]
-        sums = weighed.agg(
-            F.sum("hot").alias("hot"),
-            F.sum("cold").alias("cold"),
-            F.array(*(F.sum(F.when(fired[j] & fired[k], F.col("hot")).otherwise(0.0)) for j, k in pairs)).alias("together_hot"),
-            F.array(*(F.sum(F.when(fired[j] & fired[k], F.col("cold")).otherwise(0.0)) for j, k in pairs)).alias("together_cold"),
-        ).first()
-        hot, cold = max(sums.hot or 0.0, 1e-9), max(sums.cold or 0.0, 1e-9)
-        prior = min(max(hot / (hot + cold), 1e-4), 0.5)
-        both = {}
-        for name, total in (("together_hot", hot), ("together_cold", cold)):
-            m = np.zeros((voters, voters))
-            for (j, k), v in zip(pairs, sums[name], strict=True):
-                m[j, k] = m[k, j] = (v or 0.0) / total
-            both[name] = m
-        mean = np.stack([np.diag(both["together_cold"]), np.diag(both["together_hot"])])
-        totals = np.array([[cold], [hot]])
-        rates = np.clip((mean * totals + np.array([[0.05], [0.5]])) / (totals + 1), 1e-6, 1 - 1e-6)
-        if step == 0 and not last:
+        start = float(np.log(prior / (1 - prior)))
+
+        def sums(batches: Iterator[pa.RecordBatch], gain=gain, start=start) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((2, voters + 1, voters + 1))
+            for batch in batches:
+                fired = _votes(batch.column("mask").to_numpy(), voters)
+                p = 1 / (1 + np.exp(-np.clip(start + fired @ gain, -40, 40)))
+                label = pa.compute.fill_null(batch.column("label"), -1).to_numpy()
+                p = np.where(label < 0, p, label) * 1.0
+                all_on = np.hstack([fired, np.ones((len(fired), 1))])
+                for c, weight in enumerate((1 - p, p)):
+                    total[c] += (all_on * (weight * batch.column("n").to_numpy())[:, None]).T @ all_on
+            yield pa.RecordBatch.from_pydict({"at": pa.array(range(total.size), pa.int32()), "v": pa.array(total.ravel(), pa.float64())})
+
+        # whole documents times probabilities: rounding makes the sums independent of their order
+        found = masks.mapInArrow(sums, "at int, v double").groupBy("at").agg(F.round(F.sum("v"), 6).alias("v")).collect()
+        total = np.zeros(2 * (voters + 1) ** 2)
+        for r in found:
+            total[r["at"]] = r.v
+        total = total.reshape(2, voters + 1, voters + 1)
+        sizes = np.maximum(total[:, -1, -1], 1e-9)
+        prior = min(max(sizes[1] / sizes.sum(), 1e-4), 0.5)
+        both = total[:, :-1, :-1] / sizes[:, None, None]
+        mean = np.diagonal(both, axis1=1, axis2=2)
+        rates = np.clip((mean * sizes[:, None] + np.array([[0.05], [0.5]])) / (sizes[:, None] + 1), 1e-6, 1 - 1e-6)
+        if step == 0:
             sd = np.sqrt(np.maximum(mean[1] * (1 - mean[1]), 1e-9))
-            corr = (both["together_hot"] - np.outer(mean[1], mean[1])) / np.outer(sd, sd)
+            corr = (both[1] - np.outer(mean[1], mean[1])) / np.outer(sd, sd)
             np.fill_diagonal(corr, 0.0)
             damping = 1.0 / (1.0 + np.clip((corr - FREE) / (1 - FREE), 0.0, 1.0).sum(axis=0))
     return prior, rates, damping
 
 
+def _votes(masks: np.ndarray, voters: int) -> np.ndarray:
+    """One row per pattern, one column per voter."""
+    return (masks[:, None] >> np.arange(voters)[None, :] & 1).astype(np.float64)
+
+
 def _features(hits: np.ndarray, n_words: int, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Sparse features of one document: per term and pattern whether it occurs and how often again, then all hits and
     hits per hundred words."""
@@ -234,7 +239,7 @@ def fit(
     key: str = "doc_id",
     text: str = "text",
     label: str = "toxic",
-    max_labelled: int = 20_000,
+    max_labelled: int = 8_000,
     max_terms: int = 1_000,
     least_evidence: float = 18.0,
     rounds: int = 4,
@@ -291,7 +296,7 @@ def fit(
 
     train = hits.join(F.broadcast(marks), "row_key", "left_semi").select("hits", "n_words", votes.alias("mask")).collect()
     gain = damping * (np.log(rates[1]) - np.log(rates[0]))
-    fired = np.array([[r.mask >> j & 1 for j in range(len(conditions))] for r in train], dtype=float)
+    fired = _votes(np.array([r.mask for r in train], dtype=np.int64), len(conditions))
     logit = np.log(prior / (1 - prior)) + fired @ gain
     weights, bias = _linear(train, 1 / (1 + np.exp(-np.clip(logit, -40, 40))), width)
     return Model(terms, weights, bias, len(conditions), prior, rates, damping), hits

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, linededup, simhash, toxicity
+from . import bpe, decontaminate, linededup, simhash, tokenstore, toxicity
 from .common import table
 
 
@@ -34,11 +34,16 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, distance=4)
 
 
+def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, length and checksum of every document, as read back from token files."""
+    return tokenstore.stored(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document."""
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_byte_bpe": op2_byte_bpe, "op7_decontaminate": op7_decontaminate, "op8_simhash": op8_simhash, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_byte_bpe": op2_byte_bpe, "op7_decontaminate": op7_decontaminate, "op8_simhash": op8_simhash, "op9_token_store": op9_token_store, "op10_toxicity": op10_toxicity}
 
 ORACLE_SQL: dict[str, str] = {}

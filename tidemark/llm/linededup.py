@@ -99,18 +99,18 @@ def _lines(rows: DataFrame, min_words: int) -> DataFrame:
 
 
 def _variants(lines: DataFrame) -> DataFrame:
-    """(variant, gone, place) of every line in `line`."""
-    schema = StructType([*StructType.fromDDL("variant long, gone int").fields, lines.schema["place"]])
+    """(h1, variant, gone) of every line in `line`."""
+    schema = StructType.fromDDL("h1 long, variant long, gone int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "line", 100_000):
             found = [neighbourhood(words(t)) for t in batch.column("line").to_pylist()]
-            at = np.repeat(np.arange(len(found)), [len(f) for f in found])
+            at = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
             variant = np.array([h for f in found for h, _ in f], dtype=np.uint64).view(np.int64)
             gone = pa.array([p for f in found for _, p in f], pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(variant, pa.int64()), gone, batch.column("place").take(pa.array(at))], schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column("h1").take(at), pa.array(variant, pa.int64()), gone], schema.names)
 
-    return lines.select("line", "place").mapInArrow(run, schema)
+    return lines.select("h1", "line").mapInArrow(run, schema)
 
 
 def _place() -> Column:
@@ -119,22 +119,23 @@ def _place() -> Column:
 
 def _near(rows: DataFrame, firsts: DataFrame) -> DataFrame:
     """(place): distinct lines with an earlier line within one edit."""
-    halves = firsts.select("place", F.explode("halves").alias("half"))
+    halves = firsts.select("h1", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("half")
-    candidates = halves.join(shared, "half", "left_semi").select("place").distinct().select("place.*", "place")
-    texts = rows.join(candidates.select(*PLACE[1:], "place"), [rows.row_key.eqNullSafe(candidates.row_key), rows.text_hash == candidates.text_hash])
-    texts = texts.select("place", F.element_at(F.split("text", "\n", -1), F.col("place.line_no") + 1).alias("line")).dropDuplicates(["place"])
-    texts = staged(texts, "line-candidates")
+    candidates = firsts.join(halves.join(shared, "half", "left_semi").select("h1").distinct(), "h1", "left_semi")
+    candidates = candidates.select("h1", "place", *(F.col("place")[c].alias(c) for c in PLACE[1:]))
+    texts = rows.join(candidates, [rows.row_key.eqNullSafe(candidates.row_key), rows.text_hash == candidates.text_hash])
+    line = F.element_at(F.split("text", "\n", -1), F.col("line_no") + 1)
+    texts = staged(texts.select("h1", "place", line.alias("line")).dropDuplicates(["place"]), "line-candidates")
 
+    # a variant that only one line has connects nothing; the others get the place of their line
     variants = _variants(texts)
-    here = variants.groupBy("variant", "gone").agg(F.min("place").alias("low"), F.count(F.lit(1)).alias("n"))
-    here = staged(here, "line-variants")
-    met = here.groupBy("variant").agg(
-        F.min("low").alias("any"), F.min(F.when(F.col("gone") < 0, F.col("low"))).alias("whole"), F.sum("n").alias("n")
-    )
+    busy = variants.groupBy("variant").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("variant")
+    variants = staged(variants.join(busy, "variant", "left_semi").join(texts.select("h1", "place"), "h1").drop("h1"), "line-variants")
+    here = variants.groupBy("variant", "gone").agg(F.min("place").alias("low"))
+    met = here.groupBy("variant").agg(F.min("low").alias("any"), F.min(F.when(F.col("gone") < 0, F.col("low"))).alias("whole"))
     # lines that lost the same word position differ in that word at most; a whole line is one word short of the others
     partner = F.when(F.col("gone") < 0, F.col("any")).otherwise(F.col("whole"))
-    earlier = here.join(met.filter("n > 1").drop("n"), "variant").select("variant", "gone", F.array("low", partner).alias("earlier"))
+    earlier = here.join(met, "variant").select("variant", "gone", F.array("low", partner).alias("earlier"))
     pairs = variants.join(earlier, ["variant", "gone"]).select("place", F.explode("earlier").alias("first"))
     pairs = pairs.filter(F.col("first") < F.col("place")).distinct()
     left = pairs.join(texts, "place").withColumnRenamed("line", "late")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html, linededup, pii, quality, simhash, tokenstore, toxicity
+from . import bpe, decontaminate, html, linededup, lm, pii, quality, simhash, tokenstore, toxicity
 from .common import table
 
 
@@ -28,6 +28,11 @@ def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(table(spark, sf_dir, "pages"))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every document, base and model."""
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
     return pii.find(table(spark, sf_dir, "documents"))
@@ -62,6 +67,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_byte_bpe": op2_byte_bpe, "op3_html_extract": op3_html_extract, "op5_pii": op5_pii, "op6_quality": op6_quality, "op7_decontaminate": op7_decontaminate, "op8_simhash": op8_simhash, "op9_token_store": op9_token_store, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_byte_bpe": op2_byte_bpe, "op3_html_extract": op3_html_extract, "op4_lm_score": op4_lm_score, "op5_pii": op5_pii, "op6_quality": op6_quality, "op7_decontaminate": op7_decontaminate, "op8_simhash": op8_simhash, "op9_token_store": op9_token_store, "op10_toxicity": op10_toxicity}
 
 ORACLE_SQL: dict[str, str] = {"op6_quality": quality.oracle_sql()}

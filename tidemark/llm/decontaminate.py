@@ -37,7 +37,7 @@ def hashed(some) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(t) for t in some], dtype=np.uint64)
 
 
-def build(docs: DataFrame, key: str = "doc_id", text: str = "text", gap: int = 64, tokens: int = 500_000) -> DataFrame:
+def build(docs: DataFrame, key: str = "doc_id", text: str = "text", gap: int = 64, tokens: int = 800_000) -> DataFrame:
     """The index: one row per shard of about `tokens` words of whole documents, every document in exactly one.
 
     A shard has the keys, text hashes, first positions and word counts of its documents, and per term, in order of
@@ -64,7 +64,8 @@ def build(docs: DataFrame, key: str = "doc_id", text: str = "text", gap: int = 6
             starts = np.concatenate([[0], np.cumsum(sizes + gap)[:-1]])
             places = np.arange(len(ids)) + np.repeat(np.arange(len(sizes)) * gap, sizes)
             ranks = rank[ids]
-            by_term = np.argsort(ranks, kind="stable")
+            # one sort of (term, place) packed into a number
+            postings = np.sort(ranks.astype(np.uint64) << np.uint64(32) | places.astype(np.uint64)) & np.uint64(0xFFFFFFFF)
             values = [
                 [k for k, _, _ in held],
                 [h for _, h, _ in held],
@@ -72,7 +73,7 @@ def build(docs: DataFrame, key: str = "doc_id", text: str = "text", gap: int = 6
                 sizes.tolist(),
                 hashes[order].tobytes(),
                 np.bincount(ranks, minlength=len(order)).astype(np.uint32).tobytes(),
-                places[by_term].astype(np.uint32).tobytes(),
+                postings.astype(np.uint32).tobytes(),
             ]
             held.clear()
             words.clear()
@@ -209,6 +210,9 @@ def _block(index: DataFrame, items: list[tuple], window: int, slop: int) -> Data
     frequency = _term_counts(index, test.hashes)
     orders = [np.argsort(frequency[w], kind="stable") for w in test.words]
     rarest = [np.array([*dict.fromkeys(w[o].tolist())][:RARE]) for w, o in zip(test.words, orders, strict=True)]
+    # padded with a term of the window itself, so that presence is one look-up for all windows
+    all_words = np.array([np.resize(w, window) for w in test.words], dtype=np.int64).reshape(len(test.words), window)
+    all_rare = np.array([np.resize(r, RARE) for r in rarest], dtype=np.int64).reshape(len(rarest), RARE)
     names = ["" if i is None else str(i) for i, _ in items]
     key = index.schema["row_keys"].dataType.elementType
     rest = "text_hash long, n_words long, spans array<struct<start: long, end: long>>, items array<string>, near array<string>"
@@ -225,22 +229,24 @@ def _block(index: DataFrame, items: list[tuple], window: int, slop: int) -> Data
                 spans: list[list[tuple[int, int]]] = [[] for _ in range(n)]
                 found: list[set[str]] = [set() for _ in range(n)]
                 around: list[set[str]] = [set() for _ in range(n)]
-                for owner, words, order, rare in zip(test.item.tolist(), test.words, orders, rarest, strict=True):
-                    few = here[rare]
-                    if (few < 0).any():
-                        continue
-                    numbers = here[words]
-                    if not (numbers < 0).any():
-                        places = exact(shard, words, here, order)
-                        for d, p in zip(shard.document(places).tolist(), places.tolist(), strict=True):
-                            found[d].add(names[owner])
-                            at = p - int(shard.starts[d])
-                            if spans[d] and spans[d][-1][0] <= at <= spans[d][-1][1]:
-                                spans[d][-1] = (spans[d][-1][0], max(spans[d][-1][1], at + len(words)))
-                            else:
-                                spans[d].append((at, at + len(words)))
-                    if slop and len(rare) == RARE:
-                        for d in set(shard.document(near(shard, few.tolist(), slop)).tolist()):
+                for at in np.flatnonzero((here[all_words] >= 0).all(axis=1)).tolist():
+                    owner, words = int(test.item[at]), test.words[at]
+                    places = exact(shard, words, here, orders[at])
+                    for d, p in zip(shard.document(places).tolist(), places.tolist(), strict=True):
+                        found[d].add(names[owner])
+                        first = p - int(shard.starts[d])
+                        if spans[d] and spans[d][-1][0] <= first <= spans[d][-1][1]:
+                            spans[d][-1] = (spans[d][-1][0], max(spans[d][-1][1], first + len(words)))
+                        else:
+                            spans[d].append((first, first + len(words)))
+                # neighbouring windows mostly share their rarest words: one test for each set of an item
+                tested: set[tuple] = set()
+                for at in np.flatnonzero((here[all_rare] >= 0).all(axis=1)).tolist() if slop else ():
+                    owner, rare = int(test.item[at]), rarest[at]
+                    wanted = (owner, *rare.tolist())
+                    if len(rare) == RARE and wanted not in tested:
+                        tested.add(wanted)
+                        for d in set(shard.document(near(shard, here[rare].tolist(), slop)).tolist()):
                             around[d].add(names[owner])
                 yield pa.RecordBatch.from_arrays(
                     [

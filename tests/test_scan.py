@@ -34,8 +34,41 @@ def test_hot_keys_are_few_and_large(steps):
 
 
 def test_hot_keys_cannot_exceed_their_bound(spark):
-    many = spark.range(50_000).select(F.col("id").alias("k"))
+    many = spark.range(100_001).select(F.col("id").alias("k"))
     assert not hotkeys.hot_keys(many, ["k"], 1)
+    fewer = many.union(spark.range(1).select(F.lit(5).cast("long").alias("k")))
+    assert [r.k for r in hotkeys.hot_keys(fewer, ["k"], 1).keys] == [5]
+
+
+def test_null_keys_are_split(spark):
+    df = spark.range(1_000).select(F.when(F.col("id") % 2 == 0, F.lit(1)).alias("k"), F.col("id").alias("at"), F.lit(1).alias("v"))
+    hot = hotkeys.hot_keys(df, ["k"], 100)
+    assert {r.k for r in hot.keys} == {None, 1}
+    summed = scan.running(df, ["k"], ["at"], {"n": scan.total(F.col("v"))}, hot=hot)
+    assert {(r.k, r.at, r.n) for r in summed.collect()} == {(1 if i % 2 == 0 else None, i, i // 2 + 1) for i in range(1_000)}
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "string", "ties"])
+def test_chunks_follow_rows_and_not_values(spark, kind):
+    base = spark.range(20_001).select(F.lit("x").alias("k"), F.col("id"))
+    stray = F.when(F.col("id") == 0, F.timestamp_seconds(F.lit(0))).otherwise(F.timestamp_seconds(1_700_000_000 + F.col("id")))
+    at = {"timestamp": stray, "string": F.lpad(F.col("id").cast("string"), 9, "0"), "ties": F.lit(7)}[kind]
+    df = base.withColumn("at", at)
+    hot = hotkeys.hot_keys(df, ["k"], 1_000)
+    chunks = hotkeys.with_chunks(df, ["k"], ["at", "id"], hot)
+    sizes = chunks.groupBy(hotkeys.CHUNK).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).orderBy("lo").collect()
+    assert len(sizes) > 15 and max(r.n for r in sizes) <= 2_000
+    assert [r[hotkeys.CHUNK] for r in sizes] == sorted(r[hotkeys.CHUNK] for r in sizes)
+    assert all(a.hi < b.lo for a, b in zip(sizes, sizes[1:], strict=False))
+
+
+@pytest.mark.parametrize("hot", [1, 60, None])
+def test_rolling_rows(steps, hot):
+    order = [F.col("ts"), F.col("id")]
+    frame = Window.partitionBy("k").orderBy(*order).rowsBetween(-4, 0)
+    expected = steps.select("id", F.sum("v").over(frame).alias("s"), F.count(F.lit(1)).over(frame).alias("n"))
+    found = windows.rolling_rows(steps, ["k"], ["ts", "id"], 4, {"s": F.sum("v"), "n": F.count(F.lit(1))}, hot=hot)
+    assert rows(found, "id", "s", "n") == rows(expected)
 
 
 def test_attach_equals_join(steps):
@@ -161,11 +194,12 @@ def test_islands_ignore_missing_time_unless_asked(spark, hot):
 
 def test_paged_lists_and_threads_keep_everything(steps):
     whole = {r.k: r.ids for r in steps.groupBy("k").agg(F.sort_array(F.collect_set("id")).alias("ids")).collect()}
-    pages = windows.paged_lists(steps, ["k"], "id", "ids", page_size=50).collect()
-    for k, ids in whole.items():
-        mine = [r.ids for r in pages if r.k == k]
-        assert sorted(x for p in mine for x in p) == ids
-        assert len(mine) == 1 if len(ids) <= 50 else len(mine) > 1
+    for hot in (1, None):
+        pages = windows.paged_lists(steps, ["k"], "id", "ids", page_size=50, hot=hot).collect()
+        for k, ids in whole.items():
+            mine = [r.ids for r in sorted(pages, key=lambda r: r.page) if r.k == k]
+            assert [x for p in mine for x in p] == ids
+            assert [len(p) for p in mine[:-1]] == [50] * (len(mine) - 1)
     lines = windows.threads(steps, ["k"], ["ts", "id"], F.col("id").cast("string"), "text", page_rows=25, hot=1)
     joined = {}
     for r in sorted(lines.collect(), key=lambda r: (r.k, r.page)):

@@ -3,7 +3,7 @@
 A key counts as hot when it has at least `threshold` rows AND more than 1/MAX_HOT_KEYS of all rows.
 By the second test fewer than MAX_HOT_KEYS keys can qualify whatever the data, so the list fits the
 driver and a broadcast at any scale. Every other key holds at most 1/MAX_HOT_KEYS of the rows.
-Finding the list is one pass over the key columns with map-side counts.
+Finding the list is one pass over the key columns with map-side counts. NULL keys are keys like any other.
 
 Operators take `hot`: a row threshold (they look for hot keys themselves), a `HotKeys` already found
 (to share one pass between operators on the same key), or None (groups are bounded by construction).
@@ -12,21 +12,27 @@ Operators take `hot`: a row threshold (they look for hot keys themselves), a `Ho
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-MAX_HOT_KEYS = 10_000
+MAX_HOT_KEYS = 100_000
 HOT_ROWS = 1_000_000
 CHUNK = "__chunk"
+#: Sampled rows per chunk: bounds between them miss a chunk's size by about a tenth.
+SAMPLED = 100
+#: Bounds are looked up in two steps, first among every STEP-th one.
+STEP = 32
 
 
 @dataclass(frozen=True)
 class HotKeys:
-    """Hot keys and the number of rows a chunk of one should have."""
+    """Hot keys, the number of rows a chunk of one should have, and how many rows each key has."""
 
     keys: list[Row]
     threshold: int
+    counts: tuple[int, ...] = ()
 
     def __bool__(self) -> bool:
         return bool(self.keys)
@@ -40,22 +46,31 @@ Hot = HotKeys | int | None
 
 
 def hot_keys(df: DataFrame, keys: list[str], hot: Hot = HOT_ROWS) -> HotKeys:
-    """The hot keys of `df`. Null keys are never reported."""
+    """The hot keys of `df`; counts and their total come from one pass."""
     if hot is None:
         return HotKeys([], HOT_ROWS)
     if isinstance(hot, HotKeys):
         return hot
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
-    total = counts.agg(F.sum("__rows").alias("__total")).scalar()
-    found = counts.where((F.col("__rows") >= hot) & (F.col("__rows") * MAX_HOT_KEYS > total))
-    return HotKeys(found.dropna(subset=keys).select(*keys).collect(), hot)
+    both = df.groupingSets([[df[k] for k in keys], []], *[df[k] for k in keys])
+    counts = both.agg(F.count(F.lit(1)).alias("__rows"), F.grouping_id().alias("__all"))
+    largest = counts.where(F.col("__rows") >= hot).orderBy(F.desc("__all"), F.desc("__rows")).limit(MAX_HOT_KEYS + 1).collect()
+    total = largest[0]["__rows"] if largest else 0
+    found = [r for r in largest[1:] if r["__rows"] * MAX_HOT_KEYS > total]
+    return HotKeys([Row(**{k: r[k] for k in keys}) for r in found], hot, tuple(r["__rows"] for r in found))
+
+
+def same_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, NULL being equal to NULL; the keys appear once."""
+    other = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    on = reduce(lambda a, b: a & b, [left[k].eqNullSafe(other[f"__r_{k}"]) for k in keys])
+    return left.join(other, on, how).drop(*[f"__r_{k}" for k in keys])
 
 
 def attach(df: DataFrame, per_key: DataFrame, keys: list[str], hot: HotKeys) -> DataFrame:
     """Join one row per key onto `df` without moving the rows of hot keys.
 
     The hot keys' part of `per_key` has fewer than MAX_HOT_KEYS rows and is broadcast; other rows
-    meet theirs in an ordinary join.
+    meet theirs in an ordinary join. NULL keys meet nothing, as in any join.
     """
     if not hot:
         return df.join(per_key, keys)
@@ -68,31 +83,50 @@ def attach(df: DataFrame, per_key: DataFrame, keys: list[str], hot: HotKeys) ->
 def with_parts(df: DataFrame, keys: list[str], part: Column, hot: HotKeys, name: str = CHUNK) -> DataFrame:
     """Add `name`: the part number for rows of hot keys, NULL for all others."""
     few = hot.frame(df, keys).withColumn("__hot", F.lit(True))
-    return df.join(few, keys, "left").withColumn(name, F.when(F.col("__hot"), part)).drop("__hot")
+    return same_keys(df, few, keys, "left").withColumn(name, F.when(F.col("__hot"), part)).drop("__hot")
 
 
-def with_chunks(df: DataFrame, keys: list[str], lead: Column, hot: HotKeys) -> DataFrame:
-    """Add CHUNK along the ordering number `lead`: about `threshold` rows each, in order.
+def chunk_bounds(df: DataFrame, keys: list[str], order: list[str], hot: HotKeys) -> DataFrame:
+    """(keys, __bounds): per hot key the order values, ascending, at which a new chunk begins.
 
-    A hot key's range is cut evenly, into as many chunks as its own row count asks for. The ranges
-    come from one pass over the hot keys' rows and are fewer than MAX_HOT_KEYS.
+    Bounds are order values of a sample of the hot keys' rows, about SAMPLED per chunk, taken at equal ranks, so they
+    follow the rows and not the range of the values; any orderable type will do. Ties on the first order column are
+    split by the others. The sample is collected once, so that all plans see the same bounds: per hot key about
+    SAMPLED rows for every `threshold` of its rows, which is fixed to at most SAMPLED / threshold of all rows.
     """
-    x = lead.cast("double")
-    measured = (
-        df.join(hot.frame(df, keys), keys, "left_semi")
-        .groupBy(*keys)
-        .agg(F.min(x).alias("__lo"), (F.max(x) + 1).alias("__hi"), F.ceil(F.count(F.lit(1)) / hot.threshold).alias("__n"))
+    few = hot.frame(df, keys)
+    rate = min(1.0, SAMPLED / hot.threshold)
+    at = F.struct(*order)
+    sampled = same_keys(df.select(*keys, *[c for c in order if c not in keys]), few, keys, "left_semi").sample(rate, seed=1)
+    listed = sampled.groupBy(*keys).agg(F.array_sort(F.collect_list(at)).alias("__s"))
+    counted = df.sparkSession.createDataFrame(
+        [(*key, -(-n // hot.threshold)) for key, n in zip(hot.keys, hot.counts, strict=True)],
+        df.select(*keys).withColumn("__n", F.lit(0)).schema,
     )
-    spans = F.broadcast(df.sparkSession.createDataFrame(measured.collect(), measured.schema))
-    chunk = F.width_bucket(x, F.col("__lo"), F.col("__hi"), F.col("__n"))
-    return df.join(spans, keys, "left").withColumn(CHUNK, chunk).drop("__lo", "__hi", "__n")
-
-
-def join_dimension(df: DataFrame, dim: DataFrame, on: list[str], how: str = "inner", max_rows: int = 100_000) -> DataFrame:
-    """Join a table that is usually small: broadcast when it has at most `max_rows` rows.
-
-    The size is checked first, by counting no further than `max_rows`. A larger one takes an ordinary
-    join, where adaptive execution splits skewed partitions.
-    """
-    small = dim.limit(max_rows + 1).count() <= max_rows
-    return df.join(F.broadcast(dim) if small else dim, on, how)
+    n, size = F.col("__n"), F.size("__s")
+    picked = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.get("__s", F.floor(i * size / n).cast("int")))
+    bounds = F.when(n > 1, F.array_distinct(picked)).otherwise(F.slice("__s", 1, 0))
+    return same_keys(listed, F.broadcast(counted), keys).select(*keys, bounds.alias("__bounds"))
+
+
+def with_chunks(df: DataFrame, keys: list[str], order: list[str], hot: HotKeys) -> DataFrame:
+    """Add CHUNK along `order`: about `threshold` rows each, ascending; NULL for rows of other keys."""
+    found = chunk_bounds(df, keys, order, hot)
+    spans = F.broadcast(df.sparkSession.createDataFrame(found.collect(), found.schema)).select(
+        *keys,
+        "__bounds",
+        F.transform(F.filter("__bounds", lambda x, i: i % STEP == STEP - 1), lambda x: x).alias("__steps"),
+    )
+    at = F.struct(*order)
+    joined = same_keys(df, spans, keys, "left")
+    coarse = F.size(F.filter("__steps", lambda b: b <= at)) * STEP
+    joined = joined.withColumn("__coarse", coarse)
+    fine = F.size(F.filter(F.slice("__bounds", F.col("__coarse") + 1, STEP), lambda b: b <= at))
+    chunk = F.when(F.col("__bounds").isNotNull(), F.col("__coarse") + fine).cast("long")
+    return joined.withColumn(CHUNK, chunk).drop("__bounds", "__steps", "__coarse")
+
+
+def join_dimension(df: DataFrame, dim: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join a table that is usually small. Spark broadcasts it if its size, as estimated or as found while running, is
+    below `spark.sql.autoBroadcastJoinThreshold`; otherwise adaptive execution splits skewed partitions."""
+    return df.join(dim, on, how)

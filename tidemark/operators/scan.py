@@ -12,7 +12,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .hotkeys import CHUNK, HOT_ROWS, Hot, hot_keys, with_chunks
+from .hotkeys import CHUNK, HOT_ROWS, Hot, hot_keys, same_keys, with_chunks
 
 
 class Scan(NamedTuple):
@@ -41,24 +41,17 @@ def running(
 ) -> DataFrame:
     """Add running columns. A later stage may refer to columns made by an earlier one.
 
-    Hot keys are cut along `order[0]`, a date, timestamp or number. `order` as a whole should be
+    Hot keys are cut along `order`, columns of any orderable type. `order` as a whole should be
     unique per key, otherwise the order among equal rows is unspecified.
     """
     split = hot_keys(df, keys, hot)
-    out = with_chunks(df, keys, _as_number(df, order[0]), split) if split else df
+    out = with_chunks(df, keys, order, split) if split else df
     for stage in stages:
         out = _stage(out, keys, order, stage, descending, split=bool(split))
     added = [name for stage in stages for name in stage]
     return out.select(*df.columns, *added) if split else out
 
 
-def _as_number(df: DataFrame, column: str) -> Column:
-    kind = dict(df.dtypes)[column]
-    if kind.startswith("timestamp"):
-        return F.unix_micros(F.col(column).cast("timestamp"))
-    return F.unix_date(column) if kind == "date" else F.col(column)
-
-
 def _stage(
     df: DataFrame, keys: list[str], order: list[str], scans: dict[str, Scan], descending: bool, split: bool
 ) -> DataFrame:
@@ -97,4 +90,4 @@ def _stage(
             merged[n] = F.coalesce(own, F.lit(0)) + F.coalesce(earlier, F.lit(0))
         else:
             merged[n] = F.coalesce(own, earlier)
-    return local.join(carry, parts, "left").withColumns(merged).drop(*[f"__carry_{n}" for n in scans])
+    return same_keys(local, carry, parts, "left").withColumns(merged).drop(*[f"__carry_{n}" for n in scans])

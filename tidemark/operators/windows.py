@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .hotkeys import HOT_ROWS, Hot
+from .hotkeys import CHUNK, HOT_ROWS, Hot, hot_keys, same_keys, with_chunks
 from .scan import last, running, total
 
 
 def latest_row(df: DataFrame, keys: list[str], order: list[str], newest: bool = True) -> DataFrame:
     """One row per key, the greatest by `order` (the smallest with newest=False).
 
-    An aggregate, not a window: rows shrink before the shuffle, so a hot key costs nothing extra.
+    An aggregate, not a window: each task sorts its rows by key and passes on one per key, so a hot key adds
+    no more than a row per task to the shuffle.
     """
     pick = F.max_by if newest else F.min_by
     rest = [c for c in df.columns if c not in keys]
@@ -88,10 +89,37 @@ def run_lengths(
     return out.withColumns(lengths).drop(*counted, *based)
 
 
-def rolling_rows(df: DataFrame, keys: list[str], order: list[str], preceding: int, aggs: dict[str, Column]) -> DataFrame:
-    """`ROWS BETWEEN preceding PRECEDING AND CURRENT ROW` aggregates, for keys of bounded size."""
+def rolling_rows(
+    df: DataFrame, keys: list[str], order: list[str], preceding: int, aggs: dict[str, Column], hot: Hot = HOT_ROWS
+) -> DataFrame:
+    """`ROWS BETWEEN preceding PRECEDING AND CURRENT ROW` aggregates.
+
+    A hot key is cut along `order`; every chunk but the first also gets the last `preceding` rows before it, as
+    context that is dropped again.
+    """
     frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-preceding, Window.currentRow)
-    return df.withColumns({n: a.over(frame) for n, a in aggs.items()})
+    split = hot_keys(df, keys, hot)
+    if not split:
+        return df.withColumns({n: a.over(frame) for n, a in aggs.items()})
+    chunked = with_chunks(df, keys, order, split).withColumn("__context", F.lit(False))
+    parts = [*keys, CHUNK]
+    ahead = chunked.where(F.col(CHUNK).isNotNull())
+    backwards = Window.partitionBy(*parts).orderBy(*[F.col(c).desc() for c in order])
+    tails = ahead.withColumn("__back", F.row_number().over(backwards)).where(F.col("__back") <= preceding)
+    # a short chunk passes on what it was given: rows travel to as many later chunks as still see them
+    sizes = ahead.groupBy(*parts).agg(F.count(F.lit(1)).alias("__size"))
+    later = sizes.withColumnsRenamed({CHUNK: "__to"}).withColumn(
+        "__between", F.coalesce(F.sum("__size").over(Window.partitionBy(*keys).orderBy("__to").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    )
+    own = later.select(*keys, F.col("__to").alias(CHUNK), (F.col("__between") + F.col("__size")).alias("__upto"))
+    reach = same_keys(tails, own, parts)
+    moved = same_keys(reach, later.select(*keys, "__to", "__between"), keys).where(
+        (F.col("__to") > F.col(CHUNK)) & (F.col("__between") - F.col("__upto") + F.col("__back") <= preceding)
+    )
+    context = moved.withColumn(CHUNK, F.col("__to")).withColumn("__context", F.lit(True)).select(*chunked.columns)
+    inside = Window.partitionBy(*parts).orderBy(*order).rowsBetween(-preceding, Window.currentRow)
+    done = chunked.unionByName(context).withColumns({n: a.over(inside) for n, a in aggs.items()})
+    return done.where(~F.col("__context")).select(*df.columns, *aggs)
 
 
 def trailing_span(
@@ -127,24 +155,17 @@ def trailing_span(
 
 
 def paged_lists(
-    df: DataFrame, keys: list[str], value: str, alias: str, page_size: int = 10_000
+    df: DataFrame, keys: list[str], value: str, alias: str, page_size: int = 10_000, hot: Hot = HOT_ROWS
 ) -> DataFrame:
-    """Sorted distinct values per key, as arrays of bounded size.
+    """Distinct values per key in ascending order, as arrays of at most `page_size` values.
 
-    A key with up to `page_size` rows gives one row (page 0) holding everything. A larger key gives
-    several rows; values are assigned to pages by hash, so no task gathers a whole key.
+    Pages count from 0 and follow the order: concatenating a key's pages gives its whole sorted list. NULL values are
+    left out; a key with NULL values only has one empty page.
     """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    large = sizes.where(F.col("__n") > page_size).select(
-        *keys, F.ceil(F.col("__n") * 2 / page_size).cast("long").alias("__pages")
-    )
-    paged = df.join(large, keys, "left").withColumn(
-        "page",
-        F.when(F.col("__pages").isNull(), F.lit(0)).otherwise(
-            F.pmod(F.xxhash64(F.col(value)), F.col("__pages"))
-        ).cast("long"),
-    )
-    return paged.groupBy(*keys, "page").agg(F.sort_array(F.collect_set(value)).alias(alias))
+    distinct = df.select(*keys, value).distinct()
+    ranked = running(distinct, keys, [value], {"__pos": total(F.when(F.col(value).isNotNull(), 1).otherwise(0))}, hot=hot)
+    page = F.floor((F.greatest(F.col("__pos"), F.lit(1)) - 1) / page_size).cast("long")
+    return ranked.groupBy(*keys, page.alias("page")).agg(F.sort_array(F.collect_list(value)).alias(alias))
 
 
 def threads(

@@ -280,7 +280,7 @@ def programme_counts(status: DataFrame, sla_days: int) -> DataFrame:
 def age_bands(status: DataFrame, sla_days: int) -> DataFrame:
     """Undecided alerts per age band, bands closed on the right."""
     labels = ["0-7", "8-14", f"15-{sla_days}", f">{sla_days}"]
-    band = right_closed_bands(F.col("age_days"), [-1, 7, 14, sla_days, 10_000], labels)
+    band = right_closed_bands(F.col("age_days"), [-1, 7, 14, sla_days, float("inf")], labels)
     undecided = status.where(~F.col("status").isin(TERMINAL))
     return undecided.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("alerts"))
 

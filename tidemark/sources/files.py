@@ -66,6 +66,6 @@ def list_files(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def preview(df: DataFrame, order: list[str], rows: int = 5000) -> DataFrame:
-    """The first rows in a fixed order: a capped look at a table."""
-    return df.orderBy(*order).limit(min(int(rows), 10_000))
+def preview(df: DataFrame, order: list[str], rows: int = 5000, most: int = 10_000) -> DataFrame:
+    """The first rows in a fixed order, as many as asked for but no more than `most`."""
+    return df.orderBy(*order).limit(min(int(rows), most))

@@ -26,7 +26,7 @@ TEXTS = [None, "", " ", "  ", "a", " a", "a  b", "a \n b", "a\n\n b c\t d ", " 
 
 def test_encoder_equals_the_library(spark, library):
     docs = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
-    encode = tokenstore.Encoder(PATH, keep=500)
+    encode = tokenstore.Encoder(PATH, keep=200)
     for some in ([t or "" for t in TEXTS], docs[:100], docs[100:], docs):
         assert [x.tolist() for x in encode(some)] == [library(t) for t in some]
 

@@ -12,9 +12,9 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 from re import compile as pattern
 
 import numpy as np
@@ -39,54 +39,74 @@ BEFORE_WORD, ODD_SPACE = pattern(r"(?= \S)"), pattern(r" \s| $")
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizers library, with the ids of frequent words kept.
+    """Ids of whole texts by the tokenizers library, with the ids of recent words kept.
 
     A space before a visible character always begins a pre-token, so a text may be cut there and the parts encoded
-    apart. Parts not met before are encoded together as one text, and their ids are told apart by the space that
-    begins every one of them.
+    apart. Parts not met lately are encoded together, JOINED at a time, and their ids are told apart by the space that
+    begins every one of them. Ids are kept as the bytes of unsigned 32-bit numbers; of the words, the last `keep` to
+    twice `keep` stay.
     """
 
-    def __init__(self, path: str, keep: int = 150_000):
+    JOINED = 64
+
+    def __init__(self, path: str, keep: int = 400_000):
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         vocabulary = self.library.get_vocab()
-        self.begins = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.begins[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True
-        self.kept: dict[str, list[int]] = {}
+        self.begins = [False] * (max(vocabulary.values()) + 1)
+        for token, i in vocabulary.items():
+            self.begins[i] = token.startswith("Ġ")
+        self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.keep = keep
 
-    def alone(self, some: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch(some, add_special_tokens=False)]
+    def alone(self, some: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.library.encode_batch(some, add_special_tokens=False)]
 
     def _learn(self, new: list[str]) -> None:
-        for i in range(0, len(new), 4_096):
-            part = new[i : i + 4_096]
-            ids = np.array(self.library.encode("".join(part), add_special_tokens=False).ids, dtype=np.int64)
-            cuts = np.flatnonzero(self.begins[ids]) if len(ids) else ids
-            if len(cuts) == len(part) and cuts[0] == 0:
-                found = [x.tolist() for x in np.split(ids, cuts[1:])]
-            else:
-                found = self.alone(part)
-            self.kept.update(zip(part, found, strict=True))
+        kept, begins = self.kept, self.begins
+        for first in range(0, len(new), 256 * self.JOINED):
+            groups = [new[i : i + self.JOINED] for i in range(first, min(first + 256 * self.JOINED, len(new)), self.JOINED)]
+            found = self.library.encode_batch(["".join(g) for g in groups], add_special_tokens=False)
+            for group, encoding in zip(groups, found, strict=True):
+                ids = encoding.ids
+                cuts = [i for i, x in enumerate(ids) if begins[x]]
+                if len(cuts) == len(group) and cuts[0] == 0:
+                    raw = array("I", ids).tobytes()
+                    cuts.append(len(ids))
+                    for word, a, b in zip(group, cuts, cuts[1:], strict=False):
+                        kept[word] = raw[4 * a : 4 * b]
+                else:
+                    kept.update(zip(group, self.alone(group), strict=True))
 
     def __call__(self, some: list[str]) -> list[np.ndarray]:
-        parts = []
+        parts, firsts = [], []
         for text in some:
             if ODD_SPACE.search(text):
-                parts.append(BEFORE_WORD.split(text))
+                cut = BEFORE_WORD.split(text)
+                firsts.append(cut[0])
+                parts.append([w[1:] for w in cut[1:]])
             else:
                 cut = text.split(" ")
-                parts.append([cut[0], *[" " + w for w in cut[1:]]])
+                firsts.append(cut[0])
+                parts.append(cut[1:])
         if len(self.kept) > self.keep:
-            self.kept.clear()
-        new = dict.fromkeys(w for p in parts for w in p[1:] if w not in self.kept)
-        plain = [w for w in new if not ODD_SPACE.search(w, 1)]
-        self._learn(plain)
-        odd = [w for w in new if w not in self.kept]
-        self.kept.update(zip(odd, self.alone(odd), strict=True))
-        get = self.kept.__getitem__
-        first = self.alone([p[0] for p in parts])
-        return [np.fromiter(chain(f, *map(get, p[1:])), dtype=np.uint32) for f, p in zip(first, parts, strict=True)]
+            self.older, self.kept = self.kept, {}
+        kept, older = self.kept, self.older
+        plain, odd = [], []
+        for w in set().union(*parts).difference(kept):
+            ids = older.get(w)
+            if ids is not None:
+                kept[w] = ids
+            else:
+                (odd if " " in w else plain).append(w)
+        self._learn([" " + w for w in plain])
+        for w in plain:
+            kept[w] = kept.pop(" " + w)
+        kept.update(zip(odd, self.alone([" " + w for w in odd]), strict=True))
+        get = kept.__getitem__
+        begun = self.alone(firsts)
+        return [np.frombuffer(f + b"".join(map(get, p)), dtype=np.uint32) for f, p in zip(begun, parts, strict=True)]
 
 
 @lru_cache(maxsize=2)

@@ -195,6 +195,52 @@ def test_upsert_table_rewrites_touched_partitions_only(spark):
     assert {r.name for r in files.list_files(spark, f"{target}/day=y").collect()} == untouched
 
 
+def test_upsert_keeps_columns_the_source_lacks(spark):
+    target = scratch_path(spark, "wide")
+    spark.createDataFrame([(1, 2, "a"), (2, 3, "b")], "id long, x long, extra string").write.parquet(target)
+    tables.upsert_table(spark, target, spark.createDataFrame([(2, 9), (3, 1)], "id long, x long"), ["id"])
+    assert rows(spark.read.parquet(target), "id", "x", "extra") == [(1, 2, "a"), (2, 9, "b"), (3, 1, None)]
+    for bad in ("id long, y long", "id long, x string"):
+        with pytest.raises(ValueError):
+            tables.upsert_table(spark, target, spark.createDataFrame([], bad), ["id"])
+
+
+def test_repeated_source_keys_need_an_order(spark):
+    target = spark.createDataFrame([(1, 2)], "id long, x long")
+    twice = spark.createDataFrame([(1, 5), (1, 7), (None, 1), (None, 1)], "id long, x long")
+    with pytest.raises(Exception, match="several source rows"):
+        maintenance.upsert(target, twice, ["id"]).collect()
+    assert rows(maintenance.upsert(target, twice, ["id"], ["x"])) == sorted([(1, 7), (None, 1), (None, 1)], key=repr)
+
+
+def test_a_switch_that_breaks_off_is_recovered(spark, monkeypatch):
+    target = scratch_path(spark, "broken")
+    spark.createDataFrame([(1, 2)], "id long, x long").write.parquet(target)
+    old = f"{target.rsplit('/', 1)[0]}/.old.{target.rsplit('/', 1)[1]}"
+    handle, place = tables._files(spark, target)
+    assert handle.rename(place, tables._files(spark, old)[1])  # as if the job died between the two renames
+    tables.upsert_table(spark, target, spark.createDataFrame([(1, 3)], "id long, x long"), ["id"])
+    assert rows(spark.read.parquet(target)) == [(1, 3)]
+    assert not handle.exists(tables._files(spark, old)[1])
+    monkeypatch.setattr(tables, "switch", lambda *a: (_ for _ in ()).throw(OSError("full")))
+    with pytest.raises(OSError):
+        tables.upsert_table(spark, target, spark.createDataFrame([(1, 4)], "id long, x long"), ["id"])
+    assert rows(spark.read.parquet(target)) == [(1, 3)]
+    left = handle.listStatus(tables._files(spark, target)[1].getParent())
+    assert not [s for s in left if ".next.broken" in s.getPath().getName()]
+
+
+def test_compaction_keeps_the_newest_rows(spark):
+    path = scratch_path(spark, "folds")
+    assert incremental.latest_versions(spark, path, ["id"], spark.createDataFrame([], "id long, x long").schema).count() == 0
+    for batch, data in enumerate([[(1, 1), (2, 1)], [(2, 2)], [(3, 3)], [(1, 4)]]):
+        spark.createDataFrame(data, "id long, x long").write.parquet(f"{path}/batch_id={batch}")
+    before = rows(incremental.latest_versions(spark, path, ["id"]))
+    assert incremental.compact_versions(spark, path, ["id"]) == 2
+    assert rows(incremental.latest_versions(spark, path, ["id"])) == before == [(1, 4), (2, 2), (3, 3)]
+    assert rows(spark.read.parquet(path).select("batch_id").distinct()) == [(2,), (3,)]
+
+
 def test_bootstrap_and_provenance(spark):
     for _ in range(2):
         tables.create_if_missing(spark, "boot.log", "a string, b int")

@@ -177,6 +177,11 @@ def test_top_k(spark, monkeypatch):
         best = sorted(((round(score(v, vector), 9), -i) for i, v in vectors if v), reverse=True)[:4]
         found = out.where(F.col("query_id") == q).orderBy("rank").collect()
         assert [(round(r.score, 9), -r.id) for r in found] == best
+    zero = spark.createDataFrame([(900, [0.0, 0.0, 0.0])], docs.schema)
+    few = retrieval.top_k_similar(docs.where("id < 2").unionByName(zero), "id", "v", spark.createDataFrame(queries, "query_id long, v array<double>"), 5)
+    for q, _ in queries:
+        found = few.where(F.col("query_id") == q).orderBy("rank").collect()
+        assert [r.id for r in found][-1] == 900 and found[-1].score is None and len(found) > 1
     single = docs.select("id", cosine(F.col("v"), F.array(*[F.lit(x) for x in queries[0][1]])).alias("s")).where("id = 3").first().s
     assert single == pytest.approx(score(vectors[3][1], queries[0][1]))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cdc, maintenance
 from ..session import scratch_path
+from ..sources import files, tables
 from ..streaming import incremental as streams
 from .registry import Entry, Tables
 
@@ -64,6 +65,31 @@ def newer_orders(t: Tables):
     return again.unionByName(fresh)
 
 
+def upserted_table(t: Tables):
+    """A written table after an upsert whose source lacks a column."""
+    target = scratch_path(t.spark, "orders")
+    kept_orders(t).write.parquet(target)
+    tables.upsert_table(t.spark, target, newer_orders(t).drop("o_custkey"), ["o_orderkey"])
+    return t.spark.read.parquet(target)
+
+
+def compacted_state(t: Tables):
+    """Current state kept in three batches by hash of the event, folded before the last one is read."""
+    path = scratch_path(t.spark, "versions")
+    for batch in range(3):
+        part = t.c_changes.where(F.pmod(F.col("_pg_lsn"), F.lit(3)) <= batch)
+        cdc.latest_changes(part, CHANGES).write.parquet(f"{path}/{streams.VERSION}={batch}")
+    streams.compact_versions(t.spark, path, CHANGES.keys)
+    return streams.scd1_current(t.spark, path, CHANGES)
+
+
+def csv_orders(t: Tables):
+    """Orders written as compressed CSV and read back."""
+    root = scratch_path(t.spark, "csv")
+    t.orders.select("o_orderkey", "o_orderstatus", "o_orderpriority").write.option("compression", "gzip").csv(f"{root}/orders.csv.gz", header=True)
+    return files.read_csv_any(t.spark, root, "orders")
+
+
 def kept_orders(t: Tables):
     return t.orders.select("o_orderkey", "o_custkey", "o_totalprice")
 
@@ -75,6 +101,25 @@ ORDER_COLUMNS = "o_orderkey:b o_custkey:b o_totalprice:d2"
 ENTRIES = [
     Entry("scd1_state", "id:b status:s amount:d2", lambda t: cdc.current_state(t.c_changes, CHANGES), SQL_STATE),
     Entry("scd1_stream", "id:b status:s amount:d2", scd1_stream, SQL_STATE),
+    Entry("compacted_state", "id:b status:s amount:d2", compacted_state, SQL_STATE),
+    Entry("read_csv_any", "o_orderkey:b o_orderstatus:s o_orderpriority:s", csv_orders, "SELECT o_orderkey, o_orderstatus, o_orderpriority FROM {orders}"),
+    Entry(
+        "upsert_table",
+        "o_orderkey:b o_custkey:b o_totalprice:d2",
+        upserted_table,
+        """SELECT o_orderkey, o_custkey, o_totalprice + CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END AS o_totalprice FROM {orders}
+        UNION ALL SELECT c_custkey + 1000000000, NULL, c_acctbal FROM {customer}""",
+    ),
+    Entry(
+        "delete_from_time_parents",
+        "o_orderkey:b o_custkey:b",
+        lambda t: maintenance.delete_from_time(
+            t.orders, t.lineitem, "o_custkey", "o_orderdate",
+            t.events.groupBy(F.col("user_id").alias("o_custkey")).agg(F.lit("1999-01-01").cast("timestamp_ntz").alias("cut")),
+            "o_orderkey", "l_orderkey",
+        )[0],
+        """SELECT o_orderkey, o_custkey FROM {orders} WHERE NOT (o_orderdate >= TIMESTAMP '1999-01-01' AND o_custkey IN (SELECT user_id FROM {events}))""",
+    ),
     Entry("daily_totals_stream", "id:b day:D events:b cents:b", daily_stream, SQL_DAILY),
     Entry(
         "daily_totals_net",

@@ -71,6 +71,13 @@ SQL_CHUNKS = r"""WITH RECURSIVE p AS (SELECT doc_id, row_number() OVER (PARTITIO
     SELECT doc_id, chunk_index, md5(regexp_replace(string_agg(x, chr(10) || chr(10) ORDER BY n), '^\s+|\s+$', '', 'g')) AS digest
     FROM f JOIN p USING (doc_id, n) GROUP BY ALL"""
 
+# Answers of a model: no JSON, JSON that is no object, amounts beyond integers, off-list actions, text around the JSON.
+RAW_REPLY = """CASE WHEN value < 5 THEN 'sorry' WHEN event_type = 'signup' THEN '[1, 2]' ELSE concat('{"case_summary": "seen", "suggested_action": "',
+    CASE WHEN event_type = 'purchase' THEN 'refund' ELSE event_type END, '", "suggested_amount_cents": ',
+    CAST(CASE WHEN value > 90 THEN 99999999999 ELSE CAST(floor(value) AS BIGINT) END AS STRING), '}') END"""
+RAW_ANALYSIS = """CASE WHEN value < 5 THEN 'none' ELSE concat('Review: {"compliance_score": ', CAST(CAST(floor(value) AS BIGINT) * 2 AS STRING),
+    ', "issues": ["tone", "length"], "suggestions": "', event_type, '"} done') END"""
+
 ENTRIES = [
     Entry(
         "redact",
@@ -150,6 +157,21 @@ ENTRIES = [
         CASE WHEN value < 5 THEN '' ELSE 'seen' END AS summary, CASE WHEN ok THEN least(1, value / 100) ELSE 0 END AS confidence, ok AS valid
         FROM (SELECT *, value >= 5 AND event_type <> 'signup' AS ok FROM {events})""",
     ),
+    Entry(
+        "parse_reply",
+        "event_id:b parsed_ok:B suggested_action:s suggested_amount_cents:b amount_ok:B case_summary:s",
+        lambda t: text.parse_reply(t.events.selectExpr("event_id", f"{RAW_REPLY} AS raw"), "raw"),
+        f"""SELECT event_id, ok AS parsed_ok, CASE WHEN ok AND event_type = 'purchase' THEN 'refund' ELSE 'no_action' END AS suggested_action,
+        CASE WHEN ok AND value <= 90 THEN CAST(floor(value) AS BIGINT) ELSE 0 END AS suggested_amount_cents, NOT ok OR value <= 90 AS amount_ok,
+        CASE WHEN ok THEN 'seen' ELSE '' END AS case_summary FROM (SELECT *, value >= 5 AND event_type <> 'signup' AS ok FROM {{events}})""",
+    ),
+    Entry(
+        "parse_analysis",
+        "event_id:b parsed_ok:B compliance_score:d4 issues:s suggestions:s",
+        lambda t: text.parse_analysis(t.events.selectExpr("event_id", f"{RAW_ANALYSIS} AS raw"), "raw"),
+        """SELECT event_id, value >= 5 AS parsed_ok, CASE WHEN value >= 5 THEN least(100, floor(value) * 2) END AS compliance_score,
+        CASE WHEN value >= 5 THEN '["tone","length"]' END AS issues, CASE WHEN value >= 5 THEN event_type END AS suggestions FROM {events}""",
+    ),
     Entry(
         "json_props",
         "event_id:b k:b clamped:d2",
@@ -178,5 +200,5 @@ ENTRIES = [
 
 
 def _first_centre(t: Tables):
-    centres = dict(retrieval.group_centroids(t.embeddings, "label", "embedding"))
-    return F.array(*[F.lit(x) for x in centres[0]])
+    first = retrieval.group_centroids(t.embeddings, "label", "embedding").where("query_id = 0").first()
+    return F.array(*[F.lit(x) for x in first.vector])

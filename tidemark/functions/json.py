@@ -19,8 +19,8 @@ def unfenced(text: Column) -> Column:
     return F.when(clean.startswith("```"), inner).otherwise(clean)
 
 
-def with_document(df: DataFrame, text: Column, name: str) -> DataFrame:
-    """Add the JSON text as a variant column, NULL when it is not valid.
+def with_document(df: DataFrame, text: Column, name: str, objects: bool = False) -> DataFrame:
+    """Add the JSON text as a variant column, NULL when it is not valid or, with `objects`, no object.
 
     Parsing stops after the first value and would let trailing characters pass. Inside an array they
     are an error, or a second element. The steps are columns of their own, so each runs once.
@@ -29,7 +29,8 @@ def with_document(df: DataFrame, text: Column, name: str) -> DataFrame:
     listed = raw.withColumn("__listed", F.try_parse_json(F.concat(F.lit("["), F.col("__raw"), F.lit("]"))))
     alone = F.try_variant_get("__listed", "$[1]", "variant").isNull()
     first = F.try_variant_get("__listed", "$[0]", "variant")
-    return listed.withColumn(name, F.when(alone, first)).drop("__raw", "__listed")
+    wanted = alone & F.ltrim("__raw").startswith("{") if objects else alone
+    return listed.withColumn(name, F.when(wanted, first)).drop("__raw", "__listed")
 
 
 def field(document: Column, name: str, kind: str = "string") -> Column:

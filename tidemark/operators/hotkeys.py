@@ -51,7 +51,7 @@ def hot_keys(df: DataFrame, keys: list[str], hot: Hot = HOT_ROWS) -> HotKeys:
         return HotKeys([], HOT_ROWS)
     if isinstance(hot, HotKeys):
         return hot
-    both = df.groupingSets([[df[k] for k in keys], []], *[df[k] for k in keys])
+    both = df.select(*keys).groupingSets([[F.col(k) for k in keys], []], *keys)
     counts = both.agg(F.count(F.lit(1)).alias("__rows"), F.grouping_id().alias("__all"))
     largest = counts.where(F.col("__rows") >= hot).orderBy(F.desc("__all"), F.desc("__rows")).limit(MAX_HOT_KEYS + 1).collect()
     total = largest[0]["__rows"] if largest else 0
@@ -62,7 +62,7 @@ def hot_keys(df: DataFrame, keys: list[str], hot: Hot = HOT_ROWS) -> HotKeys:
 def same_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join on equal keys, NULL being equal to NULL; the keys appear once."""
     other = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
-    on = reduce(lambda a, b: a & b, [left[k].eqNullSafe(other[f"__r_{k}"]) for k in keys])
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys])
     return left.join(other, on, how).drop(*[f"__r_{k}" for k in keys])
 
 

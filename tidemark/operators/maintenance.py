@@ -6,6 +6,8 @@ Catalogs with MERGE can use `merge_into` instead.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,14 +15,47 @@ from .windows import latest_row
 
 
 def one_per_key(source: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
-    """The source with unique keys: newest by `order`, or unchanged when no order is given."""
-    return latest_row(source, keys, order) if order else source
+    """The source with unique keys: the newest row by `order`. Without an order, a second row of a key fails the job.
+
+    Rows with a NULL in the key match nothing and stay as they are.
+    """
+    whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    keyed, loose = source.where(whole), source.where(~whole)
+    if order:
+        return latest_row(keyed, keys, order).unionByName(loose)
+    packed = keyed.groupBy(*keys).agg(F.any_value(F.struct(*source.columns)).alias("__row"), F.count(F.lit(1)).alias("__n"))
+    problem = F.raise_error(F.concat(F.lit("several source rows with key "), F.to_json(F.struct(*keys))))
+    single = packed.select(F.when(F.col("__n") == 1, F.col("__row")).otherwise(problem.cast(packed.schema["__row"].dataType)).alias("__row"))
+    return single.select("__row.*").unionByName(loose)
+
+
+def check_columns(target: DataFrame, source: DataFrame) -> None:
+    """The source may lack columns of the target; it has no others, and the types agree."""
+    known = {f.name: f.dataType for f in target.schema}
+    for f in source.schema:
+        if f.name not in known:
+            raise ValueError(f"the target has no column {f.name}")
+        if f.dataType != known[f.name]:
+            raise ValueError(f"column {f.name} is {f.dataType.simpleString()} in the source and {known[f.name].simpleString()} in the target")
 
 
 def upsert(target: DataFrame, source: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
-    """Matched keys take the source row, new keys are added, the rest stay."""
-    incoming = one_per_key(source, keys, order).select(*target.columns)
-    return target.join(incoming, keys, "left_anti").select(*target.columns).unionByName(incoming)
+    """Matched keys take the source row, new keys are added, the rest stay.
+
+    Columns that the source lacks keep their value on matched keys and are NULL on new ones. Of further columns, the
+    source may have those of `order`.
+    """
+    ranking = [c for c in order or [] if c not in target.columns]
+    check_columns(target, source.drop(*ranking))
+    incoming = one_per_key(source, keys, order).drop(*ranking)
+    missing = [f for f in target.schema if f.name not in source.columns]
+    kept = target.join(incoming.select(*keys), keys, "left_anti").select(*target.columns)
+    if not missing:
+        return kept.unionByName(incoming.select(*target.columns))
+    old = target.select(*keys, F.struct(*[f.name for f in missing]).alias("__old"))
+    widened = incoming.join(old, keys, "left")
+    columns = [F.col(f"__old.{f.name}").cast(f.dataType).alias(f.name) if f in missing else F.col(f.name) for f in target.schema]
+    return kept.unionByName(widened.select(*columns))
 
 
 def insert_new(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:

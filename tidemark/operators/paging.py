@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -20,18 +20,20 @@ def keyset_page(
     so `after` gives the newest page and not the adjacent one. One row past the page is fetched to
     learn whether more exist.
     """
-    at = F.struct(F.col(ts), F.col(key))
-    rows = df
+    at, rows = F.struct(F.col(ts), F.col(key)), df
     if after is not None:
-        rows = rows.where(at > _cursor(df, ts, key, after))
+        cursor = _cursor(df, ts, key, after)
+        rows = rows.where((F.col(ts) >= cursor[0]) & (at > F.struct(*cursor)))
     elif before is not None:
-        rows = rows.where(at < _cursor(df, ts, key, before))
-    ahead = rows.orderBy(F.col(ts).desc(), F.col(key).desc()).limit(n + 1)
-    total = ahead.agg(F.count(F.lit(1)).alias("__n")).scalar()
-    page = ahead.orderBy(F.col(ts).desc(), F.col(key).desc()).limit(n)
-    return page.withColumn("has_more", total > n)
+        cursor = _cursor(df, ts, key, before)
+        rows = rows.where((F.col(ts) <= cursor[0]) & (at < F.struct(*cursor)))
+    newest = [F.col(ts).desc(), F.col(key).desc()]
+    # n + 1 rows, counted where they are
+    ahead = rows.orderBy(*newest).limit(n + 1).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy()))
+    return ahead.withColumn("has_more", F.col("__n") > n).orderBy(*newest).limit(n).drop("__n")
 
 
-def _cursor(df: DataFrame, ts: str, key: str, cursor: tuple) -> Column:
+def _cursor(df: DataFrame, ts: str, key: str, cursor: tuple) -> tuple[Column, Column]:
+    """The cursor's values in the columns' types; the one on `ts` is a conjunct of its own, which scans can use."""
     types = dict(df.dtypes)
-    return F.struct(F.lit(cursor[0]).cast(types[ts]).alias(ts), F.lit(cursor[1]).cast(types[key]).alias(key))
+    return F.lit(cursor[0]).cast(types[ts]).alias(ts), F.lit(cursor[1]).cast(types[key]).alias(key)

@@ -118,6 +118,7 @@ def fallback_message(kind: Column, area: Column, started_at: Column, ongoing: Co
     )
 
 
+# The category of answers nobody could place, the priorities, and below the actions of a reply.
 MANUAL_REVIEW = "Needs manual review"
 PRIORITIES = ["HIGH", "MEDIUM", "LOW"]
 
@@ -128,9 +129,10 @@ def parse_triage(df: DataFrame, column: str, taxonomy: DataFrame) -> DataFrame:
     Text around the JSON is ignored. Malformed or off-list answers become manual-review rows with
     valid = false; a bad priority takes the category's own, a bad confidence becomes 0.
     """
-    names = taxonomy.select(
-        F.col("category").alias("__named"), F.lit(True).alias("__listed"), F.col("department").alias("__department"), F.col("priority").alias("__default")
-    )
+    # a category listed twice counts once, with its smallest department and priority
+    names = taxonomy.groupBy(F.col("category").alias("__named")).agg(
+        F.lit(True).alias("__listed"), F.min(F.struct("department", "priority")).alias("__first")
+    ).select("__named", "__listed", F.col("__first.department").alias("__department"), F.col("__first.priority").alias("__default"))
     read = js.with_document(df, js.braces(F.col(column)), "__doc").withColumn("__named", js.field(F.col("__doc"), "category"))
     joined = join_dimension(read, names, ["__named"], "left")
     valid = F.coalesce("__listed", F.lit(False))
@@ -152,15 +154,18 @@ REPLY_ACTIONS = ["refund", "credit", "no_action", "escalate", "resolve"]
 
 
 def parse_reply(df: DataFrame, column: str) -> DataFrame:
-    """Read a support suggestion; off-list actions become no_action, `parsed_ok` is false on bad JSON."""
-    out = js.with_document(df, js.unfenced(F.col(column)), "__doc")
+    """Read a support suggestion; off-list actions become no_action. `parsed_ok` is false on bad JSON and on JSON that is
+    no object; `amount_ok` is false on an amount beyond the range of integers, which counts as 0."""
+    out = js.with_document(df, js.unfenced(F.col(column)), "__doc", objects=True)
     doc, action = F.col("__doc"), js.field(F.col("__doc"), "suggested_action")
+    amount = js.field(doc, "suggested_amount_cents").try_cast("double")
     texts = {n: F.coalesce(js.field(doc, n), F.lit("")) for n in ("case_summary", "suggested_response", "reasoning")}
     return out.withColumns(
         {
             "parsed_ok": doc.isNotNull(),
             "suggested_action": F.when(action.isin(REPLY_ACTIONS), action).otherwise("no_action"),
-            "suggested_amount_cents": F.coalesce(js.field(doc, "suggested_amount_cents").try_cast("double"), F.lit(0.0)).cast("int"),
+            "suggested_amount_cents": F.coalesce(amount.try_cast("int"), F.lit(0)),
+            "amount_ok": amount.isNull() | amount.try_cast("int").isNotNull(),
             **texts,
         }
     ).drop("__doc")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,31 +26,97 @@ def append_log(df: DataFrame, target: str, spark: SparkSession) -> None:
     df.write.mode("append").parquet(target)
 
 
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and the path, as Hadoop objects: driver-side renames on any store Spark writes."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/"))
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def _beside(place, name: str):
+    """A path next to `place`; a leading dot hides it from readers of the parent folder."""
+    return place.suffix("").getParent().suffix(f"/{name}")
+
+
+def recover(spark: SparkSession, target: str) -> None:
+    """Finish or undo a switch that broke off: without a live folder the previous version comes back."""
+    files, place = _files(spark, target)
+    old = _beside(place, f".old.{place.getName()}")
+    if files.exists(old):
+        if files.exists(place):
+            files.delete(old, True)
+        elif not files.rename(old, place):
+            raise OSError(f"{old} could not be moved back")
+
+
+def switch(spark: SparkSession, made: str, target: str) -> None:
+    """Put the finished folder `made` in the place of `target` by renames.
+
+    Both versions are complete all the time. A reader that comes between the two renames finds no table; `recover`,
+    which every writer here calls first, then brings the old version back.
+    """
+    recover(spark, target)
+    files, place = _files(spark, target)
+    old, new = _beside(place, f".old.{place.getName()}"), _files(spark, made)[1]
+    if files.exists(place) and not files.rename(place, old):
+        raise OSError(f"{place} could not be set aside")
+    if not files.rename(new, place):
+        raise OSError(f"{new} could not be moved to {place}")
+    if files.exists(old):
+        files.delete(old, True)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder."""
+    files, place = _files(spark, path)
+    files.delete(place, True)
+
+
 def replace_table(df: DataFrame, target: str, partition: str | None = None) -> None:
-    """Write a table's next version, which may read from the table itself.
+    """Write a table's next version, which may read from the table itself, beside it and then switch to it.
 
-    The rows go to the shared folder first, since a table cannot be overwritten while it is read.
-    With `partition`, only the partitions present in `df` are replaced.
+    With `partition`, only the partitions present in `df` are replaced, one switch each. Rows are written once, and
+    nothing stays behind.
     """
-    writer = staged(df, "next-version").write.mode("overwrite")
-    if partition:
-        writer = writer.partitionBy(partition).option("partitionOverwriteMode", "dynamic")
-    writer.parquet(target)
+    spark = df.sparkSession
+    _, place = _files(spark, target)
+    made = _beside(place, f".next.{place.getName()}.{uuid4().hex}").toString()
+    try:
+        if partition is None:
+            df.write.parquet(made)
+            switch(spark, made, target)
+            return
+        df.write.partitionBy(partition).parquet(made)
+        files, folder = _files(spark, made)
+        for found in files.listStatus(folder):
+            name = found.getPath().getName()
+            if found.isDirectory() and "=" in name:
+                switch(spark, f"{made}/{name}", f"{target.rstrip('/')}/{name}")
+    finally:
+        files, folder = _files(spark, made)
+        if files.exists(folder):
+            files.delete(folder, True)
 
 
 def upsert_table(
     spark: SparkSession, target: str, source: DataFrame, keys: list[str], order: list[str] | None = None, partition: str | None = None
 ) -> None:
-    """Upsert into a Parquet table. With `partition` (a column a key never changes), only the
-    partitions the source touches are read and rewritten."""
-    current = spark.read.schema(source.schema).parquet(target)
+    """Upsert into a Parquet table by the target's own schema (see `maintenance.upsert`).
+
+    With `partition` (a column a key never changes), only the partitions the source touches are read and rewritten.
+    Two source rows of one key need an `order`.
+    """
+    recover(spark, target)
+    current = spark.read.parquet(target)
     if partition:
+        # a partition column is read back with a type guessed from folder names
+        current = current.withColumn(partition, F.col(partition).cast(source.schema[partition].dataType))
         current = current.join(source.select(partition).distinct(), partition, "left_semi")
-    replace_table(maintenance.upsert(current.select(*source.columns), source, keys, order), target, partition)
+    replace_table(maintenance.upsert(current, source, keys, order), target, partition)
 
 
 def insert_new_rows(spark: SparkSession, target: str, source: DataFrame, keys: list[str]) -> None:
     """Append the source rows whose key the table lacks; a rerun adds nothing."""
+    recover(spark, target)
     current = spark.read.schema(source.schema).parquet(target)
     staged(maintenance.insert_new(current, source, keys), "new-rows").write.mode("append").parquet(target)
 

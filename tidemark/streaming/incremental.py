@@ -8,12 +8,16 @@ replayed after a failure replaces itself.
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators.cdc import ChangeSpec, daily_totals, drop_deleted, latest_changes
+from ..sources import tables
+from ..sources.files import path_exists
 
 VERSION = "batch_id"
 
@@ -33,15 +37,42 @@ def write_batches(df: DataFrame, path: str, checkpoint: str, trigger: dict | Non
     )
 
 
-def latest_versions(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """The newest stored row per key."""
-    rows = spark.read.parquet(path)
+def latest_versions(spark: SparkSession, path: str, keys: list[str], schema: StructType | None = None) -> DataFrame:
+    """The newest stored row per key. With `schema`, the rows' columns, there may be no batch yet."""
+    reader = spark.read
+    if schema is not None:
+        if not path_exists(spark, f"{path}/{VERSION}=*"):
+            return spark.createDataFrame([], schema)
+        reader = reader.schema(StructType([*schema.fields, StructField(VERSION, LongType())]))
+    rows = reader.parquet(path)
     best = rows.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(
         F.max_by(F.struct("*"), F.col(VERSION)).alias("__row")
     )
     return best.select("__row.*").drop(VERSION)
 
 
+def compact_versions(spark: SparkSession, path: str, keys: list[str]) -> int:
+    """Fold all stored batches but the newest into the one before it; returns how many folders are left.
+
+    The newest batch stays by itself: it is the only one a restarted query may write again. Between batches or beside
+    a running query, readers see the same rows before, while and after: the folded folder takes the place of the last
+    one it holds by a switch, and the folders before it, whose rows it has, go afterwards.
+    """
+    found = spark.read.parquet(path).select(VERSION).distinct().orderBy(VERSION).collect()
+    batches = [r[0] for r in found]
+    if len(batches) < 3:
+        return len(batches)
+    last = batches[-2]
+    folded = spark.read.parquet(path).where(F.col(VERSION) <= last)
+    best = folded.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.max_by(F.struct("*"), F.col(VERSION)).alias("__row"))
+    made = f"{path}/_folded.{uuid4().hex}"
+    best.select("__row.*").drop(VERSION).write.parquet(made)
+    tables.switch(spark, made, f"{path}/{VERSION}={last}")
+    for batch in batches[:-2]:
+        tables.remove(spark, f"{path}/{VERSION}={batch}")
+    return 2
+
+
 def scd1_stream(changes: DataFrame, spec: ChangeSpec, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Maintain current state from a streaming change history.
 

@@ -363,8 +363,10 @@ def train(sample: list[str], rounds: int = 60, ridge: float = 0.02, rate: float
 
 def sample_regions(docs: DataFrame, key: str, text: str, most_documents: int, most_regions: int) -> list[str]:
     """At most `most_regions` regions of the documents with marks whose keys have the smallest hashes."""
-    some = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).filter(F.col("text").rlike("[0-9@]"))
-    some = some.orderBy(F.xxhash64("k"), F.xxhash64("text")).limit(most_documents)
+    marked = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).filter(F.col("text").rlike("[0-9@]"))
+    chosen = marked.select("k").dropna().orderBy(F.xxhash64("k")).limit(most_documents).distinct()
+    # at most `most_documents` keys, so small at any size of the corpus
+    some = marked.join(F.broadcast(chosen), "k", "left_semi")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

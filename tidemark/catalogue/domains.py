@@ -490,7 +490,7 @@ SQL_ALL_HITS = f"""SELECT 'STRUCTURING' AS rule_id, 70 AS severity, * FROM ({_hi
 
 
 def hits(t: Tables):
-    hot = hot_keys(t.m_txns, ["customer_id"])
+    hot = t.hot("m_txns", ["customer_id"])
     return {
         "STRUCTURING": structuring(t, hot),
         "RAPID_MOVEMENT": rapid(t, hot),
@@ -761,16 +761,17 @@ OEE_COLUMNS = "planned_min:b downtime_min:b availability_pct:d1 performance_pct:
 
 
 def machines(t: Tables):
-    """Hot machines, looked up once on the plain readings."""
-    return hot_keys(t.f_readings, ["machine_id"])
+    """Hot machines, looked up once per query on the plain readings."""
+    return t.hot("f_readings", ["machine_id"])
 
 
 def scored(t: Tables):
-    return factory.vibration_scored(t.f_readings, alert_z=0.5, alert_rows=4, watch_z=0.2, watch_rows=3, hot=machines(t))
+    """Scored once per query, since status, episodes and texts all start from it."""
+    return t.once("scored", lambda: factory.vibration_scored(t.f_readings, alert_z=0.5, alert_rows=4, watch_z=0.2, watch_rows=3, hot=machines(t)))
 
 
 def episodes(t: Tables):
-    return factory.alert_episodes(scored(t), hot=machines(t))
+    return t.once("episodes", lambda: factory.alert_episodes(scored(t), hot=machines(t)))
 
 
 SQL_SCORED = """SELECT *, count(*) FILTER (z > 0.5) OVER (w ROWS 3 PRECEDING) = 4 AS alert_hour,
@@ -840,7 +841,8 @@ FACTORY = [
 
 
 def found(t: Tables):
-    return network.incidents(t.n_kpis, t.n_sites, outage_below=85)
+    """Few rows next to the KPIs they come from: written once per query."""
+    return t.once("incidents", lambda: network.incidents(t.n_kpis, t.n_sites, outage_below=85))
 
 
 SQL_INCIDENTS = """WITH k AS (SELECT *, availability_pct < 95 OR drop_call_rate_pct > 2 AS bad FROM {n_kpis}),
@@ -856,7 +858,7 @@ INCIDENT_COLUMNS = (
 
 
 def policy(t: Tables):
-    return network.with_policy(network.incident_impact(found(t), t.n_customers, t.n_tickets))
+    return t.once("policy", lambda: network.with_policy(network.incident_impact(found(t), t.n_customers, t.n_tickets)))
 
 
 SQL_POLICY = f"""WITH inc AS ({SQL_INCIDENTS}), per AS (SELECT site_id, count(*) AS incidents_in_period FROM inc GROUP BY 1),

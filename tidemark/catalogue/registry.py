@@ -9,6 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.hotkeys import HotKeys, hot_keys
+from ..session import staged
 from .views import BASE, VIEWS
 
 # Column kinds: Spark type, SQL type.
@@ -27,6 +29,7 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
         self._known: dict[str, DataFrame] = {}
+        self._hot: dict[str, HotKeys] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._known:
@@ -42,6 +45,20 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self[name]
 
+    def hot(self, name: str, keys: list[str]) -> HotKeys:
+        """Hot keys of a table, looked up once per query."""
+        found = f"{name}:{','.join(keys)}"
+        if found not in self._hot:
+            self._hot[found] = hot_keys(self[name], keys)
+        return self._hot[found]
+
+    def once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """An intermediate result that a query uses several times: built and written once, then read."""
+        key = f"once:{name}"
+        if key not in self._known:
+            self._known[key] = staged(build(), name)
+        return self._known[key]
+
 
 def _references(text: str) -> list[str]:
     return sorted({name for name in re.findall(r"\{(\w+)\}", text) if name in VIEWS or name in BASE})

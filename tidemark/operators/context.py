@@ -61,19 +61,18 @@ def assemble_pages(
     the heads and has every heading; further pages hold what continues of each section. A parent
     whose sections have one page each has page 0 only.
     """
-    at = [*keys, "page"]
-    pages = parents.select(*keys, F.lit(0).cast("long").alias("page"))
-    for _, _, part in parts:
-        pages = pages.unionByName(part.join(parents.select(*keys), keys, "left_semi").select(*at))
-    spine = pages.distinct().join(parents, keys)
-    renamed = [part.select(*at, F.col("text").alias(f"__text_{i}")) for i, (_, _, part) in enumerate(parts)]
+    listed = parents.select(*keys, F.lit(0).cast("long").alias("page"), F.lit(-1).alias("__part"), F.lit(None).cast("string").alias("text"))
+    for i, (_, _, part) in enumerate(parts):
+        listed = listed.unionByName(part.select(*keys, "page", F.lit(i).alias("__part"), "text"))
+    # one row per key and page: a part has one text per page
+    texts = [F.max(F.when(F.col("__part") == i, F.col("text"))).alias(f"__text_{i}") for i in range(len(parts))]
+    pages = listed.groupBy(*keys, "page").agg(*texts).join(parents, keys)
     first = F.col("page") == 0
     sections = [F.when(first, head) for head in heads]
     for i, (heading, empty, _) in enumerate(parts):
-        text = F.col(f"__text_{i}")
-        whole = F.concat(F.lit(f"{heading}\n"), F.coalesce(text, F.when(first, F.lit(empty))))
+        whole = F.concat(F.lit(f"{heading}\n"), F.coalesce(F.col(f"__text_{i}"), F.when(first, F.lit(empty))))
         sections.append(whole)
-    return assemble(spine, renamed, at, sections, alias)
+    return pages.select(*keys, "page", F.concat_ws("\n", *sections).alias(alias))
 
 
 def fit_budget(

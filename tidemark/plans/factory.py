@@ -144,8 +144,7 @@ def work_order_context(
         "status", F.col("vibration_x_baseline").cast("string"), F.col("temperature_c").cast("string"),
     )
     # Manuals belong to machine types: the text is made once per type, then given to its machines.
-    # Section ids are text, so the position comes from their rank by a constant first column.
-    per_type = threads(manuals.withColumn("one", F.lit(1)), ["machine_type"], ["one", "section_id"], manual, "text", page_rows=page_rows)
+    per_type = threads(manuals, ["machine_type"], ["section_id"], manual, "text", page_rows=page_rows, hot=hot if isinstance(hot, int) else HOT_ROWS)
     for_machine = status.select("machine_id", "machine_type").join(per_type, "machine_type").drop("machine_type")
     parts = [
         ("## Alert history", "none", threads(episodes, MACHINE, ["started_at"], alerts, "text", page_rows=page_rows, hot=hot)),

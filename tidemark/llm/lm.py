@@ -250,23 +250,24 @@ def _answers(requests: DataFrame) -> DataFrame:
 
 
 def traverse(block: Block, totals: list[np.ndarray], n: int, v: int, mus: tuple[float, ...]) -> dict[str, np.ndarray]:
-    """Per token: whether it is known, its base log10 probability, and per mu its log10 probability and the one
-    without its own occurrence.
+    """Per text: known tokens, base log10 probability, and per mu the log10 probability and that of the training tokens
+    without their own occurrence.
 
-    The pass over the tokens carries the state as the place of each token's context in the next lower order. Where an
+    The pass over the tokens carries the state as the count of each token's context in the next lower order. Where an
     arc is missing its count is zero, and what is left of its weight is the failure arc times the arc of the shorter
-    context.
+    context. Only sums per text are kept, so memory does not grow with the number of mus.
     """
+    starts = np.concatenate([[0], np.cumsum(block.sizes)[:-1]]).astype(np.int64)
     unigram = totals[0][block.grams[0][1]].astype(np.float64)
     base = (unigram + 1) / (n + v + 1)
-    out = {"known": unigram > 0, "base": np.log10(base)}
+    out = {"known": np.add.reduceat((unigram > 0).astype(np.int64), starts), "base": np.add.reduceat(np.log10(base), starts)}
     training = block.training
+    begin = totals[0][np.searchsorted(block.grams[0][0], np.uint64(END))]
     scores, alone = [], []
     for mu in mus:
-        p, q = base, np.maximum(unigram, 1e-300) / (n + v) if n + v else base
-        state = totals[0][np.searchsorted(block.grams[0][0], np.uint64(END))] if len(totals[0]) else 0
-        context = np.concatenate([[state], unigram[:-1]])
-        context[block.before == 0] = state
+        p, q = base, np.maximum(unigram, 1e-300) / max(n + v, 1)
+        context = np.concatenate([[begin], unigram[:-1]])
+        context[block.before == 0] = begin
         for k in range(2, len(totals) + 1):
             _, place, has = block.grams[k - 1]
             count = totals[k - 1][place] * has
@@ -275,10 +276,9 @@ def traverse(block: Block, totals: list[np.ndarray], n: int, v: int, mus: tuple[
             taken = has & training
             q = (np.maximum(count - taken, 0) + mu * q) / (np.maximum(context - taken, 0) + mu)
             context = np.concatenate([[0.0], count[:-1]])
-        scores.append(np.log10(p))
-        alone.append(np.where(training, np.log10(np.maximum(q, 1e-300)), 0.0))
-    out["scores"], out["alone"] = np.array(scores), np.array(alone)
-    return out
+        scores.append(np.add.reduceat(np.log10(p), starts))
+        alone.append(np.add.reduceat(np.where(training, np.log10(np.maximum(q, 1e-300)), 0.0), starts))
+    return out | {"scores": np.array(scores), "alone": np.array(alone)}
 
 
 def score(
@@ -318,17 +318,14 @@ def score(
                     for k in range(1, order + 1)
                 ]
                 found = traverse(block, totals, n, v, mus)
-                starts = np.concatenate([[0], np.cumsum(block.sizes)[:-1]])
-                add = lambda x: np.add.reduceat(x, starts, axis=-1)
-                lists = [add(found[c]).T for c in ("scores", "alone")]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("row_keys").slice(i, 1).flatten(),
                         pa.array(row["held_out"], pa.bool_()),
                         pa.array(block.sizes, pa.int64()),
-                        pa.array(add(found["known"].astype(np.int64)), pa.int64()),
-                        pa.array(add(found["base"]), pa.float64()),
-                        *(pa.array(x.tolist(), pa.list_(pa.float64())) for x in lists),
+                        pa.array(found["known"], pa.int64()),
+                        pa.array(found["base"], pa.float64()),
+                        *(pa.array(found[c].T.tolist(), pa.list_(pa.float64())) for c in ("scores", "alone")),
                     ],
                     schema.names,
                 )

@@ -74,7 +74,8 @@ def _needed(text: str, seen: dict[str, str]) -> dict[str, str]:
 
 
 def _plain(text: str) -> str:
-    return re.sub(r"\{(\w+)\}", r"\1", text)
+    """The text with table names out of their braces; other braces, as in patterns, stay."""
+    return re.sub(r"\{(\w+)\}", lambda m: m[1] if m[1] in VIEWS or m[1] in BASE else m[0], text)
 
 
 @dataclass(frozen=True)

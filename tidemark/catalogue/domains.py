@@ -795,6 +795,18 @@ FACTORY = [
     Entry("oee_by_line", f"dim:s {OEE_COLUMNS}", lambda t: factory.oee(t.f_shifts, t.f_machines, "Line", now(), 60), _oee_sql("line")),
     Entry("oee_by_machine", f"dim:b {OEE_COLUMNS}", lambda t: factory.oee(t.f_shifts, t.f_machines, "Machine", now(), 60), _oee_sql("machine_id")),
     Entry("oee_by_day", f"dim:D {OEE_COLUMNS}", lambda t: factory.oee(t.f_shifts, t.f_machines, "Day", now(), 60), _oee_sql("CAST(shift_start AS DATE)")),
+    Entry(
+        "loss_shares",
+        "oee_pct:d1 availability_loss_pct:d1 performance_loss_pct:d1 quality_loss_pct:d1",
+        lambda t: factory.loss_shares(
+            factory.oee_losses(t.f_shifts, t.f_machines, now(), 60),
+            F.col("breakdowns") + F.col("other_downtime") + F.col("slow_cycles") + F.col("scrap") + F.col("productive"),
+        ),
+        f"""SELECT 100 * p / s AS oee_pct, 100 * (b + o) / s AS availability_loss_pct, 100 * c / s AS performance_loss_pct, 100 * x / s AS quality_loss_pct
+        FROM (SELECT *, b + o + c + x + p AS s FROM (SELECT round(sum(downtime_min) FILTER (downtime_reason = 'Breakdown')) AS b,
+        round(sum(downtime_min) FILTER (downtime_reason <> 'Breakdown')) AS o, round(sum(planned_min - downtime_min - total_units * ideal_cycle_s / 60)) AS c,
+        round(sum(scrap_units * ideal_cycle_s / 60)) AS x, round(sum((total_units - scrap_units) * ideal_cycle_s / 60)) AS p FROM ({SQL_RUN})))""",
+    ),
     Entry(
         "oee_losses",
         "breakdowns:d0 other_downtime:d0 slow_cycles:d0 scrap:d0 productive:d0",
@@ -1000,6 +1012,21 @@ RETAIL = [
         """SELECT * FROM {r_products} WHERE (lower(name) LIKE '%ring%' OR lower(category) LIKE '%ring%') AND price <= 1000
         ORDER BY price, product_id LIMIT 10""",
     ),
+    Entry(
+        "recent_orders",
+        "order_id:b customer_id:b order_date:D",
+        lambda t: retail.recent_orders(t.r_orders, 7, 5),
+        "SELECT order_id, customer_id, order_date FROM {r_orders} WHERE customer_id = 7 ORDER BY order_date DESC, order_id LIMIT 5",
+    ),
+    Entry(
+        "order_details",
+        "order_id:b email:s page:b n_items:b n_returns:b",
+        lambda t: retail.order_details(t.r_orders, t.r_customers, t.r_items, t.r_products, t.r_returns, 7).withColumns(
+            {"n_items": F.size("items"), "n_returns": F.coalesce(F.size("returns"), F.lit(0))}
+        ),
+        """SELECT order_id, email, 0 AS page, (SELECT count(*) FROM (SELECT DISTINCT product_id, quantity, unit_price FROM {r_items} WHERE order_id = 7)) AS n_items,
+        (SELECT count(*) FROM {r_returns} WHERE order_id = 7) AS n_returns FROM {r_orders} JOIN {r_customers} USING (customer_id) WHERE order_id = 7""",
+    ),
     Entry(
         "find_customer",
         "customer_id:b name:s email:s loyalty_tier:s",
@@ -1058,6 +1085,12 @@ CLINICAL = [
         lambda t: clinical.lab_counts(t.h_labs),
         "SELECT hadm_id, label, count(valuenum) AS n FROM {h_labs} WHERE valuenum IS NOT NULL GROUP BY ALL",
     ),
+    Entry(
+        "lab_trend",
+        "charttime:t valuenum:d2",
+        lambda t: clinical.lab_trend(t.h_labs, 7, "lab 1"),
+        "SELECT charttime, valuenum FROM {h_labs} WHERE hadm_id = 7 AND label = 'lab 1' AND valuenum IS NOT NULL",
+    ),
     Entry(
         "medication_counts",
         "hadm_id:b drug:s n:b route:s",

@@ -50,6 +50,15 @@ def daily_stream(t: Tables):
     return streams.latest_versions(t.spark, path, ["id", "day"])
 
 
+def refreshed_view(t: Tables):
+    """A served table that every batch of the stream refreshes by a keyed upsert."""
+    target, checkpoint = scratch_path(t.spark, "view"), scratch_path(t.spark, "view-checkpoint")
+    changes = cdc.latest_changes(_change_stream(t), CHANGES)
+    t.spark.createDataFrame([], changes.schema).write.parquet(target)
+    streams.publish_continuous(changes, lambda batch: tables.upsert_table(t.spark, target, batch, CHANGES.keys), checkpoint).awaitTermination()
+    return cdc.drop_deleted(t.spark.read.parquet(target), CHANGES)
+
+
 SQL_DAILY = """SELECT id, CAST(_timestamp AS DATE) AS day, count(*) AS events, sum(CAST(round(amount * 100) AS BIGINT)) AS cents
     FROM {c_changes} WHERE _pg_change_type <> 'delete' GROUP BY ALL"""
 
@@ -101,6 +110,7 @@ ORDER_COLUMNS = "o_orderkey:b o_custkey:b o_totalprice:d2"
 ENTRIES = [
     Entry("scd1_state", "id:b status:s amount:d2", lambda t: cdc.current_state(t.c_changes, CHANGES), SQL_STATE),
     Entry("scd1_stream", "id:b status:s amount:d2", scd1_stream, SQL_STATE),
+    Entry("refreshed_view", "id:b status:s amount:d2", refreshed_view, SQL_STATE),
     Entry("compacted_state", "id:b status:s amount:d2", compacted_state, SQL_STATE),
     Entry("read_csv_any", "o_orderkey:b o_orderstatus:s o_orderpriority:s", csv_orders, "SELECT o_orderkey, o_orderstatus, o_orderpriority FROM {orders}"),
     Entry(

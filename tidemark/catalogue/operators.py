@@ -129,12 +129,13 @@ WINDOWS = [
     ),
     Entry(
         "paged_lists",
-        "l_suppkey:b pages_ids:b distinct_parts:b",
-        lambda t: windows.paged_lists(t.lineitem.select("l_suppkey", "l_partkey"), ["l_suppkey"], "l_partkey", "parts", 100)
-        .groupBy("l_suppkey")
-        .agg(F.sum(F.aggregate("parts", F.lit(0).cast("long"), lambda a, x: a + x)).alias("pages_ids"), F.sum(F.size("parts")).alias("distinct_parts")),
-        """SELECT l_suppkey, sum(l_partkey) AS pages_ids, count(*) AS distinct_parts FROM (SELECT DISTINCT l_suppkey, l_partkey FROM {lineitem})
-        GROUP BY 1""",
+        "l_suppkey:b page:b parts:s",
+        lambda t: windows.paged_lists(t.lineitem.select("l_suppkey", "l_partkey"), ["l_suppkey"], "l_partkey", "ids", 100).withColumn(
+            "parts", F.array_join(F.col("ids").cast("array<string>"), ",")
+        ),
+        """SELECT l_suppkey, page, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_partkey) AS parts FROM (
+        SELECT *, (row_number() OVER (PARTITION BY l_suppkey ORDER BY l_partkey) - 1) // 100 AS page
+        FROM (SELECT DISTINCT l_suppkey, l_partkey FROM {lineitem})) GROUP BY ALL""",
     ),
 ]
 

@@ -15,7 +15,6 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 import regex
 import tiktoken
 from pyspark.sql import DataFrame, Window

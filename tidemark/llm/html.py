@@ -13,7 +13,6 @@ from dataclasses import dataclass, field
 from html import unescape
 
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType

@@ -14,9 +14,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..session import staged
 from .common import fold, list_array, sliced, texts, words
@@ -36,6 +38,8 @@ BINS = ((1, 1), (2, 3), (4, None))
 MOST_VOTERS = 60
 #: Within-class correlation up to which voters count as independent: classes mix languages, whose voters exclude each other.
 FREE = 0.3
+#: A term has to occur in this share of the sampled toxic texts.
+LEAST_REACH = 0.005
 
 
 @dataclass(frozen=True)
@@ -94,13 +98,37 @@ def _term_counts(sample: DataFrame) -> DataFrame:
     return counted.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
+def _one_of_copies(sample: DataFrame) -> DataFrame:
+    """The sample with one row of every group of copies, exact or near: a toxic text with many copies would make each of
+    its rare words look telling. Rows that share one of three min-hashes over five-word shingles count as copies."""
+    schema = StructType([*sample.schema.fields, *StructType.fromDDL("s0 long, s1 long, s2 long").fields])
+    odd = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], dtype=np.uint64)
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "text", 4_000_000):
+            least = np.zeros((batch.num_rows, 3), dtype=np.uint64)
+            for i, text in enumerate(texts(batch)):
+                some = words(text)
+                spans = range(max(len(some) - 4, 1))
+                hashes = np.array([xxhash.xxh64_intdigest(b" ".join(some[j : j + 5])) for j in spans], dtype=np.uint64)
+                least[i] = (hashes[:, None] * odd[None, :]).min(axis=0)
+            signs = [pa.array(least[:, k].copy().view(np.int64), pa.int64()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *signs], schema.names)
+
+    out = sample.mapInArrow(sign, schema)
+    first = F.struct(F.xxhash64("row_key"), F.xxhash64("text"))
+    for k in range(3):
+        out = out.groupBy(F.col(f"s{k}").alias("_s")).agg(F.min_by(F.struct(*schema.names), first).alias("_row")).select("_row.*")
+    return out.select(*sample.columns)
+
+
 def _mined(sample: DataFrame, toxic: int, clean: int, max_terms: int, least: float) -> list[tuple[bytes, int, int]]:
     """At most `max_terms` terms that speak for toxicity beyond chance, the most telling first."""
     t, c = F.col("toxic").cast("double"), F.col("clean").cast("double")
     odds = F.log((t + 0.5) / (toxic + 1)) - F.log((c + 0.5) / (clean + 1))
     share = (t + c) / (toxic + clean)
     g = 2 * (t * F.log(t / (share * toxic)) + F.when(c > 0, c * F.log(c / (share * clean))).otherwise(0.0))
-    strong = _term_counts(sample).filter(t >= 3).filter((odds > 2.0) & (g > least))
+    strong = _term_counts(sample).filter(t >= max(3.0, LEAST_REACH * toxic)).filter((odds > 2.0) & (g > least))
     rows = strong.withColumn("g", g).orderBy(F.desc("g"), "term").limit(4 * max_terms).collect()
     picked: dict[bytes, tuple[int, int]] = {}
     above: set[bytes] = set()
@@ -148,8 +176,6 @@ def _hits(rows: DataFrame, terms: tuple[bytes, ...]) -> DataFrame:
                 [*columns, list_array(hits, pa.int32()), pa.array(sizes, pa.int64())], [*(f.name for f in kept), "hits", "n_words"]
             )
 
-    from pyspark.sql.types import StructType
-
     return rows.mapInArrow(run, StructType([*kept, *StructType.fromDDL("hits array<int>, n_words long").fields]))
 
 
@@ -171,7 +197,7 @@ def _label_model(masks: DataFrame, first: np.ndarray, prior: float, voters: int,
             for batch in batches:
                 fired = _votes(batch.column("mask").to_numpy(), voters)
                 p = 1 / (1 + np.exp(-np.clip(start + fired @ gain, -40, 40)))
-                label = pa.compute.fill_null(batch.column("label"), -1).to_numpy()
+                label = pc.fill_null(batch.column("label"), -1).to_numpy()
                 p = np.where(label < 0, p, label) * 1.0
                 all_on = np.hstack([fired, np.ones((len(fired), 1))])
                 for c, weight in enumerate((1 - p, p)):
@@ -257,9 +283,10 @@ def fit(
     marks = staged(marks.orderBy(F.xxhash64("row_key"), "row_key").limit(max_labelled), "toxicity-labels")
     # at most max_labelled rows of a key and a number: small enough to broadcast at any size of the corpus
     sample = staged(rows.join(F.broadcast(marks), "row_key"), "toxicity-sample")
-    n = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    apart = staged(_one_of_copies(sample), "toxicity-apart")
+    n = {r.toxic: r.n for r in apart.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = n.get(1, 0), n.get(0, 0)
-    mined = _mined(sample, toxic, clean, max_terms, least_evidence) if toxic and clean else []
+    mined = _mined(apart, toxic, clean, max_terms, least_evidence) if toxic and clean else []
     terms = tuple(t for t, _, _ in mined)
     hits = staged(_hits(rows, terms), "toxicity-hits")
     width = len(terms) + len(PATTERNS)

@@ -297,7 +297,9 @@ def read(files: DataFrame) -> DataFrame:
                         }
                     )
 
-    spread = files.select("file", "start").repartition(F.col("file"))
+    # a fixed number, since adaptive execution would put rows this small into one task
+    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = files.select("file", "start").repartition(parts, "file")
     return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

@@ -68,3 +68,21 @@ def test_forms():
     assert toxicity.forms(b"!!") == []
     assert toxicity.forms(b"trash,") == [b"trash", b"tras*"]
     assert toxicity.forms("größe".encode()) == ["größe".encode(), "größ".encode() + b"*"]
+
+
+def test_every_mined_term_votes(spark):
+    rng = np.random.default_rng(8)
+    bad = [f"{a}{b}{c}x" for a in "bdgkm" for b in "ou" for c in "zvq"]
+    texts = [" ".join(f"w{w}a" for w in rng.integers(0, 300, 20)) + (f" {bad[i // 4 % 30]}" if i % 4 == 0 else "") for i in range(2_400)]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), (F.col("doc_id") % 4 == 0).cast("int").alias("toxic"))
+    model, _ = toxicity.fit(docs, labels)
+    leading = toxicity._leading(model.terms)
+    assert len(leading) > 19 and model.voters == 3 * len(leading) + len(toxicity.PATTERNS) + 1
+    assert all(any(i in leading for i, t in enumerate(model.terms) if t in toxicity.forms(b.encode())) for b in bad)
+    # every term alone says toxic, whatever its rank
+    assert {r.doc_id for r in toxicity.classify(docs, labels).collect() if r.predicted} == {*range(0, 2_400, 4)}
+
+
+def test_only_implied_terms_do_not_vote():
+    assert toxicity._leading((b"zork*", b"zorke*", b"zorked", b"zork", b"grub")) == [0, 3, 4]

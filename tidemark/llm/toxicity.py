@@ -1,7 +1,7 @@
 """Toxicity by weak supervision.
 
-Terms that mark toxic texts are mined from a bounded sample of labelled rows. The strongest terms, and fixed surface
-patterns, become voters. A generative label model estimates from the votes of *all* documents how often each voter
+Terms that mark toxic texts are mined from a bounded sample of labelled rows. All of them that no other one implies,
+and fixed surface patterns, become voters. A generative label model estimates from the votes of *all* documents how often each voter
 fires per class and how voters depend on each other; its posteriors, not the labels, train a linear classifier.
 """
 
@@ -32,10 +32,8 @@ PATTERNS = {
     "exclaimed": ("!?", re.compile(r"!{2,}|[!?]{3,}")),
     "masked": ("*@#$", re.compile(r"[A-Za-z][*@#$]+[A-Za-z]")),
 }
-#: Each leading term has one voter per number of occurrences; the bins exclude each other. With one voter per pattern
-#: they fit into the bits of one long.
-BINS = ((1, 1), (2, 3), (4, None))
-MOST_VOTERS = 60
+#: Each leading term has one voter per number of occurrences, counted up to these bounds; the bins exclude each other.
+BINS = (1, 3)
 #: Within-class correlation up to which voters count as independent: classes mix languages, whose voters exclude each other.
 FREE = 0.3
 #: A term has to occur in this share of the sampled toxic texts.
@@ -179,55 +177,143 @@ def _hits(rows: DataFrame, terms: tuple[bytes, ...]) -> DataFrame:
     return rows.mapInArrow(run, StructType([*kept, *StructType.fromDDL("hits array<int>, n_words long").fields]))
 
 
-def _label_model(masks: DataFrame, first: np.ndarray, prior: float, voters: int, rounds: int) -> tuple[float, np.ndarray, np.ndarray]:
+def _leading(terms: tuple[bytes, ...]) -> list[int]:
+    """Ids of the terms that no other term implies. A longer form occurs only together with its prefix, so whatever text
+    has a term has a leading one; a word as long as the prefix is not a form of it."""
+    prefixes = {t[:-1] for t in terms if t.endswith(b"*")}
+    out = []
+    for i, term in enumerate(terms):
+        chars = term.rstrip(b"*").decode("utf-8", "ignore")
+        if not any(len(chars) > n and chars[:n].encode() in prefixes for n in PREFIXES):
+            out.append(i)
+    return out
+
+
+def _with_votes(hits: DataFrame, leading: list[int], terms: int) -> DataFrame:
+    """The rows with `votes`, the sorted voters that fire: a leading term's by its number of occurrences, the patterns',
+    and the last one if nothing was found. Every text has one at least."""
+    schema = StructType([*hits.schema.fields, *StructType.fromDDL("votes array<int>").fields])
+    bins, places = len(BINS) + 1, np.full(terms + len(PATTERNS), -1)
+    places[leading] = np.arange(len(leading))
+    places[terms:] = bins * len(leading) + np.arange(len(PATTERNS))
+    nothing = np.array([bins * len(leading) + len(PATTERNS)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fired = []
+            for found in batch.column("hits").to_pylist():
+                ids, n = np.unique(np.array(found, dtype=np.int64), return_counts=True)
+                at = places[ids] + np.where(ids < terms, np.searchsorted(BINS, n) * len(leading), 0)
+                fired.append(np.sort(at[places[ids] >= 0]) if found else nothing)
+            yield pa.RecordBatch.from_arrays([*batch.columns, list_array(fired, pa.int32())], schema.names)
+
+    return hits.mapInArrow(run, schema)
+
+
+def _evidence(votes: list, gain: np.ndarray) -> np.ndarray:
+    """Sum of the gains of the voters that fire, per row."""
+    row = np.repeat(np.arange(len(votes)), [len(v) for v in votes])
+    flat = np.array([i for v in votes for i in v], dtype=np.int64)
+    return np.bincount(row, gain[flat], minlength=len(votes))
+
+
+def _toxic_share(batch: pa.RecordBatch, gain: np.ndarray, start: float) -> tuple[list, np.ndarray]:
+    """Votes of every pattern, and the known label or else the posterior."""
+    votes = batch.column("votes").to_pylist()
+    p = 1 / (1 + np.exp(-np.clip(start + _evidence(votes, gain), -40, 40)))
+    label = pc.fill_null(batch.column("label"), -1).to_numpy()
+    return votes, np.where(label < 0, p, label) * 1.0
+
+
+def _damping(patterns: DataFrame, gain: np.ndarray, start: float, mean: np.ndarray, size: float) -> np.ndarray:
+    """One over one plus the sum of a voter's correlations above FREE among toxic texts. Pairs that never fire together
+    do not correlate, so only the pairs that do are summed: at most voters x voters."""
+    voters = len(mean)
+    sd = np.sqrt(np.maximum(mean * (1 - mean), 1e-9))
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            votes, p = _toxic_share(batch, gain, start)
+            weight = p * batch.column("n").to_numpy()
+            codes, shares, held = [], [], 0
+
+            def flush():
+                found, at = np.unique(np.concatenate(codes), return_inverse=True)
+                v = np.bincount(at, np.concatenate(shares))
+                codes.clear()
+                shares.clear()
+                return pa.RecordBatch.from_pydict({"pair": pa.array(found, pa.int64()), "v": pa.array(v, pa.float64())})
+
+            for some, w in zip(votes, weight, strict=True):
+                if len(some) < 2:
+                    continue
+                fired = np.array(some, dtype=np.int64)
+                one, two = np.triu_indices(len(fired), 1)
+                codes.append(fired[one] * voters + fired[two])
+                shares.append(np.full(len(one), w))
+                held += len(one)
+                if held > 1_000_000:
+                    yield flush()
+                    held = 0
+            if codes:
+                yield flush()
+
+    def excess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = np.divmod(batch.column("pair").to_numpy(), voters)
+            corr = (batch.column("v").to_numpy() / size - mean[one] * mean[two]) / (sd[one] * sd[two])
+            over = np.clip((corr - FREE) / (1 - FREE), 0.0, 1.0)
+            at, v = np.concatenate([one, two]), np.concatenate([over, over])
+            yield pa.RecordBatch.from_pydict({"at": pa.array(at[v > 0], pa.int32()), "v": pa.array(v[v > 0], pa.float64())})
+
+    summed = patterns.mapInArrow(pairs, "pair long, v double").groupBy("pair").agg(F.round(F.sum("v"), 6).alias("v"))
+    total = np.zeros(voters)
+    for r in summed.mapInArrow(excess, "at int, v double").groupBy("at").agg(F.round(F.sum("v"), 9).alias("v")).collect():
+        total[r["at"]] = r.v
+    return 1.0 / (1.0 + total)
+
+
+def _label_model(patterns: DataFrame, first: np.ndarray, prior: float, rounds: int) -> tuple[float, np.ndarray, np.ndarray]:
     """Class prior, rates (2 x voters) and damping by expectation-maximisation over all vote patterns.
 
-    `masks` has one row per distinct vote pattern (mask, known label or NULL) and its number of documents. Each round is
-    one aggregation of partial sums whose size is fixed. A voter that does not fire abstains and says nothing; that no
-    term and no pattern was found is a voter of its own. Voters that fire together within a class beyond chance share
-    their say: a voter's evidence is divided by one plus the sum of its correlations above FREE, rescaled to 0 to 1.
+    `patterns` has one row per distinct vote pattern (votes, known label or NULL) and its number of documents. Each
+    round is one aggregation of partial sums whose size is fixed. A voter that does not fire abstains and says nothing;
+    that no term and no pattern was found is a voter of its own. Voters that fire together within a class beyond chance
+    share their say: a voter's evidence is divided by one plus the sum of its correlations above FREE, rescaled to 0 to 1.
     """
+    voters = first.shape[1]
     rates, damping = first, np.ones(voters)
     for step in range(rounds):
         gain = damping * (np.log(rates[1]) - np.log(rates[0]))
         start = float(np.log(prior / (1 - prior)))
 
         def sums(batches: Iterator[pa.RecordBatch], gain=gain, start=start) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((2, voters + 1, voters + 1))
+            total = np.zeros((2, voters + 1))
             for batch in batches:
-                fired = _votes(batch.column("mask").to_numpy(), voters)
-                p = 1 / (1 + np.exp(-np.clip(start + fired @ gain, -40, 40)))
-                label = pc.fill_null(batch.column("label"), -1).to_numpy()
-                p = np.where(label < 0, p, label) * 1.0
-                all_on = np.hstack([fired, np.ones((len(fired), 1))])
-                for c, weight in enumerate((1 - p, p)):
-                    total[c] += (all_on * (weight * batch.column("n").to_numpy())[:, None]).T @ all_on
+                votes, p = _toxic_share(batch, gain, start)
+                row = np.repeat(np.arange(len(votes)), [len(v) for v in votes])
+                flat = np.array([i for v in votes for i in v], dtype=np.int64)
+                for c, share in enumerate((1 - p, p)):
+                    weight = share * batch.column("n").to_numpy()
+                    total[c, :-1] += np.bincount(flat, weight[row], minlength=voters)
+                    total[c, -1] += weight.sum()
             yield pa.RecordBatch.from_pydict({"at": pa.array(range(total.size), pa.int32()), "v": pa.array(total.ravel(), pa.float64())})
 
         # whole documents times probabilities: rounding makes the sums independent of their order
-        found = masks.mapInArrow(sums, "at int, v double").groupBy("at").agg(F.round(F.sum("v"), 6).alias("v")).collect()
-        total = np.zeros(2 * (voters + 1) ** 2)
+        found = patterns.mapInArrow(sums, "at int, v double").groupBy("at").agg(F.round(F.sum("v"), 6).alias("v")).collect()
+        total = np.zeros(2 * (voters + 1))
         for r in found:
             total[r["at"]] = r.v
-        total = total.reshape(2, voters + 1, voters + 1)
-        sizes = np.maximum(total[:, -1, -1], 1e-9)
+        total = total.reshape(2, voters + 1)
+        sizes = np.maximum(total[:, -1], 1e-9)
         prior = min(max(sizes[1] / sizes.sum(), 1e-4), 0.5)
-        both = total[:, :-1, :-1] / sizes[:, None, None]
-        mean = np.diagonal(both, axis1=1, axis2=2)
-        rates = np.clip((mean * sizes[:, None] + np.array([[0.05], [0.5]])) / (sizes[:, None] + 1), 1e-6, 1 - 1e-6)
+        mean = total[:, :-1] / sizes[:, None]
+        rates = np.clip((total[:, :-1] + np.array([[0.05], [0.5]])) / (sizes[:, None] + 1), 1e-6, 1 - 1e-6)
         if step == 0:
-            sd = np.sqrt(np.maximum(mean[1] * (1 - mean[1]), 1e-9))
-            corr = (both[1] - np.outer(mean[1], mean[1])) / np.outer(sd, sd)
-            np.fill_diagonal(corr, 0.0)
-            damping = 1.0 / (1.0 + np.clip((corr - FREE) / (1 - FREE), 0.0, 1.0).sum(axis=0))
+            damping = _damping(patterns, gain, start, mean[1], sizes[1])
     return prior, rates, damping
 
 
-def _votes(masks: np.ndarray, voters: int) -> np.ndarray:
-    """One row per pattern, one column per voter."""
-    return (masks[:, None] >> np.arange(voters)[None, :] & 1).astype(np.float64)
-
-
 def _features(hits: np.ndarray, n_words: int, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Sparse features of one document: per term and pattern whether it occurs and how often again, then all hits and
     hits per hundred words."""
@@ -294,39 +380,22 @@ def fit(
     if not terms:
         return Model(terms, np.zeros(2 * width + 2), float(np.log(prior / (1 - prior)))), hits
 
-    # as voters only terms that are no longer form of a stronger one; all terms are features
-    roots = [t for t, _, _ in mined]
-    nested = {t for t in roots for o in roots if o != t and o.endswith(b"*") and t.startswith(o[:-1])}
-    leading = [i for i, t in enumerate(roots) if t not in nested][: (MOST_VOTERS - len(PATTERNS)) // len(BINS)]
-    conditions = []
-    for low, high in BINS:
-        for i in leading:
-            n = F.size("hits") - F.size(F.array_remove("hits", i))
-            conditions.append(n >= low if high is None else n.between(low, high))
-    conditions += [F.array_contains("hits", i) for i in range(len(terms), width)]
-    conditions.append(F.size("hits") == 0)
-    votes = F.lit(0).cast("long")
-    for bit, fires in enumerate(conditions):
-        votes = votes.bitwiseOR(F.when(fires, F.lit(1 << bit)).otherwise(F.lit(0)).cast("long"))
-    known = hits.join(F.broadcast(marks), "row_key", "left")
-    masks = known.groupBy(votes.alias("mask"), F.col("toxic").alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    masks = staged(masks, "toxicity-votes")
+    # all terms are features; the voters are the leading ones
+    leading = _leading(terms)
+    voting = _with_votes(hits.join(F.broadcast(marks), "row_key", "left"), leading, len(terms))
+    patterns = voting.groupBy("votes", F.col("toxic").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    patterns = staged(patterns, "toxicity-votes")
     # to begin with, every further bin is rarer, and more so among clean texts
     shares = ((0.85, 0.5), (0.12, 0.3), (0.03, 0.2))
-    start = [
-        (cold * (mined[i][2] + 0.05) / (clean + 1), hot * (mined[i][1] + 0.5) / (toxic + 1))
-        for cold, hot in shares
-        for i in leading
-    ]
+    start = [(cold * (c + 0.05) / (clean + 1), hot * (t + 0.5) / (toxic + 1)) for cold, hot in shares for _, t, c in (mined[i] for i in leading)]
     first = np.array([*start, *[(0.02, 0.04)] * len(PATTERNS), (0.8, 0.05)]).T
-    prior, rates, damping = _label_model(masks, np.clip(first, 1e-6, 1 - 1e-6), prior, len(conditions), rounds)
+    prior, rates, damping = _label_model(patterns, np.clip(first, 1e-6, 1 - 1e-6), prior, rounds)
 
-    train = hits.join(F.broadcast(marks), "row_key", "left_semi").select("hits", "n_words", votes.alias("mask")).collect()
+    train = _with_votes(hits.join(F.broadcast(marks), "row_key", "left_semi"), leading, len(terms)).select("hits", "n_words", "votes").collect()
     gain = damping * (np.log(rates[1]) - np.log(rates[0]))
-    fired = _votes(np.array([r.mask for r in train], dtype=np.int64), len(conditions))
-    logit = np.log(prior / (1 - prior)) + fired @ gain
+    logit = np.log(prior / (1 - prior)) + _evidence([r.votes for r in train], gain)
     weights, bias = _linear(train, 1 / (1 + np.exp(-np.clip(logit, -40, 40))), width)
-    return Model(terms, weights, bias, len(conditions), prior, rates, damping), hits
+    return Model(terms, weights, bias, first.shape[1], prior, rates, damping), hits
 
 
 def score(hits: DataFrame, model: Model) -> DataFrame:

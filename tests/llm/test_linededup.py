@@ -86,3 +86,14 @@ def test_half_keys_and_verification():
         c = [rng.choice([b"a", b"b"]) for _ in range(rng.randint(4, 7))]
         for x, y in ((a, b), (a, c), (b, c)):
             assert linededup.within_one_edit(x, y) == (distance(x, y) <= 1)
+
+
+def test_short_lines_lose_exact_repeats_only(spark):
+    rows = [(1, "Les.\na b c d\n\nonly"), (2, "les.\na b  C d\n\na b c x\nLes"), (3, "a b c d e\nonly\nLES."), (None, "Les.")]
+    found = linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.text, r.n_exact, r.n_near) for r in found} == {
+        1: ("Les.\na b c d\n\nonly", 0, 0),
+        2: ("\na b c x\nLes", 2, 0),
+        3: ("a b c d e", 2, 0),
+        None: ("", 1, 0),
+    }

@@ -1,7 +1,7 @@
 """Line deduplication by a deletion-neighbourhood join.
 
-Lines are compared as sequences of lower-cased words. Two lines match if at most one word is inserted, deleted or
-replaced between them. Every line emits itself and its variants with one word deleted as hashed keys; equal keys meet,
+Lines are compared as sequences of lower-cased words. Two lines match if they are equal or, from `min_words` words on, if
+at most one word is inserted, deleted or replaced between them. Every such line emits itself and its variants with one word deleted as hashed keys; equal keys meet,
 the words decide, and the earliest line stays.
 
 A line can only match another if they share the words before or after their middle, so lines whose halves occur
@@ -72,7 +72,7 @@ def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _lines(rows: DataFrame, min_words: int) -> DataFrame:
-    """One row per line of at least `min_words` words: its place, two hashes and the keys of its halves."""
+    """One row per line that is not blank: its place, two hashes and, from `min_words` words on, the keys of its halves."""
     places = [rows.schema[c] for c in PLACE[:3]]
     schema = StructType([*places, *StructType.fromDDL("line_no int, h1 long, h2 long, halves array<long>").fields])
 
@@ -82,13 +82,14 @@ def _lines(rows: DataFrame, min_words: int) -> DataFrame:
             for i, text in enumerate(batch.column("text").to_pylist()):
                 for n, one in enumerate((text or "").split("\n")):
                     some = words(one)
-                    if len(some) >= min_words:
+                    if some:
                         both = xxhash.xxh3_128_intdigest(b" ".join(some))
                         row.append(i)
                         line.append(n)
                         h1.append(both >> 64)
                         h2.append(both & 0xFFFFFFFFFFFFFFFF)
-                        halves.append(np.array(half_keys(some), dtype=np.uint64).view(np.int64))
+                        keys = half_keys(some) if len(some) >= min_words else []
+                        halves.append(np.array(keys, dtype=np.uint64).view(np.int64))
             at = pa.array(row, pa.int64())
             hashes = [pa.array(np.array(h, dtype=np.uint64).view(np.int64), pa.int64()) for h in (h1, h2)]
             columns = [batch.column(c).take(at) for c in PLACE[:3]]
@@ -154,8 +155,8 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min
     """(no_key, row_key, text_hash, line_no, near): lines that an earlier line of the table repeats.
 
     `near` is false for exact repeats (after lower-casing A-Z and reducing white space) and true for lines one word
-    edit away from an earlier one. Lines of fewer than `min_words` words are left alone: with five, one edit leaves a
-    similarity of at least 0.8.
+    edit away from an earlier one. Lines of fewer than `min_words` words have exact repeats only: with five, one edit
+    leaves a similarity of at least 0.8.
     """
     rows = _rows(docs, key, text)
     lines = staged(_lines(rows, min_words), "lines")
@@ -173,7 +174,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: i
     number of lines taken out.
 
     The earliest line stays, in the order of keys (NULL last), text hashes and line numbers. Rows with equal key and
-    equal text are one place and keep the same lines. Blank lines and lines below `min_words` words always stay; NULL
+    equal text are one place and keep the same lines. Blank lines always stay; NULL
     texts stay NULL, and a text of which no line stays is empty.
     """
     taken = [c for c in ("n_exact", "n_near") if c in docs.columns]

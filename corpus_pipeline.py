@@ -15,10 +15,10 @@ from tidemark.session import scratch_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier rejects go; rows of one id go together."""
+    """Documents that the toxicity classifier rejects go; other texts of the same id, or without one, stay."""
     found = toxicity.classify(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    rejected = found.filter("predicted = 1").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(rejected, docs.doc_id.eqNullSafe(rejected["_id"]), "left_anti")
+    rejected = found.filter("predicted = 1").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    return docs.join(rejected, docs.doc_id.eqNullSafe(rejected["_id"]) & (F.xxhash64(docs.text) == rejected["_hash"]), "left_anti")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicate documents the one with the smallest id stays."""
+    """Of near-duplicate documents the one with the smallest id stays; unrelated texts of one id, or without one, all do."""
     return simhash.keep_first(docs, shingle=4, distance=4)
 
 

@@ -15,6 +15,7 @@ import test_lm
 import test_pii
 import test_simhash
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__
@@ -135,3 +136,12 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
             (some if data else some.limit(0)).write.parquet(str(folder / f"{table}.parquet"))
         found = corpus_pipeline.run(spark, str(folder)).collect()
         assert sorted((r.doc_id, r.n_tokens) for r in found) == ([(1, 0), (3, 6)] if data else [])
+
+
+def test_toxic_rows_take_no_others_of_their_id(spark, monkeypatch):
+    rows = [(None, "clean one"), (None, "toxic"), (7, "clean two"), (7, "toxic"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    verdict = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").eqNullSafe("toxic").cast("int").alias("predicted"))
+    monkeypatch.setattr(corpus_pipeline.toxicity, "classify", lambda *_: verdict)
+    left = corpus_pipeline.drop_toxic(spark, docs, SMALL).collect()
+    assert sorted((tuple(r) for r in left), key=repr) == sorted([rows[0], rows[2], rows[4]], key=repr)

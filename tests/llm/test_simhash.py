@@ -90,3 +90,13 @@ def test_allocation_spends_the_whole_distance():
     assert cost == min(
         costs[0][a] + costs[1][b] + costs[2][c] for a in range(4) for b in range(4) for c in range(4) if a + b + c == 5
     )
+
+
+def test_keep_first_of_null_and_repeated_keys(spark):
+    rows = [
+        (None, "the first of two unrelated texts", 1), (None, "quite another story about boats", 2), (None, "quite another story about boats", 1),
+        (4, "one text under a shared id", 1), (4, "numbers of a wholly different kind", 1), (2, "numbers of a wholly different kind", 7),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    kept = sorted((tuple(r) for r in simhash.keep_first(docs).collect()), key=repr)
+    assert kept == sorted([rows[0], rows[2], rows[3], rows[5]], key=repr)

@@ -311,6 +311,13 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return rows.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
 
+def _labelled(found: DataFrame, distance: int, block: int) -> DataFrame:
+    """(fp, first, root): the smallest key and the component of every distinct fingerprint of `found` (row_key, fp)."""
+    classes = staged(found.groupBy("fp").agg(F.min("row_key").alias("first")), "simhash-classes")
+    roots = components(links(classes, distance, block))
+    return classes.join(roots, classes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(
     docs: DataFrame, shingle: int = 4, distance: int = 4, key: str = "doc_id", text: str = "text", block: int = 4_096
 ) -> DataFrame:
@@ -322,9 +329,7 @@ def near_duplicates(
     NULL has a NULL id. Other columns are ignored.
     """
     found = staged(fingerprints(docs, shingle, key, text).select(F.col(key).alias("row_key"), "fp"), "simhash")
-    classes = staged(found.groupBy("fp").agg(F.min("row_key").alias("first")), "simhash-classes")
-    roots = components(links(classes, distance, block))
-    labelled = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    labelled = _labelled(found, distance, block)
     smallest = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
     named = labelled.join(smallest, "root").select("fp", "component_id")
     return found.join(named, "fp").select(
@@ -332,12 +337,21 @@ def near_duplicates(
     )
 
 
-def keep_first(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """One row of every component of near-duplicates: the one with the smallest key, all columns unchanged.
+def keep_first(
+    docs: DataFrame, shingle: int = 4, distance: int = 4, key: str = "doc_id", text: str = "text", block: int = 4_096
+) -> DataFrame:
+    """One row of every component of near-duplicates: the one with the smallest key (NULL last), all columns unchanged.
 
-    Of several such rows with one key, the smallest by all columns stays.
+    Rows are told apart by key and text, so rows of different components that share a key, or have none, all stay. Of
+    several rows of a component with that key, the smallest by all columns stays.
     """
-    firsts = near_duplicates(docs, key=key, **options).select(F.col("component_id").alias("_first")).distinct()
-    rows = docs.join(firsts, docs[key].eqNullSafe(firsts["_first"]), "left_semi")
-    least = rows.groupBy(key).agg(F.min(F.struct(*docs.columns)).alias("_row"))
+    rows = docs.select(F.struct(F.col(key).alias("row_key"), F.xxhash64(text).alias("text_hash")).alias("at"), F.col(text).alias("text"))
+    found = staged(fingerprints(rows, shingle, "at").select("at.*", "fp"), "simhash")
+    placed = found.join(_labelled(found, distance, block).select("fp", "root"), "fp").withColumn("no_key", F.col("row_key").isNull())
+    least = placed.groupBy("root").agg(F.min(F.struct("no_key", "row_key")).alias("least"))
+    firsts = placed.join(least, "root").filter(F.struct("no_key", "row_key").eqNullSafe(F.col("least")))
+    firsts = firsts.select("root", F.col("row_key").alias("_key"), F.col("text_hash").alias("_hash")).distinct()
+    firsts = firsts.withColumnRenamed("root", "_root")
+    kept = docs.join(firsts, docs[key].eqNullSafe(firsts["_key"]) & (F.xxhash64(docs[text]) == firsts["_hash"]))
+    least = kept.groupBy("_root").agg(F.min(F.struct(*docs.columns)).alias("_row"))
     return least.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns))

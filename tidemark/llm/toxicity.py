@@ -356,14 +356,14 @@ def fit(
     least_evidence: float = 18.0,
     rounds: int = 4,
 ) -> tuple[Model, DataFrame]:
-    """The model, and (key, hits, n_words) of every document.
+    """The model, and (key, text_hash, hits, n_words) of every document.
 
     At most `max_labelled` labelled rows, those with the smallest key hashes, mine the terms, start the label model
     and train the classifier. The label model's rates and correlations come from the votes of all documents. NULL
     labels are ignored; a key with several labels counts as toxic if one of them does. Without toxic or without
     clean labelled rows there are no terms and every text gets the class prior.
     """
-    rows = docs.select(F.col(key).alias("row_key"), F.col(text).alias("text"))
+    rows = docs.select(F.col(key).alias("row_key"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     marks = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("row_key"))
     marks = marks.agg(F.max(F.col(label).cast("int")).alias("toxic"))
     marks = staged(marks.orderBy(F.xxhash64("row_key"), "row_key").limit(max_labelled), "toxicity-labels")
@@ -419,7 +419,7 @@ def score(hits: DataFrame, model: Model) -> DataFrame:
 def classify(
     docs: DataFrame, labels: DataFrame, key: str = "doc_id", threshold: float = 0.3, folds: int = 4, held_out: int = 2, **options
 ) -> DataFrame:
-    """(key, held_out, score, predicted) of every document; labels of the held-out fold are never read.
+    """(key, text_hash, held_out, score, predicted) of every document; labels of the held-out fold are never read.
 
     One row per input row. NULL and empty texts are scored like texts without any hit.
     """
@@ -427,6 +427,7 @@ def classify(
     model, hits = fit(docs, seen, key=key, **options)
     return score(hits, model).select(
         F.col("row_key").alias(key),
+        "text_hash",
         (fold("row_key", folds) == held_out).alias("held_out"),
         "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),

@@ -40,9 +40,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document that is left: doc_id, n_tokens, ids."""
-    ids = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """Token ids of every document that is left and the digest of their decoded bytes: doc_id, n_tokens, ids, decoded_sha256."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    found = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path)
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [

@@ -145,3 +145,9 @@ def test_toxic_rows_take_no_others_of_their_id(spark, monkeypatch):
     monkeypatch.setattr(corpus_pipeline.toxicity, "classify", lambda *_: verdict)
     left = corpus_pipeline.drop_toxic(spark, docs, SMALL).collect()
     assert sorted((tuple(r) for r in left), key=repr) == sorted([rows[0], rows[2], rows[4]], key=repr)
+
+
+def test_pipeline_decodes_what_it_encodes(spark):
+    rows = [(1, "one  two\nthree"), (2, ""), (3, None), (None, "größe 漢字 \U0001f600" * 3_000)]
+    found = corpus_pipeline.encode(spark, spark.createDataFrame(rows, "doc_id long, text string"), SMALL).collect()
+    assert {r.doc_id: r.decoded_sha256 for r in found} == {k: hashlib.sha256((t or "").encode()).hexdigest() for k, t in rows}

@@ -72,3 +72,11 @@ def test_several_files_and_empty_table(spark, library):
         ids = np.array([*library(r.text), 0], dtype="<u4")
         assert (found[r.doc_id].n_tokens, found[r.doc_id].ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))
     assert tokenstore.stored(docs.limit(0), PATH).count() == 0
+
+
+def test_added_tokens_as_the_untouched_library_has_them():
+    untouched = Tokenizer.from_file(PATH)
+    some = ["a <|endoftext|> b", "", "<|endoftext|>", "plain text", "x<|endoftext|><|endoftext|>\n y  <|endoftext|>", "<|endof text|> <| endoftext|>"]
+    found = tokenstore.Encoder(PATH)(some)
+    assert [f.tolist() for f in found] == [untouched.encode(t, add_special_tokens=False).ids for t in some]
+    assert 50256 in found[0] and 50256 not in found[3]

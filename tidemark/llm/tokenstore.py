@@ -42,13 +42,16 @@ class Encoder:
 
     A space before a visible character always begins a pre-token, so a text may be cut there and the parts encoded
     apart. Parts not met lately are encoded together, JOINED at a time, and their ids are told apart by the space that
-    begins every one of them. Ids are kept as the bytes of unsigned 32-bit numbers; of the words, the last `keep` to
+    begins every one of them. Texts that hold an added token are encoded whole, by the library as it is. Ids are kept as the bytes of unsigned 32-bit numbers; of the words, the last `keep` to
     twice `keep` stay.
     """
 
     JOINED = 64
 
     def __init__(self, path: str, keep: int = 400_000):
+        self.whole = Tokenizer.from_file(path)
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        # for parts of texts without any added token, which joining must not make up
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         vocabulary = self.library.get_vocab()
@@ -79,6 +82,16 @@ class Encoder:
                     kept.update(zip(group, self.alone(group), strict=True))
 
     def __call__(self, some: list[str]) -> list[np.ndarray]:
+        marked = [i for i, t in enumerate(some) if any(a in t for a in self.added)]
+        if not marked:
+            return self._plain(some)
+        held = {*marked}
+        out = dict(zip((i for i in range(len(some)) if i not in held), self._plain([t for i, t in enumerate(some) if i not in held]), strict=True))
+        for i in marked:
+            out[i] = np.array(self.whole.encode(some[i], add_special_tokens=False).ids, dtype=np.uint32)
+        return [out[i] for i in range(len(some))]
+
+    def _plain(self, some: list[str]) -> list[np.ndarray]:
         parts, firsts = [], []
         for text in some:
             if ODD_SPACE.search(text):

@@ -69,3 +69,19 @@ def test_broken_markup():
         html.extract(page, [])
         html.votes(page)
     assert html.extract("<body><p>a < b &amp;&nbsp;c &lt;i&gt;</p></body>", []) == "a < b & c <i>"
+
+
+def test_articles_are_whole():
+    long = "".join(f"<p>Sentence {i} of the body, long enough to count, goes on here.</p>" for i in range(40))
+    links = "<div><a href=a>first link in a list</a> <a href=b>second link in a list</a></div>"
+    page = f"<body>{links}<article><h1>Title</h1><p>The lead, direct in the article.</p><div class=body>{long}</div></article></body>"
+    path = "body>article>div.body"
+    for winners in ([], [path]):
+        got = html.extract(page, winners).split("\n")
+        assert got[:2] == ["Title", "The lead, direct in the article."] and len(got) == 42
+    parts = f"<body>{links}<div class=all><div class=part>{long}</div><div class=part><p>Short end.</p></div></div></body>"
+    for winners in ([], ["body>div.all>div.part"]):
+        got = html.extract(parts, winners).split("\n")
+        assert got[-1] == "Short end." and len(got) == 41
+    beside = f"<body><div class=text>{long}</div>{links}</body>"
+    assert len(html.extract(beside, []).split("\n")) == 40

@@ -50,6 +50,8 @@ CLOSES_P = frozenset(
 )
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 LEAST_SHARE, MOST_PATHS = 0.2, 3
+#: Text with a larger share of links is not part of an article.
+MOST_LINKED = 0.3
 
 
 @dataclass
@@ -188,8 +190,31 @@ def _inside(nodes: list[Node], at: int, tops: set[int]) -> bool:
     return False
 
 
+def _whole(nodes: list[Node], tops: set[int]) -> set[int]:
+    """The articles around the containers: the nearest article or main element, or else the lowest ancestor that has
+    other text outside side parts, unless that text is mostly links."""
+    chars, linked = ([0 if n.outside else getattr(n, c) for n in nodes] for c in ("chars", "linked"))
+    for i in range(len(nodes) - 1, 0, -1):
+        chars[nodes[i].parent] += chars[i]
+        linked[nodes[i].parent] += linked[i]
+    out = set()
+    for top in tops:
+        at = top
+        while at > 0 and nodes[at].tag not in ("article", "main"):
+            at = nodes[at].parent
+        if at <= 0:
+            at = nodes[top].parent
+            while at > 0 and chars[at] == chars[top]:
+                at = nodes[at].parent
+            if at <= 0 or linked[at] - linked[top] > MOST_LINKED * (chars[at] - chars[top]):
+                at = top
+        out.add(at)
+    return out
+
+
 def extract(html: str, winners: list[str]) -> str:
-    """Text of the containers on the first winning path that the page has, or of the page's best container."""
+    """Text of the articles around the containers on the first winning path that the page has, or around the page's best
+    container."""
     nodes, blocks = parse(html)
     score(nodes, blocks)
     tops: set[int] = set()
@@ -206,6 +231,7 @@ def extract(html: str, winners: list[str]) -> str:
     if not tops:
         best = max(range(len(nodes)), key=lambda i: (nodes[i].score, -i))
         tops = {best} if nodes[best].score > 0 else {0}
+    tops = _whole(nodes, tops)
     return "\n".join(text for at, text in blocks if not nodes[at].outside and _inside(nodes, at, tops))
 
 

@@ -103,3 +103,19 @@ def test_documents(spark):
         spans = [s for s in r.spans.split(",") if s]
         assert len(spans) == r.n_email + r.n_ip + r.n_card + r.n_phone + r.n_added
     assert pii.find(docs.limit(0)).count() == 0
+
+
+def test_long_chains_and_long_addresses_are_whole(weights):
+    one = "call (212) 555-0147 now, "
+    text = one * 600
+    assert len(pii.regions(text)) == 1
+    found = added(text, weights)
+    assert found and [f for f in found if f[1] < len(one)] != []
+    shifted = {(k, a + n * len(one), b + n * len(one)) for k, a, b in added(one * 3, weights) if len(one) <= a < 2 * len(one) for n in range(-1, 598)}
+    assert {f for f in found if f[1] < 599 * len(one)} >= shifted
+    known = {name: i for i, name in enumerate(weights)}
+    w = np.array([*weights.values()])
+    tokens = pii.TOKEN.findall(text[:6_000])
+    assert pii.segmented(tokens, known, w, 100) == pii.segmented(tokens, known, w, 10**6)
+    long = "x" * 30 + "." + "y" * 30 + " (at) " + "z" * 60 + " (dot) org"
+    assert pii.regions("see " + long) == [(2, len("see " + long))]

@@ -33,7 +33,11 @@ DIGIT = re.compile(r"[0-9]")
 MARK = re.compile(r"[0-9@]|[(\[{<]\x20?(?i:at)\x20?[)\]}>]")
 SPOKEN = re.compile(r"\b(?i:at)\b[^\n]{1,40}?\b(?i:dot)\b")
 TOKEN = re.compile(r"[0-9]+|[A-Za-z]+|\s+|.", re.S)
-AROUND, MOST_TOKENS, MOST_REGION = 40, 32, 4_000
+#: What may follow an at-sign, in any spelling.
+FOLLOWS = re.compile(r"\x20?[A-Za-z0-9-]++(?:\x20?(?:[(\[{<]\x20?(?:(?i:dot)|\.)\x20?[)\]}>]|\.|(?<=\x20)(?i:dot)(?=\x20))\x20?[A-Za-z0-9-]++)+")
+AROUND, MOST_TOKENS = 40, 32
+#: Tokens per step of the dynamic programme, and tokens on both sides of which no segment of the step goes beyond.
+STEP, BESIDE = 2_048, 64
 
 
 def luhn(digits: str) -> bool:
@@ -76,17 +80,28 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def regions(text: str) -> list[tuple[int, int]]:
-    """Parts of the text around digits and at-signs, cut at blanks; parts do not overlap."""
+    """Parts of the text around digits and at-signs, chained as long as their surroundings touch; parts do not overlap.
+
+    Around an at-sign the whole local part and all that may be its domain belong to the part.
+    """
     marks = [(m.start(), m.end()) for m in MARK.finditer(text)]
     if " dot " in text or " DOT " in text or " Dot " in text:
         marks = sorted(marks + [(m.start(), m.end()) for m in SPOKEN.finditer(text)])
     out: list[list[int]] = []
     for a, b in marks:
         low, high = max(a - AROUND, 0), min(b + AROUND, len(text))
-        if out and low <= out[-1][1] and high - out[-1][0] <= MOST_REGION:
-            out[-1][1] = max(out[-1][1], high)
-        else:
-            out.append([max(low, out[-1][1]) if out else low, high])
+        if not text[a].isdigit():
+            start = a - (text[a - 1 : a] == " ")
+            while start > 0 and text[start - 1] in LOCAL:
+                start -= 1
+            # `b` of a spoken address is behind its first dot
+            sign = a + 2 if text[a] in "aA" else b
+            follows = FOLLOWS.match(text, sign)
+            low, high = min(low, max(start - 2, 0)), max(high, min(follows.end() + 2, len(text)) if follows else high)
+        while out and low <= out[-1][1]:
+            first, end = out.pop()
+            low, high = min(low, first), max(high, end)
+        out.append([low, high])
     return [(a, b) for a, b in out if a < b]
 
 
@@ -221,15 +236,25 @@ def lattice(tokens: list[str], known: dict[str, int], grow: bool = False) -> Lat
 
 def best(n: int, segments: Lattice, scores: np.ndarray) -> list[tuple[int, int, int]]:
     """The segments of the best segmentation; a token outside any segment scores nothing."""
-    top, back, at = np.zeros(n + 1), [None] * (n + 1), 0
-    for end in range(1, n + 1):
+    top, back = np.zeros(n + 1), [None] * (n + 1)
+    _advance(top, back, 0, n, [(i, j, kind) for i, j, kind, _ in segments], scores)
+    return _trace(back)
+
+
+def _advance(top: np.ndarray, back: list, first: int, last: int, segments: list[tuple[int, int, int]], scores: np.ndarray) -> None:
+    """Carries the best scores from `first` to `last` by the segments that end in between, ordered by end."""
+    at = 0
+    for end in range(first + 1, last + 1):
         top[end] = top[end - 1]
         while at < len(segments) and segments[at][1] == end:
-            i, _, kind, _ = segments[at]
+            i, _, kind = segments[at]
             if top[i] + scores[at] > top[end] + 1e-12:
                 top[end], back[end] = top[i] + scores[at], (i, end, kind)
             at += 1
-    out, end = [], n
+
+
+def _trace(back: list) -> list[tuple[int, int, int]]:
+    out, end = [], len(back) - 1
     while end > 0:
         if back[end]:
             out.append(back[end])
@@ -239,6 +264,19 @@ def best(n: int, segments: Lattice, scores: np.ndarray) -> list[tuple[int, int,
     return out[::-1]
 
 
+def segmented(tokens: list[str], known: dict[str, int], w: np.ndarray, step: int = STEP) -> list[tuple[int, int, int]]:
+    """The best segmentation of any number of tokens. Segments are built a step at a time, from the step's tokens and
+    their neighbours, so only the best scores of all tokens are held."""
+    n = len(tokens)
+    top, back = np.zeros(n + 1), [None] * (n + 1)
+    for first in range(0, n, step):
+        last, low = min(first + step, n), max(first - BESIDE, 0)
+        near = lattice(tokens[low : last + BESIDE], known)
+        near = [(i + low, j + low, kind, ids) for i, j, kind, ids in near if first < j + low <= last]
+        _advance(top, back, first, last, [s[:3] for s in near], np.array([w[ids].sum() for _, _, _, ids in near]))
+    return _trace(back)
+
+
 def marginals(n: int, segments: Lattice, scores: np.ndarray) -> tuple[float, np.ndarray]:
     """log Z, and the probability of every segment, by the forward-backward recursion over segment ends."""
     ahead = np.zeros(n + 1)
@@ -386,12 +424,8 @@ def added_spans(text: str, base: list[tuple[str, int, int]], weights: dict[str,
     for low, high in regions(text):
         part = text[low:high]
         tokens = TOKEN.findall(part)
-        segments = lattice(tokens, known)
-        if not segments:
-            continue
-        scores = np.array([w[ids].sum() for _, _, _, ids in segments])
         starts = np.concatenate([[0], np.cumsum([len(t) for t in tokens])])
-        for i, j, kind in best(len(tokens), segments, scores):
+        for i, j, kind in segmented(tokens, known, w):
             a, b = low + int(starts[i]), low + int(starts[j])
             if not any(x < b and a < y for x, y in taken):
                 out.append((KINDS[kind], a, b))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html, linededup, lm, pii, quality, simhash, tokenstore, toxicity
+from . import bpe, decontaminate, divergence, html, linededup, lm, pii, quality, runs, simhash, tokenstore, toxicity
 from .common import table
 
 
@@ -67,6 +67,33 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_hash")
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_byte_bpe": op2_byte_bpe, "op3_html_extract": op3_html_extract, "op4_lm_score": op4_lm_score, "op5_pii": op5_pii, "op6_quality": op6_quality, "op7_decontaminate": op7_decontaminate, "op8_simhash": op8_simhash, "op9_token_store": op9_token_store, "op10_toxicity": op10_toxicity}
-
-ORACLE_SQL: dict[str, str] = {"op6_quality": quality.oracle_sql()}
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, the tail of a tenth of them made periodic."""
+    return runs.digests(runs.find(runs.planted(table(spark, sf_dir, "documents"))))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of every source from the others of its language, and the terms that set it apart."""
+    return divergence.divergences(table(spark, sf_dir, "documents"), least_docs=3, most=200)
+
+
+QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
+    "op2_byte_bpe": op2_byte_bpe,
+    "op3_html_extract": op3_html_extract,
+    "op4_lm_score": op4_lm_score,
+    "op5_pii": op5_pii,
+    "op6_quality": op6_quality,
+    "op7_decontaminate": op7_decontaminate,
+    "op8_simhash": op8_simhash,
+    "op9_token_store": op9_token_store,
+    "op10_toxicity": op10_toxicity,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_source_divergence": op13_source_divergence,
+}
+
+ORACLE_SQL: dict[str, str] = {
+    "op6_quality": quality.oracle_sql(),
+    "op12_periodic_runs": runs.oracle_sql(),
+    "op13_source_divergence": divergence.oracle_sql(),
+}

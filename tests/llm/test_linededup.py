@@ -19,25 +19,26 @@ def distance(a, b):
 
 
 def brute(rows, least=5):
-    """Texts with every line taken out that is within one edit of an earlier line."""
+    """Texts without the lines that repeat an earlier one or, from `least` words on, are within one edit of one."""
     seen, out = [], []
     for key, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
         if text is None:
             out.append((key, None, 0, 0))
             continue
-        kept, exact, near = [], 0, 0
+        kept, n_exact, n_near = [], 0, 0
         for line in text.split("\n"):
             some = words(line)
-            if len(some) >= least:
+            if some:
                 same = any(some == s for s in seen)
-                close = not same and any(abs(len(s) - len(some)) < 2 and distance(some, s) <= 1 for s in seen)
+                near = [s for s in seen if abs(len(s) - len(some)) < 2 and min(len(s), len(some)) >= least]
+                close = not same and any(distance(some, s) <= 1 for s in near)
                 if not same:
                     seen.append(some)
-                exact, near = exact + same, near + close
+                n_exact, n_near = n_exact + same, n_near + close
                 if same or close:
                     continue
             kept.append(line)
-        out.append((key, "\n".join(kept), exact, near))
+        out.append((key, "\n".join(kept), n_exact, n_near))
     return sorted(out, key=repr)
 
 

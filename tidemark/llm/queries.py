@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, divergence, html, linededup, lm, pii, quality, runs, simhash, tokenstore, toxicity
+from . import bpe, decontaminate, divergence, forest, html, linededup, lm, pii, quality, runs, simhash, tokenstore, toxicity
 from .common import table
 
 
@@ -67,6 +67,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_hash")
 
 
+def op11_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size, component and verdict of every document."""
+    return forest.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of every document, the tail of a tenth of them made periodic."""
     return runs.digests(runs.find(runs.planted(table(spark, sf_dir, "documents"))))
@@ -88,12 +93,14 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_token_store": op9_token_store,
     "op10_toxicity": op10_toxicity,
+    "op11_minhash_forest": op11_minhash_forest,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_source_divergence": op13_source_divergence,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op6_quality": quality.oracle_sql(),
+    "op11_minhash_forest": forest.oracle_sql(),
     "op12_periodic_runs": runs.oracle_sql(),
     "op13_source_divergence": divergence.oracle_sql(),
 }

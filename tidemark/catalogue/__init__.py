@@ -5,10 +5,10 @@
 
 from __future__ import annotations
 
-from . import domains, incremental, operators, text
+from . import domains, extracts, incremental, operators, stateful, text
 from .registry import Entry
 
-_MODULES = (operators, domains, incremental, text)
+_MODULES = (operators, domains, incremental, stateful, extracts, text)
 
 
 def entries() -> dict[str, Entry]:

@@ -143,25 +143,30 @@ SQL_PROFILE = f"""SELECT u.id AS user_id, u.name, u.email, u.region, coalesce(o.
         LEFT JOIN (SELECT user_id, sum(amount_in_cents) FILTER (created_at >= {SQL_TODAY} - 90) AS c90 FROM {{s_credits}} GROUP BY 1) g
             ON g.user_id = u.id"""
 
+DAILY_REVENUE_COLUMNS = (
+    "order_date:D total_orders:b gross_revenue_cents:b total_refunds_cents:b total_credits_cents:b net_revenue_cents:b "
+    "avg_order_value_cents:b items_sold:b top_category:s"
+)
+SQL_DAILY_REVENUE = """WITH o AS (SELECT id, CAST(created_at AS DATE) AS day, total_in_cents AS cents FROM {s_orders}),
+    cat AS (SELECT o.day, m.category, sum(i.price_in_cents * i.quantity) AS revenue FROM {s_items} i JOIN o ON o.id = i.order_id
+            JOIN {s_menu} m ON m.id = i.menu_item_id GROUP BY ALL),
+    best AS (SELECT day, arg_min(category, (-revenue, category)) AS top_category FROM cat GROUP BY day),
+    g AS (SELECT day, count(DISTINCT id) AS n, sum(cents) AS gross FROM o GROUP BY day),
+    sold AS (SELECT o.day, sum(i.quantity) AS q FROM {s_items} i JOIN o ON o.id = i.order_id GROUP BY o.day),
+    back AS (SELECT o.day, sum(r.amount_in_cents) AS c FROM {s_refunds} r JOIN o ON o.id = r.order_id
+             WHERE r.status = 'approved' GROUP BY o.day),
+    gift AS (SELECT CAST(created_at AS DATE) AS day, sum(amount_in_cents) AS c FROM {s_credits} GROUP BY 1)
+    SELECT g.day AS order_date, g.n AS total_orders, gross AS gross_revenue_cents, coalesce(back.c, 0) AS total_refunds_cents,
+      coalesce(gift.c, 0) AS total_credits_cents, gross - coalesce(back.c, 0) - coalesce(gift.c, 0) AS net_revenue_cents,
+      gross // g.n AS avg_order_value_cents, coalesce(sold.q, 0) AS items_sold, top_category
+    FROM g LEFT JOIN sold USING (day) LEFT JOIN back USING (day) LEFT JOIN gift USING (day) LEFT JOIN best USING (day)"""
+
 SUPPORT = [
     Entry(
         "daily_revenue",
-        "order_date:D total_orders:b gross_revenue_cents:b total_refunds_cents:b total_credits_cents:b net_revenue_cents:b "
-        "avg_order_value_cents:b items_sold:b top_category:s",
+        DAILY_REVENUE_COLUMNS,
         lambda t: support.daily_revenue(t.s_orders, t.s_items, t.s_refunds, t.s_credits, t.s_menu),
-        """WITH o AS (SELECT id, CAST(created_at AS DATE) AS day, total_in_cents AS cents FROM {s_orders}),
-        cat AS (SELECT o.day, m.category, sum(i.price_in_cents * i.quantity) AS revenue FROM {s_items} i JOIN o ON o.id = i.order_id
-                JOIN {s_menu} m ON m.id = i.menu_item_id GROUP BY ALL),
-        best AS (SELECT day, arg_min(category, (-revenue, category)) AS top_category FROM cat GROUP BY day),
-        g AS (SELECT day, count(DISTINCT id) AS n, sum(cents) AS gross FROM o GROUP BY day),
-        sold AS (SELECT o.day, sum(i.quantity) AS q FROM {s_items} i JOIN o ON o.id = i.order_id GROUP BY o.day),
-        back AS (SELECT o.day, sum(r.amount_in_cents) AS c FROM {s_refunds} r JOIN o ON o.id = r.order_id
-                 WHERE r.status = 'approved' GROUP BY o.day),
-        gift AS (SELECT CAST(created_at AS DATE) AS day, sum(amount_in_cents) AS c FROM {s_credits} GROUP BY 1)
-        SELECT g.day AS order_date, g.n AS total_orders, gross AS gross_revenue_cents, coalesce(back.c, 0) AS total_refunds_cents,
-          coalesce(gift.c, 0) AS total_credits_cents, gross - coalesce(back.c, 0) - coalesce(gift.c, 0) AS net_revenue_cents,
-          gross // g.n AS avg_order_value_cents, coalesce(sold.q, 0) AS items_sold, top_category
-        FROM g LEFT JOIN sold USING (day) LEFT JOIN back USING (day) LEFT JOIN gift USING (day) LEFT JOIN best USING (day)""",
+        SQL_DAILY_REVENUE,
     ),
     Entry(
         "support_case_context",
@@ -510,13 +515,9 @@ SQL_ALERTS = f"""SELECT concat('AL-', h.rule_id, '-', h.customer_id) AS alert_id
     h.first_ts, h.last_ts, h.last_ts AS created_at FROM ({SQL_ALL_HITS}) h JOIN {{m_customers}} c ON c.customer_id = h.customer_id"""
 
 
-def structuring_alerts(t: Tables):
-    """Alerts of the rule the decision log is about."""
-    return monitoring.score_alerts({"STRUCTURING": structuring(t)}, t.m_customers)
-
-
 def status(t: Tables):
-    return monitoring.alert_status(structuring_alerts(t), t.m_customers, t.m_log, log_day())
+    """Alerts of all rules with their decisions."""
+    return monitoring.alert_status(t.once("alerts", lambda: alerts(t)), t.m_customers, t.m_log, log_day())
 
 
 def investigation(t: Tables):
@@ -535,6 +536,19 @@ SQL_STATUS = f"""SELECT h.customer_id, concat('AL-STRUCTURING-', h.customer_id)
     FROM ({_hits_sql(SQL_STRUCTURING)}) h JOIN {{m_customers}} c ON c.customer_id = h.customer_id
     LEFT JOIN (SELECT alert_id, new_status, row_number() OVER (PARTITION BY alert_id ORDER BY decided_at DESC, new_status DESC) AS rn
                FROM {{m_log}}) l ON l.alert_id = concat('AL-STRUCTURING-', h.customer_id) AND l.rn = 1"""
+SQL_STATUS_ALL = f"""SELECT h.customer_id, concat('AL-', h.rule_id, '-', h.customer_id) AS alert_id, h.rule_id, c.name, c.risk_rating,
+    CAST(least(100, round(CAST(h.severity * CASE c.risk_rating WHEN 'HIGH' THEN 1.40 WHEN 'MEDIUM' THEN 1.15 ELSE 1.00 END
+      * CASE WHEN c.pep THEN 1.30 ELSE 1.00 END AS DECIMAL(12, 4)), 0)) AS BIGINT) AS score,
+    coalesce(l.new_status, 'OPEN') AS status, DATE '2024-01-31' - CAST(h.last_ts AS DATE) AS age_days
+    FROM ({SQL_ALL_HITS}) h JOIN {{m_customers}} c ON c.customer_id = h.customer_id
+    LEFT JOIN (SELECT alert_id, new_status, row_number() OVER (PARTITION BY alert_id ORDER BY decided_at DESC, new_status DESC) AS rn
+               FROM {{m_log}}) l ON l.alert_id = concat('AL-', h.rule_id, '-', h.customer_id) AND l.rn = 1"""
+SQL_RAPID_EVIDENCE = """WITH o AS (SELECT * FROM {m_txns} WHERE type IN ('WIRE_OUT', 'ACH_OUT')),
+    hit AS (SELECT i.customer_id, i.txn_id, i.ts, i.amount_cents FROM {m_txns} i JOIN o ON o.customer_id = i.customer_id
+        AND o.ts > i.ts AND o.ts <= i.ts + INTERVAL 48 HOUR WHERE i.type = 'WIRE_IN' AND i.amount_cents >= 200000
+        GROUP BY ALL HAVING sum(o.amount_cents) * 5 >= i.amount_cents * 4)
+    SELECT customer_id, txn_id, ts, amount_cents FROM hit UNION SELECT o.customer_id, o.txn_id, o.ts, o.amount_cents FROM hit
+    JOIN o ON o.customer_id = hit.customer_id AND o.ts > hit.ts AND o.ts <= hit.ts + INTERVAL 48 HOUR"""
 DECIDED = "('SAR_APPROVED', 'CLOSED_FALSE_POSITIVE', 'CLOSED_EXPLAINED')"
 
 MONITORING = [
@@ -552,9 +566,14 @@ MONITORING = [
     Entry(
         "alert_evidence",
         "alert_id:s customer_id:b txn_id:b ts:t amount_cents:b",
-        lambda t: monitoring.alert_evidence({"STRUCTURING": structuring(t), "ROUND_AMOUNTS": rounded(t)}),
-        f"""SELECT concat('AL-STRUCTURING-', customer_id) AS alert_id, customer_id, txn_id, ts, amount_cents FROM ({SQL_STRUCTURING})
-        UNION ALL SELECT concat('AL-ROUND_AMOUNTS-', customer_id), customer_id, txn_id, ts, amount_cents FROM ({SQL_ROUNDED})""",
+        lambda t: monitoring.alert_evidence(hits(t)),
+        " UNION ALL ".join(
+            f"SELECT concat('AL-{rule}-', customer_id) AS alert_id, customer_id, txn_id, ts, amount_cents FROM ({sql})"
+            for rule, sql in {
+                "STRUCTURING": SQL_STRUCTURING, "RAPID_MOVEMENT": SQL_RAPID_EVIDENCE, "HIGH_RISK_JURISDICTION": SQL_JURISDICTION,
+                "DORMANT_REACTIVATION": SQL_DORMANT, "ROUND_AMOUNTS": SQL_ROUNDED,
+            }.items()
+        ),
     ),
     Entry(
         "evidence_lists",
@@ -569,7 +588,7 @@ MONITORING = [
         "alert_status",
         "alert_id:s customer_id:b name:s risk_rating:s score:b status:s age_days:b",
         status,
-        SQL_STATUS,
+        SQL_STATUS_ALL,
     ),
     Entry(
         "alert_context",
@@ -592,8 +611,8 @@ MONITORING = [
     Entry(
         "alert_queue",
         "alert_id:s score:b rule_id:s status:s age_days:b",
-        lambda t: monitoring.alert_queue(status(t), ["OPEN", "RETURNED", "ESCALATED"], ["STRUCTURING"]),
-        f"SELECT * FROM ({SQL_STATUS}) WHERE status IN ('OPEN', 'RETURNED', 'ESCALATED')",
+        lambda t: monitoring.alert_queue(status(t), ["OPEN", "RETURNED", "ESCALATED"]),
+        f"SELECT * FROM ({SQL_STATUS_ALL}) WHERE status IN ('OPEN', 'RETURNED', 'ESCALATED')",
     ),
     Entry(
         "rule_performance",
@@ -603,7 +622,7 @@ MONITORING = [
         count(*) FILTER (status = 'SAR_APPROVED') AS sar_approved, count(*) FILTER (status = 'CLOSED_FALSE_POSITIVE') AS false_positives,
         100.0 * count(*) FILTER (status = 'SAR_APPROVED') / nullif(count(*) FILTER (status IN {DECIDED}), 0) AS sar_rate_pct,
         100.0 * count(g.customer_id) / count(*) AS planted_hit_pct
-        FROM ({SQL_STATUS}) s LEFT JOIN {{m_truth}} g ON g.customer_id = s.customer_id AND g.typology = s.rule_id GROUP BY rule_id""",
+        FROM ({SQL_STATUS_ALL}) s LEFT JOIN {{m_truth}} g ON g.customer_id = s.customer_id AND g.typology = s.rule_id GROUP BY rule_id""",
     ),
     Entry(
         "programme_counts",
@@ -611,14 +630,14 @@ MONITORING = [
         lambda t: monitoring.programme_counts(status(t), 10),
         f"""SELECT count(*) FILTER (status IN ('OPEN', 'RETURNED')) AS open_alerts, count(*) FILTER (status = 'ESCALATED') AS awaiting_review,
         count(*) FILTER (status NOT IN {DECIDED} AND age_days > 10) AS overdue, count(*) FILTER (status = 'SAR_APPROVED') AS sars_approved
-        FROM ({SQL_STATUS})""",
+        FROM ({SQL_STATUS_ALL})""",
     ),
     Entry(
         "alert_age_bands",
         "band:s alerts:b",
         lambda t: monitoring.age_bands(status(t), 20),
         f"""SELECT CASE WHEN age_days <= 7 THEN '0-7' WHEN age_days <= 14 THEN '8-14' WHEN age_days <= 20 THEN '15-20' ELSE '>20' END AS band,
-        count(*) AS alerts FROM ({SQL_STATUS}) WHERE status NOT IN {DECIDED} GROUP BY 1""",
+        count(*) AS alerts FROM ({SQL_STATUS_ALL}) WHERE status NOT IN {DECIDED} GROUP BY 1""",
     ),
     Entry(
         "draft_use",

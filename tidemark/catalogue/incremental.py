@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import cdc, maintenance
-from ..session import scratch_path
+from ..plans import factory, network, support_live
+from ..session import scratch_path, staged
 from ..sources import files, tables
 from ..streaming import incremental as streams
+from ..streaming import ordered
+from .domains import DAILY_REVENUE_COLUMNS, INCIDENT_COLUMNS, SQL_DAILY_REVENUE, SQL_INCIDENTS, SQL_SCORED
 from .registry import Entry, Tables
 
 CHANGES = cdc.ChangeSpec(keys=["id"])
@@ -17,8 +20,7 @@ SQL_STATE = """SELECT id, status, amount FROM {c_changes} QUALIFY row_number() O
 
 def _event_stream(t: Tables):
     """The events file as a streaming source."""
-    reader = t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet")
-    return reader.parquet(t.folder)
+    return files.read_change_log(t.spark, t.folder, t.events.schema, stream=True, files="events.parquet")
 
 
 def _change_stream(t: Tables):
@@ -50,6 +52,15 @@ def daily_stream(t: Tables):
     return streams.latest_versions(t.spark, path, ["id", "day"])
 
 
+def daily_windows(t: Tables):
+    """The same totals from one-day windows behind a watermark that no row of the table is late for."""
+    path, checkpoint = scratch_path(t.spark, "windows"), scratch_path(t.spark, "windows-checkpoint")
+    measures = {"events": F.lit(1), "cents": F.round(F.col("amount") * 100).cast("long")}
+    changes = _change_stream(t).withColumn("_timestamp", F.col("_timestamp").cast("timestamp"))
+    streams.daily_totals_stream(changes, ["id"], "_timestamp", "day", measures, CHANGES, path, checkpoint, watermark="3650 days").awaitTermination()
+    return streams.latest_versions(t.spark, path, ["id", "day"])
+
+
 def refreshed_view(t: Tables):
     """A served table that every batch of the stream refreshes by a keyed upsert."""
     target, checkpoint = scratch_path(t.spark, "view"), scratch_path(t.spark, "view-checkpoint")
@@ -59,6 +70,115 @@ def refreshed_view(t: Tables):
     return cdc.drop_deleted(t.spark.read.parquet(target), CHANGES)
 
 
+def _span(rows) -> tuple[int, int]:
+    """First and last microsecond of a `ts` column; one row comes to the driver."""
+    ends = rows.select(F.unix_micros(F.col("ts").cast("timestamp")).alias("s")).agg(F.min("s").alias("low"), F.max("s").alias("high")).first()
+    return ends.low or 0, ends.high or 0
+
+
+def _arrivals(t: Tables, rows, source: str, late: int, parts: int = 3):
+    """Rows with a `ts`, written to the folder `source` as they might arrive: in parts by time, each row up to `late`
+    microseconds after its time. A heartbeat without key, past everything, comes last. Yields after each part.
+    """
+    low, high = _span(rows)
+    arrived = F.unix_micros(F.col("ts").cast("timestamp")) - low + F.pmod(F.xxhash64(*rows.columns), F.lit(late))
+    part = F.least(F.lit(parts - 1), F.floor(arrived * parts / (high - low + late + 1)))
+    arranged = staged(rows.withColumn("part", part), "arrivals")
+    for i in range(parts):
+        arranged.where(F.col("part") == i).drop("part").write.mode("append").parquet(source)
+        yield
+    end = rows.agg((F.max("ts") + F.expr("INTERVAL 1000 DAYS")).alias("ts"))
+    end.select(*(F.col("ts") if c == "ts" else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns)).write.mode("append").parquet(source)
+    yield
+
+
+def _streamed(t: Tables, rows, query, name: str):
+    """Run a streaming query over late arrivals, stopped and resumed after each part; its sink and checkpoint."""
+    source, path, checkpoint = (scratch_path(t.spark, f"{name}{x}") for x in ("-source", "", "-checkpoint"))
+    ordered.rocksdb(t.spark)
+    low, high = _span(rows)
+    late = (high - low) // 20 + 1
+    for _ in _arrivals(t, rows, source, late):
+        stream = files.read_change_log(t.spark, source, rows.schema, stream=True)
+        streams.write_batches(query(stream, f"{late // 1_000_000 + 2} seconds"), path, checkpoint, mode="append").awaitTermination()
+    return path, checkpoint
+
+
+def incidents_stream(t: Tables):
+    """Network incidents from intervals that arrive late and out of order."""
+    rows = t.n_kpis.select("site_id", "ts", "availability_pct", "drop_call_rate_pct")
+    path, checkpoint = _streamed(t, rows, network.bad_runs_stream, "incidents")
+    runs = t.spark.read.parquet(path).drop(streams.VERSION)
+    runs = runs.unionByName(network.bad_runs_open(t.spark, checkpoint))
+    return network.describe_incidents(runs, t.n_sites, rows.agg(F.max("ts").alias("ts")).scalar(), outage_below=85)
+
+
+def vibration_scored_stream(t: Tables):
+    """Sensor readings that arrive late and out of order, scored when they are final."""
+    rows = t.f_readings.select("machine_id", "ts", "vibration_rms", "temperature_c")
+    base = staged(factory.vibration_baseline(rows), "baseline")
+    path, _ = _streamed(
+        t, rows,
+        lambda stream, lateness: factory.vibration_scored_stream(stream, base, lateness, alert_z=0.5, alert_rows=4, watch_z=0.2, watch_rows=3),
+        "scored",
+    )
+    return t.spark.read.parquet(path).drop(streams.VERSION)
+
+
+def _history(rows, key: str, wrong: dict, ghost) -> list:
+    """Three batches of changes that end in `rows`: a quarter of the rows come late, half are wrong at first, copies of a
+    quarter under a key of their own appear and go again, and the last batch repeats old images.
+    """
+    pick = F.pmod(F.xxhash64(key), F.lit(4))
+
+    def change(picked: list[int], kind: str, sequence: int, columns: dict | None = None):
+        some = rows.where(pick.isin(picked)).withColumns(columns or {})
+        return some.withColumns({"change": F.lit(kind), "sequence": F.lit(sequence).cast("long")})
+
+    extra = {key: ghost}
+    return [
+        change([0], "insert", 10).unionByName(change([1, 2], "insert", 10, wrong)),
+        change([3], "insert", 20).unionByName(change([1], "update", 20)).unionByName(change([0], "insert", 20, extra)),
+        change([2], "update", 30).unionByName(change([0], "delete", 30, extra)).unionByName(change([1], "update", 5, wrong)),
+    ]
+
+
+def revenue_histories(t: Tables) -> dict:
+    """Change batches of the base tables behind daily revenue."""
+    line = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
+    more = {"amount_in_cents": F.col("amount_in_cents") + 7}
+    orders = t.s_orders.select(F.col("id").alias("order_id"), F.to_date("created_at").alias("order_date"), "total_in_cents")
+    items = t.lineitem.select(
+        F.col("l_orderkey").alias("order_id"), line.alias("item_id"), F.col("l_partkey").alias("menu_item_id"),
+        F.col("l_quantity").cast("long").alias("quantity"), cents.alias("price_in_cents"),
+    )
+    refunds = t.lineitem.where("l_returnflag = 'R'").select(
+        F.col("l_orderkey").alias("order_id"), line.alias("refund_id"), F.when(F.col("l_linestatus") == "F", "approved").otherwise("pending").alias("status"),
+        F.round(F.col("l_extendedprice") * F.col("l_tax") * 100).cast("long").alias("amount_in_cents"),
+    )
+    credits = t.lineitem.select(
+        line.alias("credit_id"), F.to_date("l_shipdate").alias("order_date"),
+        F.round(F.col("l_extendedprice") * F.col("l_discount") * 100).cast("long").alias("amount_in_cents"),
+    )
+    return {
+        "orders": _history(orders, "order_id", {"order_date": F.date_add("order_date", 1), "total_in_cents": F.col("total_in_cents") + 100}, F.col("order_id") + 1_000_000_000),
+        "items": _history(items, "item_id", {"quantity": F.col("quantity") + 1, "menu_item_id": F.col("menu_item_id") + 1}, F.concat(F.col("item_id"), F.lit("x"))),
+        "refunds": _history(refunds, "refund_id", {"status": F.lit("approved"), **more}, F.concat(F.col("refund_id"), F.lit("x"))),
+        "credits": _history(credits, "credit_id", {"order_date": F.date_sub("order_date", 2), **more}, F.concat(F.col("credit_id"), F.lit("x"))),
+    }
+
+
+def maintained_revenue(t: Tables):
+    """Daily revenue after three batches of changes, each worked in by its signed rows."""
+    menu = staged(t.s_menu.select(F.col("id").alias("menu_item_id"), "category"), "menu")
+    view = support_live.DailyRevenue(t.spark, scratch_path(t.spark, "revenue"), menu, buckets=8)
+    batches = {name: [staged(b, "changes") for b in found] for name, found in revenue_histories(t).items()}
+    for i in range(3):
+        view.apply(i, {name: found[i] for name, found in batches.items()})
+    return view.current()
+
+
 SQL_DAILY = """SELECT id, CAST(_timestamp AS DATE) AS day, count(*) AS events, sum(CAST(round(amount * 100) AS BIGINT)) AS cents
     FROM {c_changes} WHERE _pg_change_type <> 'delete' GROUP BY ALL"""
 
@@ -130,6 +250,10 @@ ENTRIES = [
         )[0],
         """SELECT o_orderkey, o_custkey FROM {orders} WHERE NOT (o_orderdate >= TIMESTAMP '1999-01-01' AND o_custkey IN (SELECT user_id FROM {events}))""",
     ),
+    Entry("incidents_stream", INCIDENT_COLUMNS, incidents_stream, SQL_INCIDENTS),
+    Entry("vibration_scored_stream", "machine_id:b ts:t baseline:d4 z:d4 alert_hour:B watch_hour:B", vibration_scored_stream, SQL_SCORED),
+    Entry("maintained_revenue", DAILY_REVENUE_COLUMNS, maintained_revenue, SQL_DAILY_REVENUE),
+    Entry("daily_totals_windows", "id:b day:D events:b cents:b", daily_windows, SQL_DAILY),
     Entry("daily_totals_stream", "id:b day:D events:b cents:b", daily_stream, SQL_DAILY),
     Entry(
         "daily_totals_net",

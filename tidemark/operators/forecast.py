@@ -157,11 +157,15 @@ MODELS: dict[str, Callable[..., DataFrame]] = {
 
 def forecast(name: str, history: DataFrame, keys: list[str] = KEYS, plugged: dict[str, Callable] | None = None) -> DataFrame:
     """Forecast by model name; `plugged` maps further names to model callables."""
+    if name == "additive":
+        from .additive import forecast_additive
+
+        return forecast_additive(history, keys)
     if name in MODELS:
         return MODELS[name](history, keys)
     if name in (plugged or {}):
         return forecast_pluggable(history, plugged[name], keys)
-    raise ValueError(f"unknown forecast model {name!r}; choose from {sorted([*MODELS, *(plugged or {})])}")
+    raise ValueError(f"unknown forecast model {name!r}; choose from {sorted(["additive", *MODELS, *(plugged or {})])}")
 
 
 def replenishment(forecasts: DataFrame, stock: DataFrame, products: DataFrame, model: str, generated_at: Column) -> DataFrame:

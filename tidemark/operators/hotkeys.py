@@ -17,13 +17,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from ..session import staged
+
 MAX_HOT_KEYS = 100_000
 HOT_ROWS = 1_000_000
 CHUNK = "__chunk"
-#: Sampled rows per chunk: bounds between them miss a chunk's size by about a tenth.
-SAMPLED = 100
-#: Bounds are looked up in two steps, first among every STEP-th one.
-STEP = 32
+#: Fixed value: where `monotonically_increasing_id` has the number of the partition.
+PART_BITS = 33
 
 
 @dataclass(frozen=True)
@@ -86,44 +86,22 @@ def with_parts(df: DataFrame, keys: list[str], part: Column, hot: HotKeys, name:
     return same_keys(df, few, keys, "left").withColumn(name, F.when(F.col("__hot"), part)).drop("__hot")
 
 
-def chunk_bounds(df: DataFrame, keys: list[str], order: list[str], hot: HotKeys) -> DataFrame:
-    """(keys, __bounds): per hot key the order values, ascending, at which a new chunk begins.
+def with_chunks(df: DataFrame, keys: list[str], order: list[str], hot: HotKeys) -> DataFrame:
+    """Add CHUNK: for rows of hot keys a number that ascends along `order`, at most `threshold` rows each; NULL for others.
 
-    Bounds are order values of a sample of the hot keys' rows, about SAMPLED per chunk, taken at equal ranks, so they
-    follow the rows and not the range of the values; any orderable type will do. Ties on the first order column are
-    split by the others. The sample is collected once, so that all plans see the same bounds: per hot key about
-    SAMPLED rows for every `threshold` of its rows, which is fixed to at most SAMPLED / threshold of all rows.
+    The hot keys' rows are dealt by range of key and order, as Spark sorts whole tables, and each part is cut into chunks by
+    rank; no bound leaves that shuffle. Ranges follow the rows and not the values, whatever their type, and ties on the
+    first order column are split by the others. The rows are written once, so that every plan sees the same chunks.
     """
     few = hot.frame(df, keys)
-    rate = min(1.0, SAMPLED / hot.threshold)
-    at = F.struct(*order)
-    sampled = same_keys(df.select(*keys, *[c for c in order if c not in keys]), few, keys, "left_semi").sample(rate, seed=1)
-    listed = sampled.groupBy(*keys).agg(F.array_sort(F.collect_list(at)).alias("__s"))
-    counted = df.sparkSession.createDataFrame(
-        [(*key, -(-n // hot.threshold)) for key, n in zip(hot.keys, hot.counts, strict=True)],
-        df.select(*keys).withColumn("__n", F.lit(0)).schema,
-    )
-    n, size = F.col("__n"), F.size("__s")
-    picked = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.get("__s", F.floor(i * size / n).cast("int")))
-    bounds = F.when(n > 1, F.array_distinct(picked)).otherwise(F.slice("__s", 1, 0))
-    return same_keys(listed, F.broadcast(counted), keys).select(*keys, bounds.alias("__bounds"))
-
-
-def with_chunks(df: DataFrame, keys: list[str], order: list[str], hot: HotKeys) -> DataFrame:
-    """Add CHUNK along `order`: about `threshold` rows each, ascending; NULL for rows of other keys."""
-    found = chunk_bounds(df, keys, order, hot)
-    spans = F.broadcast(df.sparkSession.createDataFrame(found.collect(), found.schema)).select(
-        *keys,
-        "__bounds",
-        F.transform(F.filter("__bounds", lambda x, i: i % STEP == STEP - 1), lambda x: x).alias("__steps"),
-    )
-    at = F.struct(*order)
-    joined = same_keys(df, spans, keys, "left")
-    coarse = F.size(F.filter("__steps", lambda b: b <= at)) * STEP
-    joined = joined.withColumn("__coarse", coarse)
-    fine = F.size(F.filter(F.slice("__bounds", F.col("__coarse") + 1, STEP), lambda b: b <= at))
-    chunk = F.when(F.col("__bounds").isNotNull(), F.col("__coarse") + fine).cast("long")
-    return joined.withColumn(CHUNK, chunk).drop("__bounds", "__steps", "__coarse")
+    along = [*keys, *(c for c in order if c not in keys)]
+    crowd = same_keys(df, few, keys, "left_semi").repartitionByRange(*along).sortWithinPartitions(*along)
+    # the number has the part in its upper bits and the rank within the part in the lower 33
+    number = F.monotonically_increasing_id()
+    part, rank = F.shiftright(number, PART_BITS), number.bitwiseAND(F.lit((1 << PART_BITS) - 1))
+    chunk = F.shiftleft(part, PART_BITS) + F.floor(rank / hot.threshold).cast("long")
+    dealt = staged(crowd.withColumn(CHUNK, chunk), "chunks")
+    return same_keys(df, few, keys, "left_anti").withColumn(CHUNK, F.lit(None).cast("long")).unionByName(dealt)
 
 
 def join_dimension(df: DataFrame, dim: DataFrame, on: list[str], how: str = "inner") -> DataFrame:

@@ -76,6 +76,19 @@ def ensure_section(df: DataFrame, column: str, section_id: str, content: str, to
     return df.withColumns({"section_added": ~there, column: F.when(there, text).otherwise(opened)})
 
 
+def ensure_titled_section(df: DataFrame, sections: DataFrame, column: str, on: list[str], title: str, topic: str = r"lock\s*-?\s*out") -> DataFrame:
+    """`ensure_section` with the section whose title begins with `title`, any case, among those of the row's `on` columns.
+
+    `sections` has `on`, section_id, title and content; of several such sections the first by id counts. A row
+    without one stays as it is, not marked as changed.
+    """
+    titled = sections.where(F.lower("title").startswith(title.lower()))
+    chosen = titled.groupBy(*on).agg(F.min(F.struct("section_id", "content")).alias("__s")).select(*on, F.col("__s.section_id").alias("__id"), F.col("__s.content").alias("__content"))
+    joined = ensure_section(df.join(chosen, on, "left").withColumn("__before", F.col(column)), column, "__id", "__content", topic)
+    kept = {column: F.coalesce(column, "__before"), "section_added": F.coalesce("section_added", F.lit(False)) & F.col("__id").isNotNull()}
+    return joined.withColumns(kept).drop("__id", "__content", "__before")
+
+
 # The placeholder, the length limit, the problem texts and the standard message.
 PLACEHOLDER = "{credit}"
 SMS_MAX = 160

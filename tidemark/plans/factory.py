@@ -12,6 +12,7 @@ from ..operators.filters import dimension
 from ..operators.hotkeys import HOT_ROWS, Hot, attach, hot_keys
 from ..operators.joins import nearest_mark
 from ..operators.windows import islands, run_lengths, threads
+from ..streaming.ordered import run_lengths_stream
 
 ORDER = ["ts"]
 MACHINE = ["machine_id"]
@@ -82,12 +83,9 @@ def vibration_scored(
     `alert_rows` hot rows in a row; a constant baseline (zero deviation) gives no z and no alert.
     Machines without baseline rows are left out.
     """
-    start = readings.agg(F.min("ts").alias("t0")).scalar()
-    early = F.col("ts") < start + F.expr(f"INTERVAL {int(baseline_days)} DAYS")
     known = hot_keys(readings, MACHINE, hot)
-    base = robust_baseline(readings, MACHINE, "vibration_rms", early, known)
-    z = F.try_divide(F.col("vibration_rms") - F.col("baseline"), F.lit(MAD_TO_SIGMA) * F.col("mad"))
-    scored = attach(readings, base, MACHINE, known).withColumn("z", z).drop("mad")
+    base = vibration_baseline(readings, baseline_days, known)
+    scored = attach(readings, base, MACHINE, known).withColumn("z", _z()).drop("mad")
     flags = {"__hot": F.col("z") > alert_z, "__warm": F.col("z") > watch_z}
     counted = run_lengths(scored, MACHINE, ORDER, flags, known)
     return counted.withColumns(
@@ -95,6 +93,31 @@ def vibration_scored(
     ).drop("__hot", "__warm")
 
 
+def vibration_baseline(readings: DataFrame, baseline_days: int = 14, hot: Hot = HOT_ROWS) -> DataFrame:
+    """(machine_id, baseline, mad) over the days after the first reading of the whole table."""
+    start = readings.agg(F.min("ts").alias("t0")).scalar()
+    early = F.col("ts") < start + F.expr(f"INTERVAL {int(baseline_days)} DAYS")
+    return robust_baseline(readings, MACHINE, "vibration_rms", early, hot)
+
+
+def _z() -> Column:
+    return F.try_divide(F.col("vibration_rms") - F.col("baseline"), F.lit(MAD_TO_SIGMA) * F.col("mad"))
+
+
+def vibration_scored_stream(
+    readings: DataFrame, baseline: DataFrame, lateness: str, alert_z: float = 4.0, alert_rows: int = 12, watch_z: float = 2.5, watch_rows: int = 6
+) -> DataFrame:
+    """Streaming form of `vibration_scored` against a finished `vibration_baseline`: every reading once, when it is final.
+
+    Readings may come in any order within `lateness`. The state per machine is the waiting readings and two run lengths.
+    """
+    scored = readings.join(baseline, "machine_id", "left").withColumn("z", _z())
+    scored = scored.where(F.col("baseline").isNotNull() | F.col("machine_id").isNull())
+    flags = {"hot_rows": F.col("z") > alert_z, "warm_rows": F.col("z") > watch_z}
+    counted = run_lengths_stream(scored, MACHINE, "ts", flags, ["vibration_rms", "temperature_c", "baseline", "z"], lateness)
+    return counted.withColumns({"alert_hour": F.col("hot_rows") >= alert_rows, "watch_hour": F.col("warm_rows") >= watch_rows}).drop("hot_rows", "warm_rows")
+
+
 def alert_episodes(scored: DataFrame, max_gap: str | None = None, hot: Hot = HOT_ROWS) -> DataFrame:
     """Runs of consecutive alert rows: started_at, last_seen_at, hours."""
     aggs = [F.min("ts").alias("started_at"), F.max("ts").alias("last_seen_at"), F.count(F.lit(1)).alias("hours")]

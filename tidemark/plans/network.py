@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.policy import churn_risk, service_credit
@@ -10,6 +10,7 @@ from ..operators.hotkeys import HOT_ROWS, Hot
 from ..operators.joins import interval_join
 from ..operators.text import fallback_message, render
 from ..operators.windows import islands
+from ..streaming.ordered import islands_stream, open_islands
 
 INTERVAL_MINUTES = 15
 
@@ -23,7 +24,7 @@ def incidents(
 
     Ongoing when the run touches the newest instant of the whole table.
     """
-    bad = (F.col("availability_pct") < low_availability) | (F.col("drop_call_rate_pct") > high_drops)
+    bad = _bad(low_availability, high_drops)
     aggs = [
         F.min("ts").alias("started_at"),
         F.max("ts").alias("last_ts"),
@@ -33,6 +34,17 @@ def incidents(
     ]
     runs = islands(kpis, ["site_id"], ["ts"], bad, aggs, min_rows, max_gap, hot)
     newest = kpis.agg(F.max("ts").alias("ts")).scalar()
+    return describe_incidents(runs, sites, newest, interval_minutes, outage_below)
+
+
+def _bad(low_availability: float, high_drops: float) -> Column:
+    return (F.col("availability_pct") < low_availability) | (F.col("drop_call_rate_pct") > high_drops)
+
+
+def describe_incidents(
+    runs: DataFrame, sites: DataFrame, newest: Column, interval_minutes: int = INTERVAL_MINUTES, outage_below: float = 50
+) -> DataFrame:
+    """Runs of bad intervals (site_id, started_at, last_ts, intervals, lowest, worst_drops) as incidents."""
     site = F.col("site_id").cast("string")
     return runs.join(sites.select("site_id", "area"), "site_id").select(
         F.concat(site, F.lit("-"), F.date_format("started_at", "yyyyMMddHHmm")).alias("incident_id"),
@@ -48,6 +60,23 @@ def incidents(
     )
 
 
+def bad_runs_stream(
+    kpis: DataFrame, lateness: str, min_rows: int = 2, low_availability: float = 95, high_drops: float = 2, max_gap: str | None = None
+) -> DataFrame:
+    """Streaming form of the runs behind `incidents`: closed runs of bad intervals per site, for `describe_incidents`.
+
+    Intervals may come in any order within `lateness`; a row without a site only moves the clock on.
+    """
+    measures = {"lowest": ("min", F.col("availability_pct")), "worst_drops": ("max", F.col("drop_call_rate_pct"))}
+    runs = islands_stream(kpis, ["site_id"], "ts", _bad(low_availability, high_drops), measures, lateness, min_rows=min_rows, max_gap=max_gap)
+    return runs.withColumnRenamed("rows", "intervals")
+
+
+def bad_runs_open(spark: SparkSession, checkpoint: str, min_rows: int = 2) -> DataFrame:
+    """Runs that a stopped `bad_runs_stream` has not closed yet."""
+    return open_islands(spark, checkpoint, ["lowest", "worst_drops"], min_rows).withColumnRenamed("rows", "intervals")
+
+
 def incident_impact(found: DataFrame, customers: DataFrame, tickets: DataFrame, incident_ids: list[str] | None = None) -> DataFrame:
     """Affected customers per incident (all incidents, or the given ones).
 

@@ -12,20 +12,25 @@ from ..operators.cdc import ChangeSpec
 
 
 def read_change_log(
-    spark: SparkSession, path: str, schema: T.StructType, stream: bool = False, spec: ChangeSpec | None = None
+    spark: SparkSession, path: str, schema: T.StructType, stream: bool = False, spec: ChangeSpec | None = None, files: str | None = None
 ) -> DataFrame:
-    """An append-only change history as a batch or streaming DataFrame, checked for the spec's columns."""
+    """An append-only change history as a batch or streaming DataFrame, checked for the spec's columns.
+
+    `files` is a pattern for the names of the files to read.
+    """
     if spec:
         missing = {*spec.keys, *spec.sequence, spec.operation} - set(schema.names)
         if missing:
             raise ValueError(f"change history lacks {sorted(missing)}")
     reader = spark.readStream if stream else spark.read
+    if files is not None:
+        reader = reader.option("pathGlobFilter", files)
     return reader.schema(schema).parquet(path)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Does anything match the path? Works on every file system Spark reads."""
-    listing = spark.read.format("binaryFile").option("ignoreMissingFiles", "true")
+    listing = spark.read.format("binaryFile").option("ignoreMissingFiles", "true").option("recursiveFileLookup", "true")
     try:
         return not listing.load(path).select("path").isEmpty()
     except Exception as problem:

@@ -32,6 +32,12 @@ def _files(spark: SparkSession, path: str):
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
+def has_folder(spark: SparkSession, path: str, prefix: str) -> bool:
+    """Whether a folder below `path` has a name that begins with `prefix`; names only, no job."""
+    files, place = _files(spark, path)
+    return files.exists(place) and any(f.getPath().getName().startswith(prefix) for f in files.listStatus(place))
+
+
 def _beside(place, name: str):
     """A path next to `place`; a leading dot hides it from readers of the parent folder."""
     return place.suffix("").getParent().suffix(f"/{name}")

@@ -51,9 +51,11 @@ def latest_versions(spark: SparkSession, path: str, keys: list[str], schema: Str
     return best.select("__row.*").drop(VERSION)
 
 
-def compact_versions(spark: SparkSession, path: str, keys: list[str]) -> int:
+def compact_versions(spark: SparkSession, path: str, keys: list[str], partitions: list[str] | None = None) -> int:
     """Fold all stored batches but the newest into the one before it; returns how many folders are left.
 
+    `partitions` are folder columns inside each batch, such as a bucket, that the folded batch keeps.
+
     The newest batch stays by itself: it is the only one a restarted query may write again. Between batches or beside
     a running query, readers see the same rows before, while and after: the folded folder takes the place of the last
     one it holds by a switch, and the folders before it, whose rows it has, go afterwards.
@@ -66,7 +68,7 @@ def compact_versions(spark: SparkSession, path: str, keys: list[str]) -> int:
     folded = spark.read.parquet(path).where(F.col(VERSION) <= last)
     best = folded.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.max_by(F.struct("*"), F.col(VERSION)).alias("__row"))
     made = f"{path}/_folded.{uuid4().hex}"
-    best.select("__row.*").drop(VERSION).write.parquet(made)
+    best.select("__row.*").drop(VERSION).write.partitionBy(*(partitions or [])).parquet(made)
     tables.switch(spark, made, f"{path}/{VERSION}={last}")
     for batch in batches[:-2]:
         tables.remove(spark, f"{path}/{VERSION}={batch}")

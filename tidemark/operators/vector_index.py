@@ -72,8 +72,10 @@ def build(docs: DataFrame, key: str, vector: str, path: str, lists: int | None =
     wanted = max(1, min(lists or int(np.sqrt(count)), MOST_LISTS))
     length = F.aggregate(vector, F.lit(0.0), lambda a, x: a + x * x)
     sample = rows.where(length > 0).orderBy(F.xxhash64(key), key).limit(fitted_on).select(array_to_vector(vector).alias("features"))
-    centres = np.zeros((0, 1))
-    if not sample.isEmpty():
+    centres, first = np.zeros((0, 1)), sample.limit(2).collect()
+    if first and (wanted < 2 or len(first) < 2):
+        centres, _ = _unit(np.array([first[0]["features"].toArray()]))
+    elif first:
         model = KMeans(k=wanted, seed=seed, maxIter=10, distanceMeasure="cosine").fit(sample)
         centres, _ = _unit(np.array(model.clusterCenters()))
 

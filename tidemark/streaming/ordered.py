@@ -5,24 +5,29 @@ remembered between rows is one small record per key: an open island, or the leng
 both jobs: the earliest waiting row sets one, so rows go on as soon as they are final, and an open island sets one
 for the instant at which the gap after its last row is too long, so it closes although no row comes.
 
-State per key is the rows within the lateness and that one record. Rows behind the watermark are dropped by Spark. A row
-whose key is NULL is a heartbeat: it moves the watermark and belongs to nothing. Use the RocksDB state store.
+Keys are dealt by hash to `groups`, and a group has its state calls and its timer in common: a call costs as much as
+many rows, so keys must not each have their own. State per key is the rows within the lateness and that one record;
+a task holds one group at a time, so there should be more groups where many keys have many waiting rows. Rows behind the
+watermark are dropped by Spark. A row whose key is NULL is a heartbeat: it moves the watermark and belongs to nothing.
+Use the RocksDB state store.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 #: State variables, as the state reader knows them.
 MEMORY, WAITING, DUE = "memory", "waiting", "due"
-_AT = T.StructField("at", T.LongType())
+#: The group of a key, how many groups there are, and the rows of one stored page.
+GROUP, GROUPS, PAGE = "__group", 1_024, 10_000
 
 
 def rocksdb(spark: SparkSession) -> None:
@@ -33,11 +38,12 @@ def rocksdb(spark: SparkSession) -> None:
 class InOrder(StatefulProcessor):
     """Gives each key's rows to `step` in order of (at, tie, ...), after the watermark has passed them.
 
-    `columns` are the input columns that a row keeps, the first one `at`, microseconds of event time. `record` is what
-    a key remembers. `step` gets the record (None at first) and a row, and returns the next record and rows to emit.
+    It runs per group of keys. `columns` are the input columns that a row keeps besides its `keys`, the first one `at`,
+    microseconds of event time. `record` is what a key remembers. `step` gets the record (None at first) and a row, and
+    returns the next record and rows to emit.
     """
 
-    def __init__(self, keys: list[str], columns: T.StructType, record: T.StructType, out: list[str]):
+    def __init__(self, keys: T.StructType, columns: T.StructType, record: T.StructType, out: list[str]):
         self.keys, self.columns, self.record, self.out = keys, columns, record, out
 
     def step(self, memory: tuple | None, row: tuple) -> tuple[tuple | None, list[tuple]]:
@@ -52,9 +58,10 @@ class InOrder(StatefulProcessor):
         return []
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.memory = handle.getValueState(MEMORY, self.record)
-        self.waiting = handle.getListState(WAITING, self.columns)
+        self.handle, self.kept = handle, T.StructType([*self.keys, *self.columns])
+        self.memory = handle.getMapState(MEMORY, self.keys, self.record)
+        pages = T.StructType([T.StructField(f.name, T.ArrayType(f.dataType)) for f in self.kept])
+        self.waiting = handle.getListState(WAITING, pages)
         self.due = handle.getValueState(DUE, T.StructType([T.StructField("ms", T.LongType())]))
 
     def _wake(self, at: int) -> None:
@@ -65,61 +72,79 @@ class InOrder(StatefulProcessor):
             self.due.update((ms,))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        if any(k is None for k in key):
-            return
-        found = [row for frame in rows for row in _plain(frame[self.columns.names])]
-        if found:
-            self.waiting.appendList(found)
-            self._wake(min(row[0] for row in found))
+        earliest = []
+        for frame in rows:
+            known = frame[frame[self.keys.names].notna().all(axis=1)]
+            for first in range(0, len(known), PAGE):
+                page = _plain(known.iloc[first : first + PAGE], self.kept)
+                self.waiting.appendValue(page)
+                earliest.append(min(page[len(self.keys)]))
+        if earliest:
+            self._wake(min(earliest))
         yield from ()
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs() * 1_000
+        passed, n = timerValues.getCurrentWatermarkInMs() * 1_000, len(self.keys)
         if self.due.exists() and self.due.get()[0] > expiredTimerInfo.getExpiryTimeInMs():
             return
         self.due.clear()
-        waiting = sorted((tuple(r) for r in self.waiting.get()), key=lambda r: tuple((x is None, x) for x in r))
-        memory, emitted = tuple(self.memory.get()) if self.memory.exists() else None, []
-        final = [r for r in waiting if r[0] <= passed]
-        for row in final:
+        final, left = defaultdict(list), []
+        for page in self.waiting.get():
+            for row in zip(*page, strict=True):
+                if row[n] <= passed:
+                    final[row[:n]].append(row[n:])
+                else:
+                    left.append(row)
+        before = {tuple(k): tuple(r) for k, r in self.memory.iterator()}
+        emitted, ends = [], []
+        for one in {**before, **final}:
+            memory, some = self._advanced(before.get(one), final.get(one, []), passed)
+            emitted += [(*one, *e) for e in some]
+            if memory is None and one in before:
+                self.memory.removeKey(one)
+            elif memory is not None and memory != before.get(one):
+                self.memory.updateValue(one, memory)
+            end = self.deadline(memory)
+            ends += [end] if end is not None else []
+        if final:
+            self.waiting.clear()
+            if left:
+                self.waiting.put([tuple(map(list, zip(*left[i : i + PAGE], strict=True))) for i in range(0, len(left), PAGE)])
+        following = min([*(r[n] for r in left), *ends], default=None)
+        if following is not None:
+            self._wake(following)
+        for first in range(0, len(emitted), PAGE):
+            yield pd.DataFrame(emitted[first : first + PAGE], columns=[*self.keys.names, *self.out])
+
+    def _advanced(self, memory: tuple | None, rows: list[tuple], passed: int) -> tuple[tuple | None, list[tuple]]:
+        """The record of a key after its final rows and, if it is due, its deadline; and what they emit."""
+        emitted = []
+        for row in sorted(rows, key=lambda r: tuple((x is None, x) for x in r)):
             memory, some = self.step(memory, row)
             emitted += some
         end = self.deadline(memory)
         if end is not None and end <= passed:
             emitted += self.over(memory)
-            memory, end = None, None
-        self._keep(memory, waiting, final)
-        left = [r[0] for r in waiting[len(final) :]]
-        following = min([*left[:1], *([end] if end is not None else [])], default=None)
-        if following is not None:
-            self._wake(following)
-        if emitted:
-            yield pd.DataFrame([(*key, *e) for e in emitted], columns=[*self.keys, *self.out])
-
-    def _keep(self, memory: tuple | None, waiting: list[tuple], final: list[tuple]) -> None:
-        if memory is None:
-            self.memory.clear()
-        else:
-            self.memory.update(memory)
-        if final:
-            self.waiting.clear()
-            if len(waiting) > len(final):
-                self.waiting.put(waiting[len(final) :])
+            memory = None
+        return memory, emitted
 
     def close(self) -> None:
         pass
 
 
-def _plain(frame: pd.DataFrame) -> Iterator[tuple]:
-    """Rows with Python values; missing ones as None."""
-    columns = [[None if pd.isna(x) else x for x in frame[c].tolist()] for c in frame.columns]
-    return zip(*columns, strict=True)
+def _plain(frame: pd.DataFrame, columns: T.StructType) -> tuple[list, ...]:
+    """The columns as lists of Python values; missing ones as None."""
+    def values(c: T.StructField) -> pd.Series:
+        # whole numbers with gaps arrive as fractions
+        return frame[c.name].astype("Int64") if isinstance(c.dataType, T.IntegralType) else frame[c.name]
+
+    return tuple(values(c).astype(object).where(frame[c.name].notna(), None).tolist() for c in columns)
 
 
 class _Islands(InOrder):
     """Runs of consecutive flagged rows. The record: first, last, rows, and one number per measure."""
 
-    def __init__(self, keys: list[str], columns: T.StructType, record: T.StructType, out: list[str], kinds: list[str], min_rows: int, gap: int | None):
+    def __init__(self, keys: T.StructType, columns: T.StructType, record: T.StructType, out: list[str], kinds: list[str], min_rows: int, gap: int | None):
         super().__init__(keys, columns, record, out)
         self.kinds, self.min_rows, self.gap = kinds, min_rows, gap
 
@@ -152,7 +177,7 @@ def _merge(kind: str, a: float | None, b: float | None) -> float | None:
 class _RunLengths(InOrder):
     """Every row with the lengths of its runs. The record: one length per flag."""
 
-    def __init__(self, keys: list[str], columns: T.StructType, record: T.StructType, out: list[str], flags: int):
+    def __init__(self, keys: T.StructType, columns: T.StructType, record: T.StructType, out: list[str], flags: int):
         super().__init__(keys, columns, record, out)
         self.flags = flags
 
@@ -177,7 +202,7 @@ def _at(micros: str) -> Column:
 
 def islands_stream(
     rows: DataFrame, keys: list[str], ts: str, flag: Column, measures: dict[str, tuple[str, Column]], lateness: str,
-    tie: list[str] | None = None, min_rows: int = 1, max_gap: str | None = None,
+    tie: list[str] | None = None, min_rows: int = 1, max_gap: str | None = None, groups: int = GROUPS,
 ) -> DataFrame:
     """Closed runs of at least `min_rows` consecutive flagged rows: (keys, started_at, last_ts, rows, measures).
 
@@ -193,8 +218,12 @@ def islands_stream(
     gap = None if max_gap is None else int(pd.Timedelta(max_gap).total_seconds() * 1_000_000)
     out = T.StructType([*_struct(prepared, keys), *record])
     kept = _struct(prepared, ["at", *(f"tie_{t}" for t in ties), "flagged", *measures])
-    made = _Islands(keys, kept, record, record.names, [k for k, _ in measures.values()], min_rows, gap)
-    return _named(prepared.groupBy(*keys).transformWithStateInPandas(made, out, "Append", "EventTime"), keys, list(measures))
+    made = _Islands(_struct(prepared, keys), kept, record, record.names, [k for k, _ in measures.values()], min_rows, gap)
+    return _named(_grouped(prepared, keys, groups).transformWithStateInPandas(made, out, "Append", "EventTime"), keys, list(measures))
+
+
+def _grouped(prepared: DataFrame, keys: list[str], groups: int) -> GroupedData:
+    return prepared.withColumn(GROUP, F.pmod(F.xxhash64(*keys), F.lit(groups))).groupBy(GROUP)
 
 
 def _named(found: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
@@ -204,12 +233,12 @@ def _named(found: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
 def open_islands(spark: SparkSession, checkpoint: str, measures: list[str], min_rows: int = 1) -> DataFrame:
     """The runs that a stopped `islands_stream` has not closed, read from its state."""
     state = spark.read.format("statestore").option("stateVarName", MEMORY).load(checkpoint)
-    keys = state.schema["key"].dataType.names
-    return _named(state.select("key.*", "value.*").where(F.col("rows") >= min_rows), keys, measures)
+    keys = state.schema["user_map_key"].dataType.names
+    return _named(state.select("user_map_key.*", "user_map_value.*").where(F.col("rows") >= min_rows), keys, measures)
 
 
 def run_lengths_stream(
-    rows: DataFrame, keys: list[str], ts: str, flags: dict[str, Column], carried: list[str], lateness: str
+    rows: DataFrame, keys: list[str], ts: str, flags: dict[str, Column], carried: list[str], lateness: str, groups: int = GROUPS
 ) -> DataFrame:
     """Every row, once it is final, with how many rows in a row up to it have each flag: (keys, ts, carried, flags).
 
@@ -220,6 +249,6 @@ def run_lengths_stream(
     record = T.StructType([T.StructField(n, T.LongType()) for n in flags])
     names = ["at", *carried, *flags]
     out = T.StructType([*_struct(prepared, [*keys, "at", *carried]), *record])
-    made = _RunLengths(keys, _struct(prepared, ["at", *on, *carried]), record, names, len(flags))
-    found = prepared.groupBy(*keys).transformWithStateInPandas(made, out, "Append", "EventTime")
+    made = _RunLengths(_struct(prepared, keys), _struct(prepared, ["at", *on, *carried]), record, names, len(flags))
+    found = _grouped(prepared, keys, groups).transformWithStateInPandas(made, out, "Append", "EventTime")
     return found.select(*keys, _at("at").alias(ts), *carried, *flags)

@@ -93,3 +93,24 @@ def test_run_lengths_of_shuffled_arrivals(spark):
     found, checkpoint, _ = run(spark, batches(rows, 3, 60), lambda s: ordered.run_lengths_stream(s, ["key"], "ts", flags, ["id", "value"], "2 hours"))
     columns = ["key", "id", "ts", "value", *flags]
     assert plain(found, columns) == plain(expected, columns)
+
+
+def test_keys_share_the_state_of_their_group(spark):
+    """A group of keys stores its rows in pages and has one timer, whatever the number of its keys: each costs a call."""
+    schema = ROWS.replace("id long", "id long, many long")
+    rows = [(f"k{i % 300}", i, None if i % 2 else i, START + timedelta(minutes=i), i % 4 > 0, 1.0) for i in range(1_200)]
+    aggs = [F.min("ts").alias("started_at"), F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("rows"), F.sum("many").alias("sum")]
+    expected = islands(spark.createDataFrame(rows, schema), ["key"], ["ts"], F.col("on"), aggs)
+    source, path, checkpoint = (scratch_path(spark, x) for x in ("source", "sink", "checkpoint"))
+    for part in (rows, [(None, None, None, START + timedelta(days=900), None, None)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = ordered.islands_stream(
+            spark.readStream.schema(schema).parquet(source), ["key"], "ts", F.col("on"), {"sum": ("sum", F.col("many"))}, "10 hours", groups=8
+        )
+        write_batches(stream, path, checkpoint, mode="append").awaitTermination()
+        if part is rows:
+            stored = {name: spark.read.format("statestore").option("stateVarName", name).load(checkpoint).count() for name in (ordered.WAITING, ordered.DUE)}
+            assert all(0 < n <= 8 for n in stored.values())
+    columns = ["key", "started_at", "last_ts", "rows", "sum"]
+    found = spark.read.parquet(path).drop(VERSION).unionByName(ordered.open_islands(spark, checkpoint, ["sum"]))
+    assert plain(found, columns) == plain(expected, columns)

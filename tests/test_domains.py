@@ -11,7 +11,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from tidemark.functions import policy
-from tidemark.operators import filters, forecast, paging
+from tidemark.operators import filters, forecast, hotkeys, paging
 from tidemark.plans import clinical, factory, inventory, moderation, network, rentals, retail, service, spend, support
 
 D = dt.date(2024, 6, 30)
@@ -421,3 +421,14 @@ def test_search_and_bands(spark):
     assert [r[0] for r in ages.select(band).collect()] == ["0-7", "0-7", "8-14", "8-14", "15-30", "15-30", ">30"]
     flags = spark.createDataFrame([(1, None), (None, 5)], "admin_id long, n long")
     assert [r[0] for r in flags.select(filters.thread_role()).collect()] == ["admin", "customer"]
+
+
+def test_item_pages_deal_rows_by_size(spark):
+    """Alike products are one item with all its lines, and tasks get about the same rows however many there are."""
+    products = spark.createDataFrame([(1, "ring", "gold", True), (2, "ring", "gold", True), (3, "pin", "gold", True)], "product_id long, name string, category string, returnable boolean")
+    items = spark.range(3_000).selectExpr("id % 1000 AS order_id", "1 + id div 1000 AS product_id", "2L AS quantity", "1.5D AS unit_price")
+    pages = retail.item_pages(items, products)
+    assert {(r.page, tuple((i["name"], i["lines"]) for i in r["items"])) for r in pages.collect()} == {(0, (("pin", 1), ("ring", 2)))}
+    assert pages.count() == 1_000
+    per_task = hotkeys.dealt(items, ["order_id"], 3_000, 100).select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert len(per_task) >= 25 and max(r["count"] for r in per_task) < 300

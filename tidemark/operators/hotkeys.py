@@ -21,6 +21,7 @@ from ..session import staged
 
 MAX_HOT_KEYS = 100_000
 HOT_ROWS = 1_000_000
+TASK_ROWS = 250_000
 CHUNK = "__chunk"
 #: Fixed value: where `monotonically_increasing_id` has the number of the partition.
 PART_BITS = 33
@@ -104,6 +105,13 @@ def with_chunks(df: DataFrame, keys: list[str], order: list[str], hot: HotKeys)
     return same_keys(df, few, keys, "left_anti").withColumn(CHUNK, F.lit(None).cast("long")).unionByName(dealt)
 
 
+def dealt(df: DataFrame, keys: list[str], rows: int, per_task: int = TASK_ROWS) -> DataFrame:
+    """`df`, of about `rows` rows, by hash of the keys in parts of about `per_task` rows, whatever the number that shuffles
+    have: what a task sorts or aggregates does not grow with the table. For keys none of which is hot."""
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // per_task))
+    return df.repartition(parts, *keys)
+
+
 def join_dimension(df: DataFrame, dim: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Join a table that is usually small. Spark broadcasts it if its size, as estimated or as found while running, is
     below `spark.sql.autoBroadcastJoinThreshold`; otherwise adaptive execution splits skewed partitions."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from ..operators.aggregates import share_pct
+from ..operators.hotkeys import dealt, hot_keys
 from ..operators.joins import flag_exists, spine_join
 from ..operators.text import first_problem
 from ..operators.windows import paged_lists
@@ -127,12 +128,15 @@ def item_pages(order_items: DataFrame, products: DataFrame, page_size: int = 10_
     """Items of every order as nested arrays: order_id, page, items.
 
     Equal lines are listed once with their number. An order with more than `page_size` different
-    lines continues on further pages; others have page 0 only.
+    lines continues on further pages; others have page 0 only. Products of one name, category and kind are one item.
     """
-    lines = order_items.groupBy("order_id", "product_id", "quantity", "unit_price").agg(F.count(F.lit(1)).alias("lines"))
-    named = lines.join(products.select("product_id", "name", "category", "returnable"), "product_id")
-    item = F.struct("name", "category", "returnable", "quantity", "unit_price", "lines")
-    return paged_lists(named.select("order_id", item.alias("item")), ["order_id"], "item", "items", page_size)
+    item, rows = ["name", "category", "returnable", "quantity", "unit_price"], order_items.count()
+    crowded, popular = hot_keys(order_items, ["order_id"]), hot_keys(order_items, ["product_id"])
+    sold = order_items.select("order_id", "product_id", "quantity", "unit_price")
+    named = (sold if popular else dealt(sold, ["product_id"], rows)).join(products.select("product_id", "name", "category", "returnable"), "product_id")
+    # by order alone, what follows moves no row again; crowded orders are spread
+    lines = dealt(named, ["order_id", *item] if crowded else ["order_id"], rows).groupBy("order_id", *item).agg(F.count(F.lit(1)).alias("lines"))
+    return paged_lists(lines.select("order_id", F.struct(*item, "lines").alias("item")), ["order_id"], "item", "items", page_size, crowded)
 
 
 def order_details(

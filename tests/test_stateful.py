@@ -43,6 +43,20 @@ def test_exact_search_by_lists_equals_the_scan(spark):
     assert len(read) == queries.count() and min(r.lists for r in read) < len(index.numbers)
 
 
+def test_copies_rank_by_key(spark):
+    """A product of matrices gives copies scores that differ in the last digit; copies rank by key all the same."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(300, 64)).astype(np.float32).astype(float)
+    copies = [(i + 300 * c, base[i].tolist()) for c in range(7) for i in range(300)]
+    docs = spark.createDataFrame(copies, "vec_id long, embedding array<double>").repartition(5, "vec_id")
+    index = vector_index.build(docs, "vec_id", "embedding", scratch_path(spark, "index"), lists=6)
+    found = vector_index.search(index, [(i, base[i].tolist()) for i in range(0, 300, 3)], 7, probes=1, exact=True)
+    ranked = {}
+    for r in found.rows.orderBy("query_id", "rank").collect():
+        ranked.setdefault(r.query_id, []).append(r.vec_id)
+    assert ranked == {i: [i + 300 * c for c in range(7)] for i in range(0, 300, 3)}
+
+
 def test_recall_grows_with_probes(spark):
     docs = _vectors(spark)
     queries = docs.where("vec_id % 20 = 0 AND embedding IS NOT NULL").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))

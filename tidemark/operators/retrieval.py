@@ -34,10 +34,10 @@ def top_k_similar(docs: DataFrame, key: str, vector: str, queries: DataFrame | l
     return found.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= k)
 
 
-def _blocks(queries: DataFrame | list) -> Iterator[list[tuple[int, list[float]]]]:
+def _blocks(queries: DataFrame | list, size: int = QUERIES_PER_PASS) -> Iterator[list[tuple[int, list[float]]]]:
     """Queries a block at a time; those of a DataFrame pass through the driver partition by partition."""
     source = iter(queries) if isinstance(queries, list) else ((r[0], list(r[1])) for r in queries.toLocalIterator() if r[1] is not None)
-    while block := list(islice(source, QUERIES_PER_PASS)):
+    while block := list(islice(source, size)):
         yield block
 
 

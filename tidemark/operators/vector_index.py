@@ -20,7 +20,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .retrieval import ROWS_PER_STEP, _blocks, best_rows
+from ..session import staged
+from .retrieval import _blocks, best_rows
 
 LIST = "list"
 #: Vectors on which centres are fitted: those whose keys have the smallest hashes.
@@ -28,8 +29,12 @@ FITTED_ON = 100_000
 MOST_LISTS = 4_096
 #: Vectors without a direction have no score; they are a list of their own, read when too few others are there.
 NO_DIRECTION = -1
+#: Queries of one pass over the lists, and scores computed at a time: a matrix of 16 MB.
+QUERIES_PER_PASS, CELLS = 4_096, 2_097_152
 #: Rounding of single distances.
 SLACK = 1e-6
+#: Rounding of single scores in a product of matrices.
+ROUNDING = 1e-9
 
 
 class Found(NamedTuple):
@@ -115,7 +120,7 @@ def search(index: VectorIndex, queries: DataFrame | list, k: int = 5, probes: in
     """
     spark, kind = index.spark, index.spark.read.parquet(index.path).schema[index.key].dataType.simpleString() if index.sizes.sum() else "long"
     parts, read = [], []
-    for block in _blocks(queries):
+    for block in _blocks(queries, QUERIES_PER_PASS):
         ids = np.array([q for q, _ in block], np.int64)
         matrix, none = _unit(np.array([v for _, v in block], np.float64))
         apart = _distance(matrix, index.centres) if len(index.centres) else np.zeros((len(ids), 0))
@@ -126,6 +131,7 @@ def search(index: VectorIndex, queries: DataFrame | list, k: int = 5, probes: in
         seen, lost = probed, np.zeros(len(ids), dtype=bool)
         if exact:
             # the k-th best score so far bounds the distance; fewer than k found bound nothing
+            found = staged(found, "probed")
             kth = {r["query_id"]: r["score"] for r in _best(found, index.key, k).where(F.col("rank") == k).collect()}
             limit = np.array([np.sqrt(max(2.0 - 2.0 * kth[q], 0.0)) if kth.get(q) is not None else np.inf for q in ids.tolist()])
             more = ~probed & (apart - index.radii[None, :] <= limit[:, None] + SLACK)
@@ -133,7 +139,8 @@ def search(index: VectorIndex, queries: DataFrame | list, k: int = 5, probes: in
             total = (more | probed) @ index.sizes[:-1] if len(index.centres) else np.zeros(len(ids))
             lost = total < k
             if more.any() or (lost.any() and index.sizes[-1]):
-                found = found.unionByName(_scan(index, kind, ids, matrix, more, lost, k))
+                floor = np.array([kth[q] - SLACK if kth.get(q) is not None else -np.inf for q in ids.tolist()])
+                found = found.unionByName(_scan(index, kind, ids, matrix, more, lost, k, floor))
             seen = probed | more
         parts.append(found)
         rows = seen.astype(np.int64) @ index.sizes[:-1] + lost * index.sizes[-1]
@@ -148,28 +155,44 @@ def _best(found: DataFrame, key: str, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= k)
 
 
-def _scan(index: VectorIndex, kind: str, ids: np.ndarray, matrix: np.ndarray, probed: np.ndarray, lost: np.ndarray, k: int) -> DataFrame:
-    """Each task's best k rows per query from the lists that the query probes; `lost` queries also read rows without direction."""
+def _scan(
+    index: VectorIndex, kind: str, ids: np.ndarray, matrix: np.ndarray, probed: np.ndarray, lost: np.ndarray, k: int, floor: np.ndarray | None = None
+) -> DataFrame:
+    """Each task's best k rows per query from the lists that the query probes; `lost` queries also read rows without direction.
+
+    `floor` is a score per query that k rows are known to reach: rows below it are not kept. Rows are compared with that and
+    with the k-th best so far for all queries at once; only queries for which a row gets there are looked at one by one.
+    """
     key, vector = index.key, index.vector
-    askers = {int(n): np.flatnonzero(probed[:, i]) for i, n in enumerate(index.numbers) if probed[:, i].any()}
+    # one bit per query and list goes to the tasks
+    askers = {int(n): np.packbits(probed[:, i]) for i, n in enumerate(index.numbers) if probed[:, i].any()}
     if lost.any():
-        askers[NO_DIRECTION] = np.flatnonzero(lost)
+        askers[NO_DIRECTION] = np.packbits(lost)
+    start = np.full(len(ids), -np.inf) if floor is None else floor
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        least = start.copy()
         for batch in batches:
             for number, rows in batch.groupby(LIST, sort=False):
-                asking = askers[int(number)]
-                for first in range(0, len(rows), ROWS_PER_STEP):
-                    part = rows.iloc[first : first + ROWS_PER_STEP]
+                asking = np.flatnonzero(np.unpackbits(askers[int(number)], count=len(ids)))
+                step = max(1, CELLS // len(asking))
+                for first in range(0, len(rows), step):
+                    part = rows.iloc[first : first + step]
                     vectors, none = _unit(np.stack(part[vector].to_numpy()))
                     scores, keys = matrix[asking] @ vectors.T, part[key].to_numpy().astype(object)
                     scores[:, none] = -np.inf
-                    for q, row in zip(asking.tolist(), scores, strict=True):
+                    near = scores >= least[asking][:, None] - ROUNDING
+                    for i in np.flatnonzero(near.any(axis=1)).tolist():
+                        q, some = int(asking[i]), near[i]
                         old = kept.get(q, (np.empty(0), np.empty(0, dtype=object)))
-                        both = np.concatenate([old[0], row]), np.concatenate([old[1], keys])
+                        # summed row by row: equal vectors have equal scores wherever they stand, and rank by key
+                        own = np.where(none[some], -np.inf, (vectors[some] * matrix[q]).sum(axis=1))
+                        both = np.concatenate([old[0], own]), np.concatenate([old[1], keys[some]])
                         again = best_rows(*both, k)
                         kept[q] = both[0][again], both[1][again]
+                        if len(again) == k:
+                            least[q] = max(least[q], kept[q][0][-1])
         for q, (scores, keys) in kept.items():
             known = pd.Series(scores).where(np.isfinite(scores), None).astype("Float64")
             yield pd.DataFrame({"query_id": np.full(len(scores), ids[q]), key: keys, "score": known})

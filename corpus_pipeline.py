@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontaminate, linededup, simhash, toxicity
 from tidemark.llm.common import table
-from tidemark.session import scratch_path
+from tidemark.session import scratch_path, staged
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +42,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document that is left and the digest of their decoded bytes: doc_id, n_tokens, ids, decoded_sha256."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    found = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path)
+    # written in between, or every task would have a Python worker for each half
+    ids = staged(bpe.encode(docs, path, public_tokenizers.PATTERN), "ids")
+    found = bpe.decode(ids, path)
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

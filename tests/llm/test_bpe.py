@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -68,3 +69,14 @@ def test_decode(spark, library):
 def test_parameters():
     with pytest.raises(ValueError):
         bpe.encode(None, PATH, PATTERN, chunk_chars=10, overlap_chars=20)
+
+
+def test_decoding_in_slices(spark, library, monkeypatch):
+    ids = [library.encode_ordinary(t or "") for t in TEXTS]
+    batch = pa.RecordBatch.from_pydict({"ids": pa.array([*ids, None, []], pa.list_(pa.int32()))})
+    for most in (1, 50, 10_000):
+        for part in (batch, batch.slice(3)):
+            slices = [*bpe._sliced_lists(part, "ids", most)]
+            assert [x for s in slices for x in s.column("ids").to_pylist()] == part.column("ids").to_pylist()
+            assert all(len(s) == 1 or sum(len(x or []) for x in s.column("ids").to_pylist()) <= most for s in slices)
+    assert [*bpe._sliced_lists(batch.slice(0, 0), "ids", 1)] == []

@@ -86,3 +86,10 @@ def test_empty_tables(spark):
     items = spark.createDataFrame([], "item_id long, text string")
     assert [r.contaminated for r in decontaminate.contamination(docs, items).collect()] == [False]
     assert decontaminate.contamination(docs.limit(0), items).count() == 0
+
+
+def test_words_inside_overlapping_spans(spark):
+    spans = [[], None, [(3, 5)], [(8, 21), (0, 13), (2, 4), (30, 31)], [(5, 9), (5, 7), (9, 10)]]
+    rows = spark.createDataFrame([*enumerate(spans)], "i int, spans array<struct<start: long, end: long>>")
+    found = decontaminate._summed(rows)
+    assert found.columns == ["i", "n_hit"] and [r.n_hit for r in found.orderBy("i").collect()] == [0, 0, 2, 22, 5]

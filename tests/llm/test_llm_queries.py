@@ -150,3 +150,12 @@ def test_pipeline_decodes_what_it_encodes(spark):
     rows = [(1, "one  two\nthree"), (2, ""), (3, None), (None, "größe 漢字 \U0001f600" * 3_000)]
     found = corpus_pipeline.encode(spark, spark.createDataFrame(rows, "doc_id long, text string"), SMALL).collect()
     assert {r.doc_id: r.decoded_sha256 for r in found} == {k: hashlib.sha256((t or "").encode()).hexdigest() for k, t in rows}
+
+
+def test_pipeline_tasks_have_one_python_worker(spark):
+    """Python steps in a row of one task each keep a worker: their memory adds up."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    items = spark.read.parquet(f"{SMALL}/benchmark.parquet")
+    for found in (corpus_pipeline.encode(spark, docs, SMALL), corpus_pipeline.decontaminate.contamination(docs, items)):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") == 1

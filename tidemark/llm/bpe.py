@@ -26,6 +26,8 @@ from .common import list_array, sliced
 #: Boundaries this close to the end of a chunk may depend on characters behind it: the longest fixed
 #: alternative of the pattern has three characters, and a run of white space looks one character ahead.
 MARGIN = 4
+#: Ids that are decoded at a time.
+DECODED = 1_000_000
 
 
 @lru_cache(maxsize=4)
@@ -189,15 +191,25 @@ def _rows_of(column: pa.ListArray) -> Iterator[np.ndarray]:
         yield values[ends[i] : ends[i + 1]]
 
 
+def _sliced_lists(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most about `most` list elements."""
+    ends, start = batch.column(column).offsets.to_numpy(), 0
+    while start < len(batch):
+        end = max(start + 1, int(np.searchsorted(ends, ends[start] + most, side="right")) - 1)
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def decode(tokens: DataFrame, ranks_path: str, ids: str = "ids") -> DataFrame:
     """All columns and `decoded`: the raw bytes of the ids, concatenated. NULL ids decode to no bytes; an id outside
     the vocabulary fails the job."""
     schema = StructType([*tokens.schema.fields, StructField("decoded", BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = pa.array([_bytes(ranks_path, x) for x in _rows_of(batch.column(ids))], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, raw], [*batch.schema.names, "decoded"])
+        for whole in batches:
+            for batch in _sliced_lists(whole, ids, DECODED):
+                raw = pa.array([_bytes(ranks_path, x) for x in _rows_of(batch.column(ids))], pa.binary())
+                yield pa.RecordBatch.from_arrays([*batch.columns, raw], [*batch.schema.names, "decoded"])
 
     return tokens.mapInArrow(run, schema)
 

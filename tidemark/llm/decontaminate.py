@@ -262,24 +262,12 @@ def _block(index: DataFrame, items: list[tuple], window: int, slop: int) -> Data
     return index.mapInArrow(run, schema)
 
 
-def _covered(spans: list) -> int:
-    """Words inside any of the spans."""
-    total, reach = 0, 0
-    for a, b in sorted((s["start"], s["end"]) for s in spans):
-        total += max(b - max(a, reach), 0)
-        reach = max(reach, b)
-    return total
-
-
 def _summed(found: DataFrame) -> DataFrame:
-    schema = StructType([f for f in found.schema.fields if f.name != "spans"] + StructType.fromDDL("n_hit long").fields)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hits = pa.array([_covered(s) if s else 0 for s in batch.column("spans").to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in schema.names[:-1]), hits], schema.names)
-
-    return found.mapInArrow(run, schema)
+    """`spans` replaced by `n_hit`, the words inside any of them. Without Python, so that a task has one worker for
+    the search and none for this."""
+    total = """aggregate(array_sort(spans), struct(0L AS total, 0L AS reach), (a, s) -> struct(
+        a.total + greatest(s.end - greatest(s.start, a.reach), 0L) AS total, greatest(a.reach, s.end) AS reach), a -> a.total)"""
+    return found.withColumn("n_hit", F.coalesce(F.expr(total), F.lit(0).cast("long"))).drop("spans")
 
 
 def search(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from datetime import datetime, timedelta
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -114,3 +115,34 @@ def test_keys_share_the_state_of_their_group(spark):
     columns = ["key", "started_at", "last_ts", "rows", "sum"]
     found = spark.read.parquet(path).drop(VERSION).unionByName(ordered.open_islands(spark, checkpoint, ["sum"]))
     assert plain(found, columns) == plain(expected, columns)
+
+
+def test_records_of_a_group_lie_in_pages(spark):
+    """What the keys of a group remember is stored together: a call per key would cost more than its rows."""
+    schema = ROWS + ", born timestamp, day date, price decimal(27,6)"
+    rows = [
+        (f"k{i % 300}", i, START + timedelta(minutes=i), i % 7 > 0, 1.0, START + timedelta(days=i % 300, microseconds=5), START.date(), Decimal(i) / 8 if i % 3 else None)
+        for i in range(1_200)
+    ]
+    keys = ["key", "born", "day"]
+    aggs = [F.min("ts").alias("started_at"), F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("rows"), F.min("price").alias("least"), F.max("price").alias("most")]
+    expected = islands(spark.createDataFrame(rows, schema), keys, ["ts"], F.col("on"), aggs)
+    source, path, checkpoint = (scratch_path(spark, x) for x in ("source", "sink", "checkpoint"))
+    wanted = {"least": ("min", F.col("price")), "most": ("max", F.col("price"))}
+    for part in (rows[:700], rows[700:], [(None, None, START + timedelta(days=900), None, None, None, None, None)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = ordered.islands_stream(spark.readStream.schema(schema).parquet(source), keys, "ts", F.col("on"), wanted, "1 hour", groups=8)
+        write_batches(stream, path, checkpoint, mode="append").awaitTermination()
+    left = ordered.open_islands(spark, checkpoint, [*wanted])
+    assert 200 < left.count() <= 300
+    assert spark.read.format("statestore").option("stateVarName", ordered.MEMORY).load(checkpoint).count() <= 8
+    columns = [*keys, "started_at", "last_ts", "rows", *wanted]
+    assert plain(spark.read.parquet(path).drop(VERSION).unionByName(left), columns) == plain(expected, columns)
+
+
+def test_a_late_row_among_others_changes_nothing(spark):
+    rows = [("a", i, START + timedelta(minutes=10 * i), True, 1.0) for i in range(20)]
+    mixed = [("a", 99, START + timedelta(minutes=35), False, 1.0), ("a", 20, START + timedelta(minutes=200), True, 1.0)]
+    parts = [rows, mixed, [(None, None, START + timedelta(days=900), None, None)]]
+    found, _, _ = run(spark, parts, lambda s: ordered.islands_stream(s, ["key"], "ts", F.col("on"), {}, "1 minute", max_gap="1 hour"))
+    assert [(r.rows, r.started_at) for r in found.collect()] == [(21, START)]

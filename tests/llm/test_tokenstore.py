@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import zlib
 
 import numpy as np
@@ -30,6 +31,23 @@ def test_encoder_equals_the_library(spark, library):
         assert [x.tolist() for x in encode(some)] == [library(t) for t in some]
 
 
+def test_pieces_equal_the_library(library):
+    rng = random.Random(4)
+    some = ["".join(rng.choices("aZé×ǅɏɐαЖ҃1²Ⅷ'’.,_-`!ª\u0301\u00a0漢🙂\t\r\n\n    ", k=rng.randint(0, 40))) for _ in range(3_000)]
+    some += ["".join(rng.choices(["it", "'s", "'ll", "x1", "é", ",", "...", "\n", "\n\n", " ", " "], k=rng.randint(0, 30))) for _ in range(3_000)]
+    encode = tokenstore.Encoder(PATH, keep=500)
+    assert [x.tolist() for first in range(0, 6_000, 500) for x in encode(some[first : first + 500])] == [library(t) for t in some]
+
+
+def test_a_word_is_encoded_once_whatever_follows_it(library):
+    encode = tokenstore.Encoder(PATH)
+    asked, piece = [], encode._piece
+    encode.inner.ask = encode._piece = lambda p: asked.append(p) or piece(p)
+    text = "a zebrano zebrano, zebrano. zebrano,\nquagga zebrano.\nquagga quagga"
+    assert encode([text])[0].tolist() == library(text)
+    assert sorted(asked) == sorted([" zebrano", ",", ".", "\n", "quagga", " quagga"])
+
+
 def test_random_access():
     rng = np.random.default_rng(1)
     documents = [rng.choice([0, 3, 255, 256, 50_256, 70_000, 2**31], int(n)).astype(np.uint32) for n in rng.integers(0, 900, 40)]

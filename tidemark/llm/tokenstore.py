@@ -9,11 +9,12 @@ Documents are written in ascending key order, over as many files as tasks need;
 
 from __future__ import annotations
 
+import json
 import struct
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from re import compile as pattern
 
@@ -32,54 +33,72 @@ HEAD = struct.Struct("<8sqqi")
 #: Bytes of the header: magic, documents, tokens, levels, then the number of entries of each level.
 HEAD_SIZE = HEAD.size + 8 * LEVELS
 BEFORE_WORD, ODD_SPACE = pattern(r"(?= \S)"), pattern(r" \s| $")
+#: Letters that every Unicode version has as such, digits, marks without the apostrophe, a line end alone.
+KINDS = r"[A-Za-zÀ-ÖØ-öø-ɏΑ-ΡΣ-Ωα-ωЀ-ҁҊ-ԯ]+|[0-9]+|[!-&(-/:-@\[-`{-~]+|\n(?!\n)"
+PIECE, PLAIN = pattern(KINDS), pattern(rf"(?!\n)(?:{KINDS})+")
 
 
 # ---------------------------------------------------------------- encoding
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies have for each byte: itself if it is visible, else one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [x for x in range(256) if x not in shown]
+    return {x: chr(x) for x in shown} | {x: chr(256 + i) for i, x in enumerate(hidden)}
+
+
+class _Kept(dict):
+    """Ids by word; those of a word that is not there are asked for."""
+
+    def __init__(self, ask: Callable[[str], bytes]):
+        super().__init__()
+        self.ask = ask
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self[word] = self.ask(word)
+        return ids
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library, with the ids of recent words kept.
 
     A space before a visible character always begins a pre-token, so a text may be cut there and the parts encoded
-    apart. Parts not met lately are encoded together, JOINED at a time, and their ids are told apart by the space that
-    begins every one of them. Texts that hold an added token are encoded whole, by the library as it is. Ids are kept as the bytes of unsigned 32-bit numbers; of the words, the last `keep` to
-    twice `keep` stay.
+    apart. A word of nothing but common letters, ASCII digits, punctuation and single line ends is cut on, where their
+    kind changes, as the byte-level pre-tokenizer does; the library's model gets each such piece once, so a word costs
+    little with its second mark. Other words go to the library as they are. Texts that hold an added token are encoded
+    whole. Ids are kept as the bytes of unsigned 32-bit numbers; of the words, the last `keep` to twice `keep` stay.
     """
 
-    JOINED = 64
-
     def __init__(self, path: str, keep: int = 400_000):
         self.whole = Tokenizer.from_file(path)
         self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        # for parts of texts without any added token, which joining must not make up
+        # for parts of texts without any added token, which cutting must not make up
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        vocabulary = self.library.get_vocab()
-        self.begins = [False] * (max(vocabulary.values()) + 1)
-        for token, i in vocabulary.items():
-            self.begins[i] = token.startswith("Ġ")
-        self.kept: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.model, self.letters = self.library.model, _byte_letters()
+        cuts = json.loads(self.library.pre_tokenizer.__getstate__()) if self.library.pre_tokenizer is not None else {}
+        # cut further only where the pieces are known
+        self.pieces = self.library.normalizer is None and cuts.get("type") == "ByteLevel" and cuts["use_regex"] and not cuts["add_prefix_space"]
+        self.kept, self.older, self.inner = _Kept(self._word), {}, _Kept(self._piece)
         self.keep = keep
 
     def alone(self, some: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch(some, add_special_tokens=False)]
 
-    def _learn(self, new: list[str]) -> None:
-        kept, begins = self.kept, self.begins
-        for first in range(0, len(new), 256 * self.JOINED):
-            groups = [new[i : i + self.JOINED] for i in range(first, min(first + 256 * self.JOINED, len(new)), self.JOINED)]
-            found = self.library.encode_batch(["".join(g) for g in groups], add_special_tokens=False)
-            for group, encoding in zip(groups, found, strict=True):
-                ids = encoding.ids
-                cuts = [i for i, x in enumerate(ids) if begins[x]]
-                if len(cuts) == len(group) and cuts[0] == 0:
-                    raw = array("I", ids).tobytes()
-                    cuts.append(len(ids))
-                    for word, a, b in zip(group, cuts, cuts[1:], strict=False):
-                        kept[word] = raw[4 * a : 4 * b]
-                else:
-                    kept.update(zip(group, self.alone(group), strict=True))
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a single pre-token."""
+        return array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a word and the space before it."""
+        ids = self.older.get(word)
+        if ids is not None:
+            return ids
+        if not self.pieces or not PLAIN.fullmatch(word):
+            return self.alone([" " + word])[0]
+        first, *rest = PIECE.findall(word)
+        return self.kept[first] + b"".join([self.inner[p] for p in rest]) if rest else self._piece(" " + word)
 
     def __call__(self, some: list[str]) -> list[np.ndarray]:
         marked = [i for i, t in enumerate(some) if any(a in t for a in self.added)]
@@ -103,20 +122,10 @@ class Encoder:
                 firsts.append(cut[0])
                 parts.append(cut[1:])
         if len(self.kept) > self.keep:
-            self.older, self.kept = self.kept, {}
-        kept, older = self.kept, self.older
-        plain, odd = [], []
-        for w in set().union(*parts).difference(kept):
-            ids = older.get(w)
-            if ids is not None:
-                kept[w] = ids
-            else:
-                (odd if " " in w else plain).append(w)
-        self._learn([" " + w for w in plain])
-        for w in plain:
-            kept[w] = kept.pop(" " + w)
-        kept.update(zip(odd, self.alone([" " + w for w in odd]), strict=True))
-        get = kept.__getitem__
+            self.older, self.kept = self.kept, _Kept(self._word)
+        if len(self.inner) > self.keep:
+            self.inner.clear()
+        get = self.kept.__getitem__
         begun = self.alone(firsts)
         return [np.frombuffer(f + b"".join(map(get, p)), dtype=np.uint32) for f, p in zip(begun, parts, strict=True)]
 
